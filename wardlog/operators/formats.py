@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardlog import fixed_values as fixed
 from wardlog.functions.text import case, contains_any
 from wardlog.operators.normalize_json import json_array, json_object
-from wardlog.operators.normalize_waf import header_names
+from wardlog.operators.normalize_waf import column_places
 
 SAMPLE_LINES = 100
 
@@ -54,10 +54,10 @@ def hinted_format(hint):
 
 
 def detect_format(lines, hint=None):
-    """One row per file: (job_id, source_file, format, score, waf_header).
+    """One row per file: (job_id, source_file, format, score, waf_columns).
 
     The highest score wins, ties go to the earlier format, no score at all means
-    JSON. ``waf_header`` holds the column names of a CSV export, else null.
+    JSON. ``waf_columns`` says where a CSV export has its columns, else null.
     """
     scores = format_scores(lines)
     ranked = [
@@ -77,5 +77,5 @@ def detect_format(lines, hint=None):
         "source_file",
         "format",
         F.col("best.score").alias("score"),
-        F.when(F.col("format") == fixed.WAF, header_names(F.col("first_line"))).alias("waf_header"),
+        F.when(F.col("format") == fixed.WAF, column_places(F.col("first_line"))).alias("waf_columns"),
     )

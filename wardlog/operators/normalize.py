@@ -21,7 +21,7 @@ def normalize(lines, formats, assume_year=2026, small_formats=False):
     ``small_formats`` the caller vouches that it fits a broadcast (the reader
     bounds the number of files before it says so); otherwise Spark chooses.
     """
-    known = formats.select("job_id", "source_file", "format", "waf_header")
+    known = formats.select("job_id", "source_file", "format", "waf_columns")
     joined = lines.join(F.broadcast(known) if small_formats else known, ["job_id", "source_file"])
     return normalize_as(joined, LINE_FORMATS, assume_year)
 

@@ -25,9 +25,14 @@ def cell_text(cell):
     return F.coalesce(strip(plain), F.lit(""))
 
 
-def header_names(line):
-    """Lower-cased column names of a header line."""
-    return F.transform(csv_cells(line), lambda c: F.lower(cell_text(c)))
+def column_places(header):
+    """Where a header line has the named cells (from 1, null when it has not), in the
+    order of the fixed alias table; the first alias that is a column wins."""
+    names = F.transform(csv_cells(header), lambda c: F.lower(cell_text(c)))
+    place = lambda alias: F.nullif(F.array_position(names, alias), F.lit(0))
+    return F.array(
+        *[F.coalesce(*[place(a) for a in aliases]).cast("int") for aliases in fixed.WAF_COLUMNS.values()]
+    )
 
 
 def waf_clock(text):
@@ -65,12 +70,8 @@ def _cells(assume_year):
 
 
 def _values(assume_year):
-    """Each named cell: the first alias that is a column of the file wins."""
-    out = {}
-    for name, aliases in fixed.WAF_COLUMNS.items():
-        at = F.coalesce(*[F.nullif(F.array_position("waf_header", a), F.lit(0)) for a in aliases])
-        out[f"waf_{name}"] = F.coalesce(cell_text(F.get("waf_cells", (at - 1).cast("int"))), F.lit(""))
-    return out
+    cell = lambda i: F.get("waf_cells", F.get("waf_columns", F.lit(i)) - 1)
+    return {f"waf_{name}": cell_text(cell(i)) for i, name in enumerate(fixed.WAF_COLUMNS)}
 
 
 def _time(assume_year):
