@@ -24,13 +24,19 @@ def contains_any(col, words):
 
 
 def capture(col, pattern, groups):
-    """All capture groups of one anchored match as array<string>; null without a match.
+    """All capture groups of one anchored match as array<string>; empty without a match.
 
     One replace call yields every group, where regexp_extract would run the
-    pattern once per group. A line holds no newline, so newline separates safely.
+    pattern once per group. A line holds no newline, so newline separates safely,
+    and a line that does not match stays a single piece.
     """
-    joined = F.regexp_replace(col, pattern, "\n".join(f"${i}" for i in range(1, groups + 1)))
-    return F.when(col.rlike(pattern), F.split(joined, "\n", -1))
+    marked = F.regexp_replace(col, pattern, "".join(f"\n${i}" for i in range(1, groups + 1)))
+    return F.slice(F.split(marked, "\n", -1), 2, groups)
+
+
+def matched(parts):
+    """Whether capture found a match."""
+    return F.get(parts, F.lit(0)).isNotNull()
 
 
 def extract(col, pattern, group):

@@ -3,11 +3,17 @@
 
 from pyspark.sql import functions as F
 
-from wardlog.functions.text import case, strip
+from wardlog.functions.text import capture, case, strip
 
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 # an offset only counts behind a time of day, so the day of 2026-03-11 is not one
-ZONE = r"(?<=:\d{2}|:\d{2}[.,]\d{1,9}|T\d{4}|T\d{6})\s*(Z|z|UTC|GMT|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)$"
+ZONED = (
+    r"(?d)^(.*(?::\d{2}(?:[.,]\d{1,9})?|T\d{4}(?:\d{2})?))\s*"
+    r"(Z|z|UTC|GMT|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)$"
+)
+OFFSET = r"^([+-])(\d{2})(?::?([0-5]\d)(?::?([0-5]\d))?)?$"
+ZERO_OFFSETS = ["+0000", "+00:00", "-0000", "Z", "z", "UTC", "GMT"]
+ACCESS_STAMP = r"(?dU)^(\d{1,2})/(\w{3})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\s+(.*))?$"
 WEEKDAY = r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 # text forms tried after ISO 8601
 PATTERNS = [
@@ -51,46 +57,50 @@ def as_instant(wall, offset_seconds=None):
 
 def offset_seconds(zone):
     """Seconds east of UTC for Z, UTC, GMT, +hh, +hhmm, +hh:mm; null for anything else."""
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    size = (
-        F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 3600
-        + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
-        + F.coalesce(F.substring(digits, 5, 2).try_cast("int"), F.lit(0))
+    part = F.split(F.regexp_replace(zone, OFFSET, "$1\n$2\n$3\n$4"), "\n", -1)
+    value = lambda i: F.coalesce(F.get(part, F.lit(i)).try_cast("int"), F.lit(0))
+    size = value(1) * 3600 + value(2) * 60 + value(3)
+    return case(
+        [
+            (zone.isin(ZERO_OFFSETS), F.lit(0)),
+            (zone.rlike(OFFSET), F.when(F.startswith(zone, F.lit("-")), -size).otherwise(size)),
+        ]
     )
-    signed = F.when(F.startswith(zone, F.lit("-")), -size).otherwise(size)
-    known = zone.rlike(r"^(Z|z|UTC|GMT|[+-]\d{2}(:?[0-5]\d(:?[0-5]\d)?)?)$")
-    return F.when(known, signed)
 
 
-def access_clock(stamp):
-    """Wall clock of ``dd/Mon/yyyy:HH:mm:ss`` as the first token of an access-log time."""
-    token = F.regexp_extract(stamp, r"^(\S+)", 1)
-    shape = r"^(\d{1,2})/(\w{3})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2})$"
-    part = [F.regexp_extract(token, shape, i) for i in range(1, 7)]
-    return clock(part[2], month_number(part[1]), part[0], part[3], part[4], part[5])
+def access_stamp(stamp):
+    """Parts of ``dd/Mon/yyyy:HH:mm:ss`` and what follows it, or null."""
+    return capture(stamp, ACCESS_STAMP, 7)
 
 
-def access_zone(stamp):
-    """Offset text behind the first token; a time without one is naive."""
-    return F.regexp_extract(stamp, r"^\S+\s+(\S+)$", 1)
+def access_clock(part):
+    """Wall clock from the parts of an access-log time."""
+    day, month, year, *clock_parts = [F.get(part, F.lit(i)) for i in range(6)]
+    return clock(year, month_number(month), day, *clock_parts)
 
 
-def zone_of(text):
-    """Offset text at the end of a free-form time, or null."""
-    return F.nullif(F.regexp_extract(text, ZONE, 1), F.lit(""))
+def zone_parts(text):
+    """Free-form time cut into (time, offset); empty when it ends in no offset."""
+    return capture(text, ZONED, 2)
 
 
 def without_zone(text):
-    return strip(F.regexp_replace(text, ZONE, ""))
+    return strip(F.coalesce(F.get(zone_parts(text), F.lit(0)), text))
+
+
+def without_weekday(text):
+    return F.regexp_replace(text, WEEKDAY, "")
+
+
+def iso_clock(text):
+    """Wall clock of ISO 8601 text without offset."""
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}"), F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp_ntz"))
 
 
 def free_form_clock(text):
-    """Wall clock of a free-form time without its offset; null when no form fits."""
-    dated = text.rlike(r"^\d{4}-\d{1,2}")
-    iso = F.when(dated, F.regexp_replace(text, ",", ".").try_cast("timestamp_ntz"))
-    undayed = F.regexp_replace(text, WEEKDAY, "")
-    tried = [F.try_to_timestamp(undayed, F.lit(p)).cast("timestamp_ntz") for p in PATTERNS]
-    return case([(dated, iso)], F.when(text.rlike(r"\d"), F.coalesce(*tried)))
+    """Wall clock of other text without offset and weekday; null when no form fits."""
+    tried = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in PATTERNS]
+    return F.when(text.rlike(r"\d"), F.coalesce(*tried))
 
 
 def micros(col):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
 from wardlog.functions.text import case, contains_any
-from wardlog.operators.normalize_json import json_array, json_object
+from wardlog.operators.normalize_json import is_json
 from wardlog.operators.normalize_waf import column_places
 
 SAMPLE_LINES = 100
@@ -27,7 +27,7 @@ def format_scores(lines):
         F.max(contains_any(line, fixed.AUTH_KEYWORDS)).alias("auth_named"),
         share(line.rlike(fixed.ACCESS_LINE)).alias(fixed.ACCESS),
         share(line.rlike(fixed.ERROR_LINE)).alias(fixed.ERROR),
-        share(json_object(line).isNotNull() | json_array(line).isNotNull()).alias(fixed.JSON),
+        share(is_json(line)).alias(fixed.JSON),
         F.least(F.lit(0.95), share(contains_any(line, fixed.FIREWALL_KEYWORDS))).alias(fixed.FIREWALL),
     )
     head = F.lower(F.col("first_line"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.functions.text import capture, case, extract, strip
+from wardlog.functions.text import capture, case, extract, matched, strip
 from wardlog.functions.times import as_instant, syslog_clock
 from wardlog.operators.line_format import LineFormat, normalize_as, strings
 
@@ -34,7 +34,7 @@ def _event(assume_year):
     )
     return {
         "auth_message": message,
-        "auth_event": F.when(F.col("auth_part").isNull(), "unknown").otherwise(found),
+        "auth_event": F.when(matched("auth_part"), found).otherwise("unknown"),
         "auth_time": syslog_clock(F.col("auth_part"), assume_year),
     }
 

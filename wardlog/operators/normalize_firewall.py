@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.functions.text import blank_to_null, capture, case, contains_any
+from wardlog.functions.text import blank_to_null, capture, case, contains_any, matched
 from wardlog.functions.times import as_instant, syslog_clock
 from wardlog.operators.line_format import LineFormat, normalize_as, strings
 
@@ -32,7 +32,7 @@ def _pair(key):
 
 
 def _action(assume_year):
-    pf, kernel = F.col("pf_part").isNotNull(), F.col("kernel_part").isNotNull()
+    pf, kernel = matched("pf_part"), matched("kernel_part")
     named = F.coalesce(_pair("ACTION"), F.lit("unknown"))
     pairs = (_pair("SRC").isNotNull()) | (_pair("DST").isNotNull())
     return {

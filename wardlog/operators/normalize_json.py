@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.functions.text import blank_to_null, case
-from wardlog.functions.times import as_instant, free_form_clock, offset_seconds, without_zone, zone_of
+from wardlog.functions.text import blank_to_null, case, strip
+from wardlog.functions.times import (
+    as_instant, free_form_clock, iso_clock, offset_seconds, without_weekday, zone_parts,
+)
 from wardlog.operators.line_format import LineFormat, normalize_as, strings
 
 STRICT = {"allowSingleQuotes": "false"}
@@ -21,67 +23,107 @@ STANDARD_KEYS = sorted(
 )
 
 
-def parse_one(line, value_type):
-    """The line as one JSON value of the given type, else null.
+def parse_alone(line, value_type):
+    """The line parsed as array elements: one element if it is one JSON value.
 
     Parsed inside brackets, so text behind the value makes the line invalid.
     """
-    wrapped = F.concat(F.lit("["), line, F.lit("]"))
-    parsed = F.from_json(wrapped, f"array<{value_type}>", STRICT)
+    return F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<{value_type}>", STRICT)
+
+
+def only_one(parsed):
     return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
 
 
-def json_object(line):
-    return F.when(F.startswith(line, F.lit("{")), parse_one(line, "map<string,string>"))
+def objects_in(line):
+    return F.when(F.startswith(line, F.lit("{")), parse_alone(line, "map<string,string>"))
 
 
-def json_array(line):
-    return F.when(F.startswith(line, F.lit("[")), parse_one(line, "array<string>"))
+def arrays_in(line):
+    return F.when(F.startswith(line, F.lit("[")), parse_alone(line, "array<string>"))
 
 
-def first_field(keys, lowered, values, aliases):
-    """Value of the first alias present, by exact key, else by key in any case.
+def is_json(line):
+    """Whether the line is one JSON object or array."""
+    return only_one(objects_in(line)).isNotNull() | only_one(arrays_in(line)).isNotNull()
 
-    The arrays hold the keys, lower-cased keys and values back to front, so that
-    the last of several equal keys is the one found.
-    """
-    found = []
-    for alias in aliases:
-        found.append(F.nullif(F.array_position(keys, alias), F.lit(0)))
-        found.append(F.nullif(F.array_position(lowered, alias.lower()), F.lit(0)))
-    return F.get(values, (F.coalesce(*found) - 1).cast("int"))
+
+# field -> its key aliases
+LOOKUPS = {
+    "time": fixed.JSON_TIME, "ip": fixed.JSON_IP, "user": fixed.JSON_USER, "endpoint": fixed.JSON_ENDPOINT,
+    "method": fixed.JSON_METHOD, "status": fixed.JSON_STATUS, "size": fixed.JSON_SIZE,
+    "message": fixed.JSON_MESSAGE, "event": fixed.JSON_EVENT, "level": fixed.JSON_LEVEL,
+}
 
 
 def _parsed(assume_year):
     line = F.col("raw_line")
-    return {"json_map": json_object(line), "json_items": json_array(line)}
+    return {"json_objects": objects_in(line), "json_arrays": arrays_in(line)}
+
+
+def _single(assume_year):
+    return {"json_map": only_one(F.col("json_objects")), "json_items": only_one(F.col("json_arrays"))}
 
 
 def _keys(assume_year):
-    keys = F.reverse(F.map_keys("json_map"))
+    """Keys and values back to front, so that the last of several equal keys is found."""
     return {
-        "json_keys": keys,
-        "json_lowered": F.transform(keys, F.lower),
+        "json_keys": F.reverse(F.map_keys("json_map")),
         "json_values": F.reverse(F.map_values("json_map")),
     }
 
 
-def _lookup(aliases):
-    return first_field(F.col("json_keys"), F.col("json_lowered"), F.col("json_values"), aliases)
+def _lowered(assume_year):
+    return {"json_lowered": F.transform("json_keys", F.lower)}
+
+
+def _present(assume_year):
+    """Per field the first alias that is a key in any case; an exact key would be one too."""
+    out = {}
+    for field, aliases in LOOKUPS.items():
+        names = F.array(*[F.lit(a.lower()) for a in aliases])
+        out[f"json_{field}_key"] = F.get(F.array_intersect(names, F.col("json_lowered")), F.lit(0))
+    return out
+
+
+def _places(assume_year):
+    """Where each field's value is: at the exact key, else at the key in other case."""
+    out = {}
+    for field, aliases in LOOKUPS.items():
+        key = F.col(f"json_{field}_key")
+        exact = case([(key == a.lower(), a) for a in aliases if a != a.lower()], key) if any(
+            a != a.lower() for a in aliases
+        ) else key
+        out[f"json_{field}_at"] = F.array_position("json_keys", exact)
+        out[f"json_{field}_near"] = F.array_position("json_lowered", key)
+    return out
 
 
 def _found(assume_year):
-    return {
-        "json_time": _lookup(fixed.JSON_TIME),
-        "json_event": _lookup(fixed.JSON_EVENT),
-        "json_level": _lookup(fixed.JSON_LEVEL),
-        "json_message": _lookup(fixed.JSON_MESSAGE),
-    }
+    out = {}
+    for field in LOOKUPS:
+        at, near = F.col(f"json_{field}_at"), F.col(f"json_{field}_near")
+        out[f"json_{field}"] = F.get("json_values", (F.when(at > 0, at).otherwise(near) - 1).cast("int"))
+    return out
+
+
+def _time_texts(assume_year):
+    return {"json_zoned": zone_parts(F.col("json_time"))}
+
+
+def _body(assume_year):
+    return {"json_body": strip(F.coalesce(F.get("json_zoned", F.lit(0)), "json_time"))}
+
+
+def _iso(assume_year):
+    return {"json_iso": iso_clock(F.col("json_body")), "json_undated": without_weekday(F.col("json_body"))}
 
 
 def _times(assume_year):
-    text = F.col("json_time")
-    return {"json_clock": free_form_clock(without_zone(text)), "json_zone": zone_of(text)}
+    return {
+        "json_clock": F.coalesce("json_iso", free_form_clock(F.col("json_undated"))),
+        "json_offset": offset_seconds(F.get("json_zoned", F.lit(1))),
+    }
 
 
 def _extra():
@@ -104,14 +146,14 @@ def _fields(assume_year):
         blank_to_null(F.col("json_event")), F.lower(blank_to_null(F.col("json_level"))), F.lit("log_entry")
     )
     return {
-        "event_time": as_instant(F.col("json_clock"), offset_seconds(F.col("json_zone"))),
+        "event_time": as_instant(F.col("json_clock"), F.col("json_offset")),
         "event_time_local": F.col("json_clock"),
-        "source_ip": _lookup(fixed.JSON_IP),
-        "username": _lookup(fixed.JSON_USER),
-        "endpoint": _lookup(fixed.JSON_ENDPOINT),
-        "method": _lookup(fixed.JSON_METHOD),
-        "status_code": _lookup(fixed.JSON_STATUS).try_cast("int"),
-        "response_size": _lookup(fixed.JSON_SIZE).try_cast("bigint"),
+        "source_ip": F.col("json_ip"),
+        "username": F.col("json_user"),
+        "endpoint": F.col("json_endpoint"),
+        "method": F.col("json_method"),
+        "status_code": F.col("json_status").try_cast("int"),
+        "response_size": F.col("json_size").try_cast("bigint"),
         "event_type": case([(is_object, event), (is_array, "json_array")], "unparsed"),
         "message": case(
             [
@@ -124,7 +166,11 @@ def _fields(assume_year):
     }
 
 
-JSON = LineFormat(fixed.JSON, (_parsed, _keys, _found, _times), _fields)
+JSON = LineFormat(
+    fixed.JSON,
+    (_parsed, _single, _keys, _lowered, _present, _places, _found, _time_texts, _body, _iso, _times),
+    _fields,
+)
 
 
 def normalize_json(lines):

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.functions.text import blank_to_null, capture, case, contains_any, extract
-from wardlog.functions.times import access_clock, access_zone, as_instant, clock, offset_seconds
+from wardlog.functions.text import capture, case, contains_any, extract, matched
+from wardlog.functions.times import access_clock, access_stamp, as_instant, clock, offset_seconds
 from wardlog.operators.line_format import LineFormat, normalize_as, strings
 
 
@@ -30,19 +30,28 @@ def _access_parts(assume_year):
     return {"access_part": capture(F.col("raw_line"), fixed.ACCESS_LINE, 11)}
 
 
+def _access_stamp(assume_year):
+    status = F.get("access_part", F.lit(7)).try_cast("int")
+    return {
+        "access_stamp": access_stamp(F.get("access_part", F.lit(3))),
+        "access_status": status,
+        "access_path": F.lower(F.get("access_part", F.lit(5))),
+    }
+
+
 def _access_values(assume_year):
-    stamp = F.get("access_part", F.lit(3))
+    kind = classify_request(F.col("access_status"), F.get("access_part", F.lit(4)), F.col("access_path"))
     return {
-        "access_time": access_clock(stamp),
-        "access_offset": offset_seconds(access_zone(stamp)),
-        "access_status": F.get("access_part", F.lit(7)).try_cast("int"),
+        "access_time": access_clock(F.col("access_stamp")),
+        "access_offset": offset_seconds(F.get("access_stamp", F.lit(6))),
+        "access_event": F.when(matched("access_part"), kind).otherwise("unparsed"),
     }
 
 
 def _access_fields(assume_year):
     part = [F.get("access_part", F.lit(i)) for i in range(11)]
     status, method, endpoint = F.col("access_status"), part[4], part[5]
-    matched = F.col("access_part").isNotNull()
+    is_request = matched("access_part")
     return {
         "event_time": as_instant(F.col("access_time"), F.col("access_offset")),
         "event_time_local": F.col("access_time"),
@@ -53,11 +62,11 @@ def _access_fields(assume_year):
         "status_code": status,
         "response_size": part[8].try_cast("bigint"),
         "user_agent": part[10],
-        "event_type": F.when(matched, classify_request(status, method, endpoint)).otherwise("unparsed"),
-        "message": F.when(matched, F.concat(method, F.lit(" "), endpoint, F.lit(" -> "), part[7])).otherwise(
+        "event_type": F.col("access_event"),
+        "message": F.when(is_request, F.concat(method, F.lit(" "), endpoint, F.lit(" -> "), part[7])).otherwise(
             F.col("raw_line")
         ),
-        "extra_fields": F.when(matched, strings(referrer=part[9], protocol=part[6])),
+        "extra_fields": F.when(is_request, strings(referrer=part[9], protocol=part[6])),
     }
 
 
@@ -81,9 +90,9 @@ def _error_fields(assume_year):
     }
 
 
-ACCESS = LineFormat(fixed.ACCESS, (_access_parts, _access_values), _access_fields)
+ACCESS = LineFormat(fixed.ACCESS, (_access_parts, _access_stamp, _access_values), _access_fields)
 ERROR = LineFormat(
-    fixed.ERROR, (_error_parts, _error_values), _error_fields, lambda: F.col("error_part").isNotNull()
+    fixed.ERROR, (_error_parts, _error_values), _error_fields, lambda: matched("error_part")
 )
 
 

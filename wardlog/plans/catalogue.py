@@ -21,7 +21,7 @@ from wardlog.operators.normalize_web import classify_request
 from wardlog.operators.reputation import enrich_ips, public_ips, reputation_band
 from wardlog.operators.timeline import filter_timeline, timeline, timeline_types
 from wardlog.plans import fixtures as fx
-from wardlog.session import scratch_path
+from wardlog.session import prepare, scratch_path
 from wardlog.sources.lines import list_log_files, read_log_lines
 from wardlog.sources.tables import read_alerts, read_entries, write_alerts, write_entries
 from wardlog.sources.waf_csv import read_waf_csv
@@ -32,12 +32,11 @@ QUERIES = {}
 
 
 def query(function):
-    """Register under the function's name; times are naive UTC in every query."""
+    """Register under the function's name."""
 
     @wraps(function)
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return function(spark, str(sf_dir).rstrip("/"))
+        return function(prepare(spark), str(sf_dir).rstrip("/"))
 
     QUERIES[function.__name__] = run
     return run
