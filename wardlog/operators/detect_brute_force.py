@@ -11,6 +11,7 @@ from wardlog.operators.sliding import sliding_counts, window_slots
 
 KEYS = ["job_id", "source_ip"]
 SAMPLE = 10
+BURST = ["count", "last_us", "at_last", "order_line", "success"]
 # addresses whose refused logins carry no time are joined over this many salts
 UNTIMED_SALTS = 32
 
@@ -34,10 +35,14 @@ def find_bursts(entries, window_seconds=300, threshold=10):
     per_time = _failures(entries).groupBy(*KEYS, "us").agg(
         F.count(F.lit(1)).alias("n"), F.min("line_number").alias("first_line")
     )
-    groups = per_time.groupBy(*KEYS).agg(
-        F.min("first_line").alias("order_line"),
-        F.count("us").alias("timed"),
-        F.sum("n").alias("failures"),
+    groups = (
+        per_time.groupBy(*KEYS)
+        .agg(
+            F.min("first_line").alias("order_line"),
+            F.count("us").alias("timed"),
+            F.sum("n").alias("failures"),
+        )
+        .filter(F.col("failures") >= threshold)
     )
     rolled = sliding_counts(per_time.filter("us is not null").select(*KEYS, "us", "n"), KEYS, window_us)
     before = F.col("in_window") - F.col("n")
@@ -52,15 +57,19 @@ def find_bursts(entries, window_seconds=300, threshold=10):
         (-F.col("best.earliest")).alias("last_us"),
         (F.col("best.count") - F.col("best.before")).alias("at_last"),
     )
-    untimed = groups.filter((F.col("timed") == 0) & (F.col("failures") >= threshold)).select(
-        *KEYS, F.col("failures").alias("count"), F.lit(None).cast("long").alias("last_us"),
-        F.lit(None).cast("long").alias("at_last"),
+    return (
+        groups.join(timed, KEYS, "left")
+        .filter(F.col("count").isNotNull() | (F.col("timed") == 0))
+        .select(*KEYS, F.coalesce("count", "failures").alias("count"), "last_us", "at_last", "order_line")
     )
-    return timed.unionByName(untimed).join(groups.select(*KEYS, "order_line"), KEYS)
 
 
-def _burst_rows(entries, bursts, window_us, threshold):
-    """Refused logins belonging to the bursts, as (names, first rows) per address."""
+def _with_members(entries, bursts, window_us, threshold):
+    """Bursts with their names, first line numbers and first time.
+
+    The columns of a burst travel with its rows, so that it need not be worked
+    out again to be joined back.
+    """
     slot = F.when(
         F.col("us").isNull(), F.pmod(F.col("line_number"), F.lit(UNTIMED_SALTS))
     ).otherwise(F.expr(f"(us - pmod(us, {window_us})) div {window_us}"))
@@ -73,8 +82,7 @@ def _burst_rows(entries, bursts, window_us, threshold):
             ).otherwise(window_slots("first_us", "last_us", window_us))
         ).alias("slot"),
         "first_us",
-        "last_us",
-        "at_last",
+        *BURST,
     )
     rows = _failures(entries).withColumns({"timed": F.col("us").isNotNull(), "slot": slot})
     inside = (
@@ -94,6 +102,7 @@ def _burst_rows(entries, bursts, window_us, threshold):
             lambda s: s["line_number"],
         ).alias("sample_lines"),
         F.min("us").alias("first_us"),
+        *[F.first(c).alias(c) for c in BURST],
     )
     names = (
         inside.filter(~F.col("ending")).select(*KEYS, "username")
@@ -121,10 +130,8 @@ def success_after(entries, bursts):
 def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=None):
     """One alert per address that was refused often enough within the window."""
     window_us = int(window_seconds * 1_000_000)
-    bursts = find_bursts(entries, window_seconds, threshold)
-    rows = success_after(entries, bursts).join(
-        _burst_rows(entries, bursts, window_us, threshold), KEYS
-    )
+    bursts = success_after(entries, find_bursts(entries, window_seconds, threshold))
+    rows = _with_members(entries, bursts, window_us, threshold)
     wall = lambda us: plain_text(F.timestamp_micros(us))
     named = F.coalesce(F.size("targets"), F.lit(0)) > 0
     seconds = F.coalesce((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(0.0))

@@ -9,8 +9,8 @@ from wardlog.operators.alert import alert_rows, text
 
 SAMPLE_LINES = 10
 SAMPLE_ENDPOINTS = 5
-# parts an address's hits are split into before they are counted
-SALTS = 32
+# partial results of a group are merged this many at a time
+FAN_IN = 1000
 
 
 def signature(category):
@@ -47,24 +47,29 @@ def detect_web_attacks(entries, created_at=None):
     keys = ["job_id", "category", "source_ip"]
     hits = match_attack_categories(entries).select(
         "job_id", "category", ip.alias("source_ip"), "line_number", sample.alias("sample"),
-        F.pmod(F.col("line_number"), F.lit(SALTS)).alias("salt"),
+        F.spark_partition_id().alias("part"),
     )
-    # Signatures are costly, so entries are read once: every part of a group is
-    # ranked and counted, and only its first rows go on to the group itself.
-    part = Window.partitionBy(*keys, "salt")
+    # Signatures are costly, so entries are read once. The rows of a group that
+    # come from one scan task are counted and ranked on their own, however hot the
+    # group is; counts and first rows are then merged in two steps. The result does
+    # not depend on which task read a row.
+    part = Window.partitionBy(*keys, "part")
     first = (
         hits.withColumn("rank", F.row_number().over(part.orderBy("line_number")))
         .withColumn("in_part", F.count(F.lit(1)).over(part))
         .filter(F.col("rank") <= SAMPLE_LINES)
     )
-    rows = first.groupBy(*keys).agg(
-        F.sum(F.when(F.col("rank") == 1, F.col("in_part"))).alias("count"),
-        F.slice(
-            F.array_sort(F.collect_list(F.struct("line_number", "sample"))), 1, SAMPLE_LINES
-        ).alias("firsts"),
-        F.min("line_number").alias("order_line"),
-    ).withColumns(
+    earliest = lambda rows: F.slice(F.array_sort(rows), 1, SAMPLE_LINES).alias("firsts")
+    parts = first.groupBy(*keys, "part").agg(
+        F.max("in_part").alias("count"), earliest(F.collect_list(F.struct("line_number", "sample")))
+    )
+    merge = lambda partial, *by: partial.groupBy(*by).agg(
+        F.sum("count").alias("count"), earliest(F.flatten(F.collect_list("firsts")))
+    )
+    bundled = merge(parts.withColumn("part", F.floor(F.col("part") / FAN_IN)), *keys, "part")
+    rows = merge(bundled, *keys).withColumns(
         {
+            "order_line": F.get("firsts", F.lit(0))["line_number"],
             "sample_endpoints": F.array_sort(
                 F.array_distinct(F.slice(F.col("firsts.sample"), 1, SAMPLE_ENDPOINTS))
             ),

@@ -14,16 +14,23 @@ from wardlog.operators.normalize_web import ACCESS, ERROR, normalize_access, nor
 LINE_FORMATS = [WAF, AUTH, ACCESS, ERROR, JSON, FIREWALL]
 
 
-def normalize(lines, formats, assume_year=2026, small_formats=False):
+def formats_present(formats):
+    """Names of the formats that occur: at most one per known format."""
+    return sorted(r.format for r in formats.select("format").distinct().collect())
+
+
+def normalize(lines, formats, assume_year=2026, small_formats=False, present=None):
     """Every line by the format of its file, in one scan of the lines.
 
     ``formats`` is the result of detect_format, one row per file. With
     ``small_formats`` the caller vouches that it fits a broadcast (the reader
     bounds the number of files before it says so); otherwise Spark chooses.
+    ``present`` names the formats that occur, so that the plan holds no others.
     """
+    used = [f for f in LINE_FORMATS if present is None or f.name in present]
     known = formats.select("job_id", "source_file", "format", "waf_columns")
     joined = lines.join(F.broadcast(known) if small_formats else known, ["job_id", "source_file"])
-    return normalize_as(joined, LINE_FORMATS, assume_year)
+    return normalize_as(joined, used, assume_year)
 
 
 def parse_stats(entries, lines):

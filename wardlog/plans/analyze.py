@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
-from wardlog.operators.normalize import normalize
+from wardlog.operators.normalize import formats_present, normalize
 from wardlog.session import require_utc
 from wardlog.sources.lines import BROADCAST_BYTES, list_log_files, read_log_lines, split_table_bytes
 from wardlog.sources.tables import read_alerts, read_entries, write_alerts, write_entries
@@ -18,10 +18,15 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     """
     require_utc(spark)
     lines = read_log_lines(spark, paths, job_id)
-    formats = detect_format(lines, hint)
+    detect_format(lines, hint).write.mode("overwrite").parquet(f"{out_dir}/formats")
+    formats = spark.read.parquet(f"{out_dir}/formats")
+    present = formats_present(formats)
+    if not present:
+        raise ValueError(f"no log lines in {paths}")
     # a format row (path, job, format, eight places) is under four rows of the split table
     few = split_table_bytes(spark, list_log_files(spark, paths)) * 4 <= BROADCAST_BYTES
-    write_entries(normalize(lines, formats, assume_year, few), f"{out_dir}/entries")
+    normalized = normalize(lines, formats, assume_year, few, present)
+    write_entries(normalized, f"{out_dir}/entries")
     entries = read_entries(spark, f"{out_dir}/entries")
     found = all_alerts(entries, thresholds).withColumn("created_at", F.current_timestamp())
     write_alerts(found.hint("rebalance", "job_id"), f"{out_dir}/alerts")
