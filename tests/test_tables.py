@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scenarios import access_scenario, auth_scenario
 from test_detect import entries
+from test_normalize import WAF_TEXT
 from wardlog.functions.ip import canonical_ip, is_public_ip
 from wardlog.operators import dashboard as dash
 from wardlog.operators import evidence, search
@@ -180,11 +181,16 @@ def test_analyze_files(spark, tmp_path):
     source.mkdir()
     (source / "a.log").write_text(auth_scenario())
     (source / "b.log").write_text(access_scenario())
-    found, alerts = analyze(spark, str(source), str(tmp_path / "out"))
+    (source / "c.csv").write_text(WAF_TEXT)
+    found, alerts, jobs = analyze(spark, str(source), str(tmp_path / "out"), owner="ann")
     assert Counter(r.job_id for r in found.select("job_id").collect()).most_common()[0][1] == 52
     assert Counter(r.severity for r in alerts.collect()) == {"critical": 1, "high": 9, "low": 5}
     evidence_of = [json.loads(r.evidence) for r in alerts.filter("detector = 'brute_force'").collect()]
     assert sorted(e["failed_attempts"] for e in evidence_of) == [10, 33]
+    assert sorted((j.filename, j.log_type, j.total_lines, j.parsed_lines) for j in jobs.collect()) == [
+        ("a.log", "Auth", 52, 52), ("b.log", "NginxAccess", 36, 36), ("c.csv", "AwsWafCsv", 4, 4),
+    ]
+    assert {j.created_by_user_id for j in jobs.collect()} == {"ann"}
 
 
 def test_ingest_stream_takes_each_file_once(spark, tmp_path):

@@ -1,17 +1,61 @@
-"""Raw log files to stored entries and alerts."""
+"""Raw log files to stored entries, alerts and jobs."""
+
+from collections import namedtuple
 
 from pyspark.sql import functions as F
 
+from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import formats_present, normalize
+from wardlog.schema import JOB_SCHEMA
 from wardlog.session import require_utc
-from wardlog.sources.lines import BROADCAST_BYTES, list_log_files, read_log_lines, split_table_bytes
+from wardlog.sources.lines import (
+    BROADCAST_BYTES, job_of, list_log_files, read_log_lines, read_values, split_table_bytes,
+)
 from wardlog.sources.tables import read_alerts, read_entries, write_alerts, write_entries
 
+Analysis = namedtuple("Analysis", "entries alerts jobs")
+
+
+def job_table(spark, paths, formats, entries, job_id=None, owner=None):
+    """One row per job: files, size, format, non-blank lines, recognised entries.
+
+    The header of a CSV export is no line. Several formats in one job are "Mixed".
+    """
+    counted = read_values(spark, paths).groupBy("source_file").agg(F.count(F.lit(1)).alias("lines"))
+    files = (
+        list_log_files(spark, paths)
+        .join(counted, "source_file", "left")
+        .join(formats.select("source_file", "format"), "source_file", "left")
+    )
+    header = F.when(F.col("format") == fixed.WAF, 1).otherwise(0)
+    jobs = files.groupBy(job_of(job_id).alias("job_id")).agg(
+        F.min(F.substring_index("source_file", "/", -1)).alias("filename"),
+        F.sum("file_size").alias("file_size"),
+        F.min("format").alias("first_format"),
+        F.max("format").alias("last_format"),
+        F.sum(F.coalesce(F.col("lines") - header, F.lit(0))).alias("total_lines"),
+    )
+    parsed = entries.groupBy("job_id").agg(
+        F.count(F.when(F.col("event_type") != "unparsed", 1)).alias("parsed_lines")
+    )
+    kind = F.coalesce(F.col("first_format"), F.lit(fixed.JSON))
+    return jobs.join(parsed, "job_id", "left").select(
+        "job_id",
+        "filename",
+        "file_size",
+        F.when(F.col("first_format") != F.col("last_format"), "Mixed").otherwise(kind).alias("log_type"),
+        F.lit("completed").alias("status"),
+        "total_lines",
+        F.coalesce("parsed_lines", F.lit(0)).alias("parsed_lines"),
+        F.lit(owner).cast("string").alias("created_by_user_id"),
+        F.current_timestamp().alias("created_at"),
+    )
+
 
-def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thresholds=None):
-    """Normalise all files, store entries, detect, store alerts; returns both tables.
+def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thresholds=None, owner=None):
+    """Normalise all files, store entries, detect, store alerts and jobs; returns the three tables.
 
     The detectors read the stored entries, not the raw lines, so every line is
     parsed once and each detector reads only its columns.
@@ -25,9 +69,11 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
         raise ValueError(f"no log lines in {paths}")
     # a format row (path, job, format, eight places) is under four rows of the split table
     few = split_table_bytes(spark, list_log_files(spark, paths)) * 4 <= BROADCAST_BYTES
-    normalized = normalize(lines, formats, assume_year, few, present)
-    write_entries(normalized, f"{out_dir}/entries")
+    write_entries(normalize(lines, formats, assume_year, few, present), f"{out_dir}/entries", "overwrite")
     entries = read_entries(spark, f"{out_dir}/entries")
     found = all_alerts(entries, thresholds).withColumn("created_at", F.current_timestamp())
-    write_alerts(found.hint("rebalance", "job_id"), f"{out_dir}/alerts")
-    return entries, read_alerts(spark, f"{out_dir}/alerts")
+    write_alerts(found.hint("rebalance", "job_id"), f"{out_dir}/alerts", "overwrite")
+    job_table(spark, paths, formats, entries, job_id, owner).write.mode("overwrite").parquet(f"{out_dir}/jobs")
+    return Analysis(
+        entries, read_alerts(spark, f"{out_dir}/alerts"), spark.read.schema(JOB_SCHEMA).parquet(f"{out_dir}/jobs")
+    )

@@ -125,6 +125,19 @@ def read_log_lines(spark, paths, job_id=None, max_lines=None):
     return clean_lines(numbered, job_id, max_lines)
 
 
+def read_values(spark, paths):
+    """Non-blank lines with their file but without numbers: (source_file, raw_line)."""
+    scan = (
+        spark.read.option("pathGlobFilter", extension_glob())
+        .option("recursiveFileLookup", "true")
+        .text(paths)
+    )
+    return scan.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        strip(F.make_valid_utf8(F.col("value"))).alias("raw_line"),
+    ).filter(F.col("raw_line") != "")
+
+
 def clean_lines(numbered, job_id=None, max_lines=None):
     """Numbered raw values to stripped, non-blank lines."""
     lines = numbered.select(
