@@ -11,22 +11,21 @@ from wardlog.operators.normalize import formats_present, normalize
 from wardlog.schema import JOB_SCHEMA
 from wardlog.session import require_utc
 from wardlog.sources.lines import (
-    BROADCAST_BYTES, job_of, list_log_files, read_log_lines, read_values, split_table_bytes,
+    clean_lines, cleaned, count_splits, job_of, list_log_files, number_rows, scan_text, splits_are_small,
 )
 from wardlog.sources.tables import read_alerts, read_entries, write_alerts, write_entries
 
 Analysis = namedtuple("Analysis", "entries alerts jobs")
 
 
-def job_table(spark, paths, formats, entries, job_id=None, owner=None):
+def job_table(files, splits, formats, entries, job_id=None, owner=None):
     """One row per job: files, size, format, non-blank lines, recognised entries.
 
     The header of a CSV export is no line. Several formats in one job are "Mixed".
     """
-    counted = read_values(spark, paths).groupBy("source_file").agg(F.count(F.lit(1)).alias("lines"))
+    counted = splits.groupBy("source_file").agg(F.sum("filled").alias("lines"))
     files = (
-        list_log_files(spark, paths)
-        .join(counted, "source_file", "left")
+        files.join(counted, "source_file", "left")
         .join(formats.select("source_file", "format"), "source_file", "left")
     )
     header = F.when(F.col("format") == fixed.WAF, 1).otherwise(0)
@@ -57,23 +56,30 @@ def job_table(spark, paths, formats, entries, job_id=None, owner=None):
 def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thresholds=None, owner=None):
     """Normalise all files, store entries, detect, store alerts and jobs; returns the three tables.
 
-    The detectors read the stored entries, not the raw lines, so every line is
-    parsed once and each detector reads only its columns.
+    Raw files are scanned three times: to count the lines of every split, for the
+    formats, and to normalise. The tables of the first two are written, as the
+    third needs both. The detectors read the stored entries, not the raw lines, so
+    every line is parsed once and each detector reads only its columns.
     """
     require_utc(spark)
-    lines = read_log_lines(spark, paths, job_id)
+    rows = scan_text(spark, paths)
+    filled = F.count(F.when(cleaned(F.col("value")) != "", 1)).alias("filled")
+    count_splits(rows, filled).write.mode("overwrite").parquet(f"{out_dir}/splits")
+    splits = spark.read.parquet(f"{out_dir}/splits")
+    lines = clean_lines(number_rows(rows, splits, splits_are_small(spark, paths)), job_id)
     detect_format(lines, hint).write.mode("overwrite").parquet(f"{out_dir}/formats")
     formats = spark.read.parquet(f"{out_dir}/formats")
     present = formats_present(formats)
     if not present:
         raise ValueError(f"no log lines in {paths}")
     # a format row (path, job, format, eight places) is under four rows of the split table
-    few = split_table_bytes(spark, list_log_files(spark, paths)) * 4 <= BROADCAST_BYTES
+    few = splits_are_small(spark, paths, 4)
     write_entries(normalize(lines, formats, assume_year, few, present), f"{out_dir}/entries", "overwrite")
     entries = read_entries(spark, f"{out_dir}/entries")
     found = all_alerts(entries, thresholds).withColumn("created_at", F.current_timestamp())
     write_alerts(found.hint("rebalance", "job_id"), f"{out_dir}/alerts", "overwrite")
-    job_table(spark, paths, formats, entries, job_id, owner).write.mode("overwrite").parquet(f"{out_dir}/jobs")
+    files = list_log_files(spark, paths)
+    job_table(files, splits, formats, entries, job_id, owner).write.mode("overwrite").parquet(f"{out_dir}/jobs")
     return Analysis(
         entries, read_alerts(spark, f"{out_dir}/alerts"), spark.read.schema(JOB_SCHEMA).parquet(f"{out_dir}/jobs")
     )

@@ -63,19 +63,43 @@ def _bytes(text):
     return int(digits) * units[text[len(digits):]]
 
 
-def number_rows(rows, broadcast_splits):
-    """Add ``line_number`` (from 1, in file order) to the rows of a splittable file scan.
+def pin_splits(spark):
+    """Keep the split size of file scans fixed for the session.
 
-    ``rows`` holds source_file, block (start byte of the split) and row_id
-    (monotonically_increasing_id taken right above the scan). The first pass
-    only counts rows per split; the prefix sums over splits then shift row_id,
-    so no file is sorted or passed through one task. ``broadcast_splits`` says
-    that the one-row-per-split table is known to be small; beyond that the join
-    is left to Spark.
+    Without a setting it follows the number of cores at the moment a scan starts,
+    so two scans of the same files could be cut differently while executors come
+    and go; line numbering needs them cut alike.
     """
-    splits = rows.groupBy("source_file", "block").agg(
-        F.count(F.lit(1)).alias("in_split"), F.min("row_id").alias("first_id")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
+def with_split_position(scan, columns):
+    """Columns of a file scan, its split (source_file, block) and row_id in task order."""
+    return scan.select(
+        *columns,
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row_id"),
+    )
+
+
+def count_splits(rows, *counts):
+    """One row per file split: how many rows it holds, its first row_id, further counts."""
+    return rows.groupBy("source_file", "block").agg(
+        F.count(F.lit(1)).alias("in_split"), F.min("row_id").alias("first_id"), *counts
     )
+
+
+def number_rows(rows, splits, broadcast_splits):
+    """Add ``line_number`` (from 1, in file order) to the rows of a splittable file scan.
+
+    ``rows`` comes from with_split_position, ``splits`` from count_splits of the
+    same rows. Prefix sums over the splits of a file shift row_id, so no file is
+    sorted or passed through one task. ``broadcast_splits`` says that the table
+    with one row per split is known to be small; beyond that the join is left to
+    Spark.
+    """
     earlier = (
         Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -86,56 +110,52 @@ def number_rows(rows, broadcast_splits):
     )
     if broadcast_splits:
         shifts = F.broadcast(shifts)
+    unknown = F.raise_error(F.lit("a file was cut differently in two scans; its lines cannot be numbered"))
     return (
-        rows.join(shifts, ["source_file", "block"])
-        .withColumn("line_number", F.col("row_id") + F.col("shift"))
+        rows.join(shifts, ["source_file", "block"], "left")
+        .withColumn(
+            "line_number",
+            F.when(F.col("shift").isNull(), unknown.cast("bigint")).otherwise(F.col("row_id") + F.col("shift")),
+        )
         .drop("block", "row_id", "shift")
     )
 
 
-def with_split_position(scan, columns):
-    """Columns of a file scan plus what number_rows needs."""
-    return scan.select(
-        *columns,
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_id"),
-    )
-
-
 def job_of(job_id):
     """Given job id, or one job per file."""
     return F.md5(F.col("source_file")) if job_id is None else F.lit(job_id)
 
 
+def scan_text(spark, paths):
+    """Raw values of text log files with their split position."""
+    pin_splits(spark)
+    scan = (
+        spark.read.option("pathGlobFilter", extension_glob())
+        .option("recursiveFileLookup", "true")
+        .text(paths)
+    )
+    return with_split_position(scan, ["value"])
+
+
+def splits_are_small(spark, paths, factor=1):
+    """Whether a table with ``factor`` rows per split surely fits a broadcast."""
+    return split_table_bytes(spark, list_log_files(spark, paths)) * factor <= BROADCAST_BYTES
+
+
 def read_log_lines(spark, paths, job_id=None, max_lines=None):
     """Lines of text log files: (job_id, source_file, line_number, raw_line).
 
     Invalid UTF-8 is replaced, numbering counts blank lines, which are then
     dropped. Without ``job_id`` every file is a job of its own.
     """
-    files = list_log_files(spark, paths)
-    scan = (
-        spark.read.option("pathGlobFilter", extension_glob())
-        .option("recursiveFileLookup", "true")
-        .text(paths)
-    )
-    small = split_table_bytes(spark, files) <= BROADCAST_BYTES
-    numbered = number_rows(with_split_position(scan, ["value"]), small)
+    rows = scan_text(spark, paths)
+    numbered = number_rows(rows, count_splits(rows), splits_are_small(spark, paths))
     return clean_lines(numbered, job_id, max_lines)
 
 
-def read_values(spark, paths):
-    """Non-blank lines with their file but without numbers: (source_file, raw_line)."""
-    scan = (
-        spark.read.option("pathGlobFilter", extension_glob())
-        .option("recursiveFileLookup", "true")
-        .text(paths)
-    )
-    return scan.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        strip(F.make_valid_utf8(F.col("value"))).alias("raw_line"),
-    ).filter(F.col("raw_line") != "")
+def cleaned(value):
+    """Raw value to line text."""
+    return strip(F.make_valid_utf8(value))
 
 
 def clean_lines(numbered, job_id=None, max_lines=None):
@@ -144,7 +164,7 @@ def clean_lines(numbered, job_id=None, max_lines=None):
         job_of(job_id).alias("job_id"),
         "source_file",
         "line_number",
-        strip(F.make_valid_utf8(F.col("value"))).alias("raw_line"),
+        cleaned(F.col("value")).alias("raw_line"),
     )
     if max_lines:
         lines = lines.filter(F.col("line_number") <= max_lines)

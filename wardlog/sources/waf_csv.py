@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardlog.sources.lines import (
-    BROADCAST_BYTES, extension_glob, job_of, list_log_files, number_rows, split_table_bytes,
-    with_split_position,
+    count_splits, extension_glob, job_of, number_rows, pin_splits, splits_are_small, with_split_position,
 )
 
 
@@ -21,6 +20,7 @@ def read_waf_csv(spark, paths, job_id=None, multiline=None):
     Files are split unless a quoted field holds a line break; then a file has to
     be read by one task (``multiline``; worked out from the data when not given).
     """
+    pin_splits(spark)
     if multiline is None:
         multiline = has_split_records(spark, paths)
     scan = (
@@ -32,7 +32,6 @@ def read_waf_csv(spark, paths, job_id=None, multiline=None):
         .option("pathGlobFilter", extension_glob())
         .csv(paths)
     )
-    small = split_table_bytes(spark, list_log_files(spark, paths)) <= BROADCAST_BYTES
-    columns = [F.col(f"`{c}`") for c in scan.columns]
-    rows = number_rows(with_split_position(scan, columns), small)
-    return rows.withColumn("job_id", job_of(job_id)).withColumn("line_number", F.col("line_number") + 1)
+    rows = with_split_position(scan, [F.col(f"`{c}`") for c in scan.columns])
+    numbered = number_rows(rows, count_splits(rows), splits_are_small(spark, paths))
+    return numbered.withColumn("job_id", job_of(job_id)).withColumn("line_number", F.col("line_number") + 1)

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import normalize
 from wardlog.session import require_utc
-from wardlog.sources.lines import clean_lines, extension_glob, number_rows
+from wardlog.sources.lines import clean_lines, count_splits, extension_glob, number_rows, pin_splits
 from wardlog.sources.tables import RAW_LINE_LIMIT
 
 
 def entries_of_batch(batch, hint=None, assume_year=2026):
     """Entries of a micro-batch of whole files; one job per file."""
-    numbered = number_rows(batch, broadcast_splits=False)
+    numbered = number_rows(batch, count_splits(batch), broadcast_splits=False)
     lines = clean_lines(numbered)
     return normalize(lines, detect_format(lines, hint), assume_year)
 
@@ -25,6 +25,7 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
     trigger is given.
     """
     require_utc(spark)
+    pin_splits(spark)
     stream = (
         spark.readStream.format("text")
         .option("pathGlobFilter", extension_glob())
