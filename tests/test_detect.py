@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from scenarios import access_scenario, auth_scenario
 from wardlog.operators.detect import DETECTOR_FUNCTIONS, all_alerts, run_all

@@ -193,6 +193,18 @@ def test_analyze_files(spark, tmp_path):
     assert {j.created_by_user_id for j in jobs.collect()} == {"ann"}
 
 
+def test_analyses_share_a_folder(spark, tmp_path):
+    for name in ("one", "two"):
+        source = tmp_path / name
+        source.mkdir(exist_ok=True)
+        (source / "a.log").write_text("Mar 11 02:10:01 h CRON[1]: pam_unix(cron:session): session opened for user root")
+        found, alerts, jobs = analyze(spark, str(source), str(tmp_path / "out"), job_id=name)
+        assert (found.count(), alerts.count(), jobs.first().job_id) == (1, 1, name)
+    for table in ("entries", "alerts", "jobs"):
+        rows = spark.read.parquet(str(tmp_path / "out" / table)).collect()
+        assert sorted(r.job_id for r in rows) == ["one", "two"]
+
+
 def test_ingest_stream_takes_each_file_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

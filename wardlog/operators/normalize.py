@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from wardlog import fixed_values as fixed
 from wardlog.operators.line_format import normalize_as
 from wardlog.operators.normalize_auth import AUTH, normalize_auth
 from wardlog.operators.normalize_firewall import FIREWALL, normalize_firewall
@@ -10,6 +9,11 @@ from wardlog.operators.normalize_json import JSON, normalize_json
 from wardlog.operators.normalize_waf import WAF
 from wardlog.operators.normalize_web import ACCESS, ERROR, normalize_access, normalize_nginx_error
 
+__all__ = [
+    "LINE_FORMATS", "formats_present", "normalize", "normalize_access", "normalize_auth", "normalize_firewall",
+    "normalize_json", "normalize_nginx_error", "parse_stats",
+]
+
 # Extension point: a further format is one more LineFormat in this list.
 LINE_FORMATS = [WAF, AUTH, ACCESS, ERROR, JSON, FIREWALL]
 

@@ -8,12 +8,13 @@ from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import formats_present, normalize
-from wardlog.schema import JOB_SCHEMA
 from wardlog.session import require_utc
 from wardlog.sources.lines import (
     clean_lines, cleaned, count_splits, job_of, list_log_files, number_rows, scan_text, splits_are_small,
 )
-from wardlog.sources.tables import read_alerts, read_entries, write_alerts, write_entries
+from wardlog.sources.tables import (
+    read_alerts, read_entries, read_jobs, write_alerts, write_entries, write_jobs,
+)
 
 Analysis = namedtuple("Analysis", "entries alerts jobs")
 
@@ -54,7 +55,9 @@ def job_table(files, splits, formats, entries, job_id=None, owner=None):
 
 
 def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thresholds=None, owner=None):
-    """Normalise all files, store entries, detect, store alerts and jobs; returns the three tables.
+    """Normalise all files, store entries, detect, store alerts and jobs; returns the
+    rows of this run's jobs in the three tables. Other jobs in ``out_dir`` are kept,
+    the same job is replaced.
 
     Raw files are scanned three times: to count the lines of every split, for the
     formats, and to normalise. The tables of the first two are written, as the
@@ -75,11 +78,16 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     # a format row (path, job, format, eight places) is under four rows of the split table
     few = splits_are_small(spark, paths, 4)
     write_entries(normalize(lines, formats, assume_year, few, present), f"{out_dir}/entries", "overwrite")
-    entries = read_entries(spark, f"{out_dir}/entries")
+    if job_id is None:
+        ids = formats.select("job_id").distinct()
+        of_run = lambda table: table.join(ids, "job_id", "left_semi")
+    else:
+        of_run = lambda table: table.filter(F.col("job_id") == job_id)
+    entries = of_run(read_entries(spark, f"{out_dir}/entries"))
     found = all_alerts(entries, thresholds).withColumn("created_at", F.current_timestamp())
     write_alerts(found.hint("rebalance", "job_id"), f"{out_dir}/alerts", "overwrite")
     files = list_log_files(spark, paths)
-    job_table(files, splits, formats, entries, job_id, owner).write.mode("overwrite").parquet(f"{out_dir}/jobs")
+    write_jobs(job_table(files, splits, formats, entries, job_id, owner), f"{out_dir}/jobs", "overwrite")
     return Analysis(
-        entries, read_alerts(spark, f"{out_dir}/alerts"), spark.read.schema(JOB_SCHEMA).parquet(f"{out_dir}/jobs")
+        entries, of_run(read_alerts(spark, f"{out_dir}/alerts")), of_run(read_jobs(spark, f"{out_dir}/jobs"))
     )

@@ -8,7 +8,7 @@ from wardlog.functions.ip import is_public_ip
 from wardlog.functions.times import plain_text
 from wardlog.operators import dashboard as dash
 from wardlog.operators import evidence, search
-from wardlog.operators.detect import DETECTOR_FUNCTIONS, all_alerts, run_all
+from wardlog.operators.detect import DETECTOR_FUNCTIONS, run_all
 from wardlog.operators.detect_brute_force import find_bursts, success_after
 from wardlog.operators.detect_web import match_attack_categories
 from wardlog.operators.formats import detect_format

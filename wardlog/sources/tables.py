@@ -2,11 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from wardlog.schema import ALERT_SCHEMA, ENTRY_SCHEMA
+from wardlog.schema import ALERT_SCHEMA, ENTRY_SCHEMA, JOB_SCHEMA
 
 RAW_LINE_LIMIT = 2000
 
 
+def _write_by_job(table, path, mode):
+    """Overwriting replaces the folders of the jobs in ``table`` and keeps all others."""
+    writer = table.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("job_id").parquet(path)
+
+
 def write_entries(entries, path, mode="append"):
     """Save entries; the raw line is cut to its stored length.
 
@@ -14,7 +20,7 @@ def write_entries(entries, path, mode="append"):
     written by many tasks.
     """
     cut = entries.withColumn("raw_line", F.substring("raw_line", 1, RAW_LINE_LIMIT))
-    cut.write.mode(mode).partitionBy("job_id").parquet(path)
+    _write_by_job(cut, path, mode)
 
 
 def read_entries(spark, path):
@@ -22,7 +28,15 @@ def read_entries(spark, path):
 
 
 def write_alerts(alerts, path, mode="append"):
-    alerts.write.mode(mode).partitionBy("job_id").parquet(path)
+    _write_by_job(alerts, path, mode)
+
+
+def write_jobs(jobs, path, mode="append"):
+    _write_by_job(jobs, path, mode)
+
+
+def read_jobs(spark, path):
+    return spark.read.schema(JOB_SCHEMA).parquet(path)
 
 
 def read_alerts(spark, path):
