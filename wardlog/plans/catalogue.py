@@ -469,7 +469,7 @@ def event_type_distribution(spark, sf_dir):
 
 @query
 def alert_digest(spark, sf_dir):
-    return evidence.alert_digest(fx.alert_fixture(spark, sf_dir).withColumn("evidence", F.lit("")))
+    return evidence.alert_digest(fx.alert_fixture(spark, sf_dir))
 
 
 @query
@@ -480,8 +480,7 @@ def notable_sample(spark, sf_dir):
 @query
 def evidence_pack(spark, sf_dir):
     return evidence.evidence_pack(
-        fx.log_fixture(spark, sf_dir), fx.alert_fixture(spark, sf_dir).withColumn("evidence", F.lit("")),
-        fx.job_fixture(spark, sf_dir),
+        fx.log_fixture(spark, sf_dir), fx.alert_fixture(spark, sf_dir), fx.job_fixture(spark, sf_dir)
     )
 
 

@@ -349,7 +349,9 @@ exfil AS (
   SELECT h.job_id, h.source_ip, any_value(h.bytes) AS bytes, any_value(h.requests) AS requests,
     any_value(h.bytes) / 1048576 AS mb,
     string_agg(t.endpoint || '=' || t.b, ',' ORDER BY t.place) FILTER (WHERE t.place <= 5) AS top5,
-    string_agg(t.endpoint, ', ' ORDER BY t.place) FILTER (WHERE t.place <= 3) AS top3
+    string_agg(t.endpoint, ', ' ORDER BY t.place) FILTER (WHERE t.place <= 3) AS top3,
+    '[' || coalesce(string_agg('{"endpoint":"' || t.endpoint || '","bytes":' || t.b || '}', ',' ORDER BY t.place)
+      FILTER (WHERE t.place <= 5), '') || ']' AS top_json
   FROM heavy h LEFT JOIN tops t ON t.job_id = h.job_id AND t.source_ip = h.source_ip GROUP BY 1, 2),
 exfil_alerts AS (
   SELECT *, CASE WHEN mb >= 500 THEN 'critical' WHEN mb >= 200 THEN 'high' ELSE 'medium' END AS severity,
@@ -402,10 +404,14 @@ al AS (
   SELECT *, CAST({RANK} AS INTEGER) AS severity_rank, TIMESTAMP '2024-01-15 12:00:00' AS created_at FROM (
     SELECT job_id, 'exfiltration' AS detector, 6 AS detector_order, 'data_exfiltration' AS alert_type, severity, source_ip,
       title, description, (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
-        AND f.response_size <> 0) AS order_line FROM exfil_alerts a
+        AND f.response_size <> 0) AS order_line,
+      '{{"total_bytes":' || bytes || ',"total_mb":' || round_even(mb, 1) || ',"request_count":' || requests
+        || ',"top_endpoints":' || top_json || '}}' AS evidence FROM exfil_alerts a
     UNION ALL SELECT job_id, 'error_flood', 7, 'api_abuse', severity, source_ip, title, description,
       (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
-        AND f.status_code >= 400) FROM flood_alerts a)),
+        AND f.status_code >= 400),
+      '{{"4xx_count":' || client || ',"5xx_count":' || server || ',"status_distribution":' || by_status
+        || ',"total_errors":' || errors || '}}' FROM flood_alerts a)),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY job_id
     ORDER BY severity_rank DESC, detector_order, order_line, title, source_ip, description) AS number FROM al)"""
@@ -565,7 +571,8 @@ notable AS (
   FROM fxm WHERE event_type IN {among(fixed.NOTABLE_TYPES)} QUALIFY number <= 30),
 digest AS (
   SELECT job_id, number, chr(10) || 'Alert #' || number || ': [' || upper(severity) || '] ' || title || chr(10) || '  Type: '
-    || alert_type || chr(10) || '  Description: ' || description || chr(10) || '  Source IP: ' || source_ip AS text
+    || alert_type || chr(10) || '  Description: ' || description || chr(10) || '  Source IP: ' || source_ip || chr(10)
+    || '  Evidence: ' || left(evidence, 500) AS text
   FROM numbered)"""
 ORACLES["event_type_distribution"] = over("SELECT job_id, place, event_type, count FROM types", *WITH_ALERTS, EVIDENCE)
 ORACLES["alert_digest"] = over("SELECT job_id, number, text FROM digest", *WITH_ALERTS, EVIDENCE)
