@@ -70,6 +70,8 @@ def test_empty_side_tables(spark, as_docs):
 def test_filters_keep_columns(spark, as_docs):
     docs = as_docs(EDGE_ROWS, clashing=True)
     assert without_toxic(docs, labels(spark)).columns == docs.columns
+    capitals = as_docs([(1, "A Tie TIE, more"), (2, "clean Text")])
+    assert [r["doc_id"] for r in without_contaminated(capitals, items(spark)).collect()] == [2]
     kept = without_contaminated(docs, items(spark))
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 8, 9, 10]

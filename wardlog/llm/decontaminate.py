@@ -18,9 +18,8 @@ BROADCAST_DOCUMENTS = 1_000_000
 
 
 def word_rows(frame, *columns):
-    return frame.select(*columns, ascii_lower(text_or_empty()).alias("text")).select(
-        *columns, terms("text").alias("words")
-    )
+    rows = frame.select(*columns, ascii_lower(text_or_empty()).alias("text"))
+    return rows.select(*rows.columns[:-1], terms("text").alias("words"))
 
 
 def item_windows(benchmark, width=WINDOW):
