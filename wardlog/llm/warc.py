@@ -151,7 +151,8 @@ def on_chain(candidates):
     """file and at of the records reachable from the start of their file.
 
     Each round doubles the jumps: a reached record marks the one its jump leads to, and every jump is
-    followed by its target's. The longest chain has as many records as a file has candidates.
+    followed by its target's. The longest chain has as many records as a file has candidates. The joins are
+    sorted ones: these tables are small on disk and large in memory, which a broadcast would not know.
     """
     jumps = stored(candidates.select("file", "at", "next", (F.col("at") == 0).alias("reached")), "warc-jumps")
     longest = jumps.groupBy("file").count().agg(F.max("count")).first()[0] or 0
@@ -160,8 +161,8 @@ def on_chain(candidates):
         marks = jumps.where("reached and next is not null").select("file", F.col("next").alias("at"),
                                                                  F.lit(True).alias("mark")).distinct()
         jumps = stored(
-            jumps.join(target, ["file", "next"], "left")
-            .join(marks, ["file", "at"], "left")
+            jumps.join(target.hint("merge"), ["file", "next"], "left")
+            .join(marks.hint("merge"), ["file", "at"], "left")
             .select("file", "at", F.col("then").alias("next"),
                     (F.col("reached") | F.coalesce("mark", F.lit(False))).alias("reached")),
             "warc-jumps",
@@ -183,7 +184,7 @@ def read_archives(spark, path):
         "next", F.col("at") + len(MAGIC) + F.col("header_bytes") + F.col("length") + len(END)
     )
     kept = stored(on_chain(candidates), "warc-kept")
-    records = candidates.join(kept, ["file", "at"])
+    records = candidates.join(kept.hint("merge"), ["file", "at"])
     torn = records.where("not whole").select("file", "at", "next")
     if not torn.take(1):
         return records.select(*RECORD)
