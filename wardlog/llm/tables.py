@@ -1,5 +1,6 @@
 """Test tables, and tables written to the shared folder."""
 
+import tempfile
 import uuid
 
 
@@ -10,10 +11,13 @@ def table(spark, sf_dir, name):
 def shared_path(spark, name):
     """A fresh path all executors can reach.
 
-    That is below spark.checkpoint.dir of the session; where it is unset, below the warehouse,
-    which is shared as well.
+    That is below spark.checkpoint.dir of the session. Where it is unset, a cluster uses the warehouse, which is
+    shared as well, and a local session, which has no other machine, a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
