@@ -16,7 +16,7 @@ from wardlog.operators.detect import all_alerts
 from wardlog.operators.normalize import normalize_auth
 from wardlog.operators.reputation import enrich_ips, public_ips, reputation_band
 from wardlog.operators.timeline import filter_timeline, timeline, timeline_types
-from wardlog.plans.analyze import analyze
+from wardlog.plans.analyze import analyze, current
 from wardlog.streaming.ingest import ingest_stream
 from wardlog.streaming.rate import stream_rate
 
@@ -170,6 +170,9 @@ def test_enrichment(spark):
     assert got["8.8.8.8"].abuseipdb.abuse_confidence_score == 80 and got["9.9.9.9"].abuseipdb is None
     assert got["8.8.8.8"].virustotal.malicious == 0 and got["9.9.9.9"].virustotal.malicious == 7
     assert got["1.1.1.1"].virustotal is None and got["1.1.1.1"].errors == ["VirusTotal: HTTP 500"]
+    six = public_ips(entries(spark, [{"source_ip": "2606:4700::1"}]))
+    spelled = spark.createDataFrame([("2606:4700:0::1", 9, new)], "ip string, abuse_confidence_score int, checked_at timestamp")
+    assert enrich_ips(six, spelled, None, NOW).first().abuseipdb.abuse_confidence_score == 9
     bare = enrich_ips(ips).first()
     assert bare.abuseipdb is None and not bare.configured_virustotal
     bands = spark.createDataFrame([(0,), (25,), (75,)], "s int").select(reputation_band(F.col("s")).alias("b"))
@@ -205,6 +208,20 @@ def test_analyses_share_a_folder(spark, tmp_path):
         assert sorted(r.job_id for r in rows) == ["one", "two"]
 
 
+def test_a_second_analysis_replaces_the_first(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    out = str(tmp_path / "out")
+    (source / "a b.log").write_text("Mar 11 02:10:01 h CRON[1]: pam_unix(cron:session): session opened for user root")
+    first = analyze(spark, str(source), out, job_id="j")
+    assert [(j.total_lines, j.parsed_lines) for j in first.jobs.collect()] == [(1, 1)] and first.alerts.count() == 1
+    (source / "a b.log").write_text("Mar 11 12:10:01 h app: " + "x" * 3000)
+    analyze(spark, str(source), out, job_id="j")
+    entries, alerts, jobs = current(spark, out)
+    assert (entries.count(), alerts.count(), jobs.count()) == (1, 0, 1)
+    assert len(entries.first().raw_line) > 3000 and first.entries.count() == 1
+
+
 def test_ingest_stream_takes_each_file_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -56,6 +56,8 @@ def enrich_ips(ips, abuse=None, vt=None, now=None, ttl_seconds=3600):
         if table is None:
             out = out.withColumn(f"{name}_record", F.lit(None))
         else:
+            # providers may spell an IPv6 address otherwise than the entries
+            table = table.withColumn("ip", F.coalesce(canonical_ip(F.col("ip")), F.col("ip")))
             latest = _latest(table, fields, now, ttl_seconds).withColumnRenamed("record", f"{name}_record")
             out = out.join(latest, "ip", "left")
     a, v = F.col("abuse_record"), F.col("virustotal_record")

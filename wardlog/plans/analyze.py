@@ -1,13 +1,16 @@
 """Raw log files to stored entries, alerts and jobs."""
 
+import uuid
 from collections import namedtuple
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import formats_present, normalize
+from wardlog.schema import ALERT_SCHEMA, ENTRY_SCHEMA, JOB_SCHEMA
 from wardlog.session import require_utc
 from wardlog.sources.lines import (
     clean_lines, cleaned, count_splits, job_of, list_log_files, number_rows, scan_text, splits_are_small,
@@ -56,8 +59,10 @@ def job_table(files, splits, formats, entries, job_id=None, owner=None):
 
 def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thresholds=None, owner=None):
     """Normalise all files, store entries, detect, store alerts and jobs; returns the
-    rows of this run's jobs in the three tables. Other jobs in ``out_dir`` are kept,
-    the same job is replaced.
+    rows of this run's jobs in the three tables. Each run writes folders of its own
+    below ``out_dir``, so that earlier results stay readable and an alert that is no
+    longer raised is in none of this run's; ``current`` reads every job's latest run.
+    Files without a line give a job with no lines.
 
     Raw files are scanned three times: to count the lines of every split, for the
     formats, and to normalise. The tables of the first two are written, as the
@@ -67,27 +72,31 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     require_utc(spark)
     rows = scan_text(spark, paths)
     filled = F.count(F.when(cleaned(F.col("value")) != "", 1)).alias("filled")
-    count_splits(rows, filled).write.mode("overwrite").parquet(f"{out_dir}/splits")
-    splits = spark.read.parquet(f"{out_dir}/splits")
+    run = f"run_id=r{uuid.uuid4().hex}"
+    count_splits(rows, filled).write.parquet(f"{out_dir}/splits/{run}")
+    splits = spark.read.parquet(f"{out_dir}/splits/{run}")
     lines = clean_lines(number_rows(rows, splits, splits_are_small(spark, paths)), job_id)
-    detect_format(lines, hint).write.mode("overwrite").parquet(f"{out_dir}/formats")
-    formats = spark.read.parquet(f"{out_dir}/formats")
-    present = formats_present(formats)
-    if not present:
-        raise ValueError(f"no log lines in {paths}")
+    detect_format(lines, hint).write.parquet(f"{out_dir}/formats/{run}")
+    formats = spark.read.parquet(f"{out_dir}/formats/{run}")
+    present = formats_present(formats) or [fixed.JSON]
     # a format row (path, job, format, eight places) is under four rows of the split table
     few = splits_are_small(spark, paths, 4)
-    write_entries(normalize(lines, formats, assume_year, few, present), f"{out_dir}/entries", "overwrite")
-    if job_id is None:
-        ids = formats.select("job_id").distinct()
-        of_run = lambda table: table.join(ids, "job_id", "left_semi")
-    else:
-        of_run = lambda table: table.filter(F.col("job_id") == job_id)
-    entries = of_run(read_entries(spark, f"{out_dir}/entries"))
+    path = lambda table: f"{out_dir}/{table}/{run}"
+    write_entries(normalize(lines, formats, assume_year, few, present), path("entries"), raw_chars=None)
+    entries = read_entries(spark, path("entries"))
     found = all_alerts(entries, thresholds).withColumn("created_at", F.current_timestamp())
-    write_alerts(found.hint("rebalance", "job_id"), f"{out_dir}/alerts", "overwrite")
+    write_alerts(found.hint("rebalance", "job_id"), path("alerts"))
     files = list_log_files(spark, paths)
-    write_jobs(job_table(files, splits, formats, entries, job_id, owner), f"{out_dir}/jobs", "overwrite")
-    return Analysis(
-        entries, of_run(read_alerts(spark, f"{out_dir}/alerts")), of_run(read_jobs(spark, f"{out_dir}/jobs"))
-    )
+    write_jobs(job_table(files, splits, formats, entries, job_id, owner), path("jobs"))
+    return Analysis(entries, read_alerts(spark, path("alerts")), read_jobs(spark, path("jobs")))
+
+
+def current(spark, out_dir):
+    """Entries, alerts and jobs below ``out_dir``, of every job's latest run."""
+    whole = lambda table, schema: spark.read.schema(
+        T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
+    ).parquet(f"{out_dir}/{table}")
+    jobs = whole("jobs", JOB_SCHEMA)
+    latest = jobs.groupBy("job_id").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
+    pick = lambda table: table.join(latest, ["job_id", "run_id"], "left_semi").drop("run_id")
+    return Analysis(pick(whole("entries", ENTRY_SCHEMA)), pick(whole("alerts", ALERT_SCHEMA)), pick(jobs))

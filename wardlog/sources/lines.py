@@ -30,7 +30,7 @@ def list_log_files(spark, paths):
         .load(paths)
     )
     return files.select(
-        F.col("path").alias("source_file"),
+        F.col("_metadata.file_path").alias("source_file"),  # as the text scans name it
         F.col("length").alias("file_size"),
         F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"),
     )

@@ -13,14 +13,15 @@ def _write_by_job(table, path, mode):
     writer.partitionBy("job_id").parquet(path)
 
 
-def write_entries(entries, path, mode="append"):
-    """Save entries; the raw line is cut to its stored length.
+def write_entries(entries, path, mode="append", raw_chars=RAW_LINE_LIMIT):
+    """Save entries; the raw line is cut to ``raw_chars`` characters, or kept whole with None.
 
     Rows stay in the tasks that parsed them: no shuffle, and a large job is
     written by many tasks.
     """
-    cut = entries.withColumn("raw_line", F.substring("raw_line", 1, RAW_LINE_LIMIT))
-    _write_by_job(cut, path, mode)
+    if raw_chars:
+        entries = entries.withColumn("raw_line", F.substring("raw_line", 1, raw_chars))
+    _write_by_job(entries, path, mode)
 
 
 def read_entries(spark, path):

@@ -6,7 +6,6 @@ from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import normalize
 from wardlog.session import require_utc
 from wardlog.sources.lines import clean_lines, count_splits, extension_glob, number_rows, pin_splits
-from wardlog.sources.tables import RAW_LINE_LIMIT
 
 
 def entries_of_batch(batch, hint=None, assume_year=2026):
@@ -43,8 +42,7 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
         rows = batch.withColumn("row_id", F.monotonically_increasing_id())
         entries = entries_of_batch(rows, hint, assume_year)
         (
-            entries.withColumn("raw_line", F.substring("raw_line", 1, RAW_LINE_LIMIT))
-            .write.mode("overwrite").partitionBy("job_id").parquet(f"{out_dir}/batch_id={batch_id}")
+            entries.write.mode("overwrite").partitionBy("job_id").parquet(f"{out_dir}/batch_id={batch_id}")
         )
 
     return (
