@@ -93,7 +93,7 @@ def part_signatures(sets, percent):
         if small.any():
             total = np.add.reduceat(weight, starts)[small]
             owners.append(owner[starts][small])
-            signatures.append(mixed(total + U64(level) * ODD[5]))
+            signatures.append(mixed(total + U64(level * int(ODD[5]) & 0xFFFFFFFFFFFFFFFF)))
         of_gram = np.repeat(size, size)
         go_on = of_gram >= fewest
         owner, grams, weight, parent = owner[go_on], grams[go_on], weight[go_on], of_gram[go_on]
