@@ -49,3 +49,23 @@ def test_waf_csv_with_line_break_in_a_cell(spark, tmp_path):
     (tmp_path / "w.csv").write_text('timestamp,uri,clientIp,httpMethod\n1,"/a\n/b",1.1.1.1,GET\n2,/c,1.1.1.2,GET\n')
     rows = normalize_waf(read_waf_csv(spark, str(tmp_path), "j")).collect()
     assert [(r.line_number, r.endpoint) for r in rows] == [(2, "/a\n/b"), (3, "/c")]
+
+
+def test_a_line_break_in_one_export_leaves_the_others_split(spark, tmp_path):
+    head = "timestamp,action,uri"
+    plain = "\n".join([head, *[f"{i},BLOCK,/p{i}" for i in range(400)]])
+    (tmp_path / "plain.csv").write_text(plain)
+    (tmp_path / "broken.csv").write_text(f'{head}\n1,ALLOW,"/a\n/b"\n2,ALLOW,/c')
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = read_waf_csv(spark, str(tmp_path), "j")
+        got = {(r.source_file.rsplit("/", 1)[1], r.line_number): r.uri for r in rows.collect()}
+        tasks = rows.rdd.getNumPartitions()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    want = {("plain.csv", i + 2): f"/p{i}" for i in range(400)}
+    assert got == want | {("broken.csv", 2): "/a\n/b", ("broken.csv", 3): "/c"}
+    assert tasks > 5

@@ -10,6 +10,8 @@ from scenarios import PATIENT_TRIES, SPRAYED, SPRAYER, access_scenario, auth_sce
 from test_detect import entries
 from test_normalize import WAF_TEXT
 from wardlog.functions.ip import canonical_ip, is_public_ip
+from wardlog.functions.text import spaced_json
+from wardlog.functions.times import as_instant
 from wardlog.operators import dashboard as dash
 from wardlog.operators import evidence, search
 from wardlog.operators.detect import all_alerts
@@ -214,7 +216,7 @@ def test_a_second_analysis_replaces_the_first(spark, tmp_path):
     out = str(tmp_path / "out")
     (source / "a b.log").write_text("Mar 11 02:10:01 h CRON[1]: pam_unix(cron:session): session opened for user root")
     first = analyze(spark, str(source), out, job_id="j")
-    assert [(j.total_lines, j.parsed_lines) for j in first.jobs.collect()] == [(1, 1)] and first.alerts.count() == 1
+    assert [(j.filename, j.total_lines, j.parsed_lines) for j in first.jobs.collect()] == [("a b.log", 1, 1)] and first.alerts.count() == 1
     (source / "a b.log").write_text("Mar 11 12:10:01 h app: " + "x" * 3000)
     analyze(spark, str(source), out, job_id="j")
     entries, alerts, jobs = current(spark, out)
@@ -235,6 +237,45 @@ def test_ingest_stream_takes_each_file_once(spark, tmp_path):
     assert sorted(r.line_number for r in rows if r.status_code is None) == list(range(1, 37))
 
 
+def test_late_files_count_in_the_stream(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for name, seconds in (("1", [86400 * 9]), ("2", [5, 86400 * 9 + 1]), ("3", [6])):
+        entries(spark, [{"source_ip": "1.1.1.1", "second": s} for s in seconds]).write.parquet(str(tmp_path / "made" / name))
+    source = str(tmp_path / "in")
+    schema = spark.read.parquet(str(tmp_path / "made" / "1")).schema
+    for name in ("1", "2", "3"):  # one run for each file, the older times last
+        spark.read.parquet(str(tmp_path / "made" / name)).coalesce(1).write.mode("append").parquet(source)
+        rates = stream_rate(spark.readStream.schema(schema).parquet(source))
+        rates.writeStream.outputMode("update").foreachBatch(
+            lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}")
+        ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("window_start").agg(F.max_by("requests", "batch_id").alias("n"))
+    assert sorted(r.n for r in last.collect()) == [2, 2]
+
+
+def test_evidence_text_is_spaced_and_escaped(spark):
+    values = [
+        {"a": [1, 2.5, None, True], "b": {"c": "x, y: z"}, "d": []}, {"q": 'say "hi", then: \\ go', "e": "z\u00fc\U0001f600"},
+        {"list": ["a, b", "c:d"], "n": "x" * 600}, {"long": ["k, l"] * 200}, {},
+    ]
+    rows = [(i, json.dumps(v, separators=(",", ":"), ensure_ascii=False)) for i, v in enumerate(values)]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, t string").select("i", spaced_json(F.col("t"), 500).alias("t")).collect()}
+    assert got == {i: json.dumps(v)[:500] for i, v in enumerate(values)}
+
+
+def test_instants_do_not_follow_the_session_zone(spark):
+    wall = F.lit("2026-02-09 02:14:00.000123").cast("timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = spark.range(1).select(
+            F.unix_micros(as_instant(wall)).alias("us"), F.unix_micros(as_instant(wall, F.lit(3600))).alias("east")
+        ).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = (datetime(2026, 2, 9, 2, 14, 0, 123) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    assert (row.us, row.east) == (want, want - 3_600_000_000)
+
+
 def test_stream_rate_on_a_table(spark):
     df = entries(spark, [{"source_ip": "1.1.1.1", "second": s} for s in (0, 10, 59, 60, 130)])
     assert sorted(r.requests for r in stream_rate(df).collect()) == [1, 1, 3]

@@ -53,3 +53,17 @@ def case(pairs, otherwise=None):
     if otherwise is None:
         return col
     return col.otherwise(otherwise if not isinstance(otherwise, (str, int, float)) else F.lit(otherwise))
+
+
+# a string with the brackets that close behind it, or what lies between strings; then a separator or the end
+JSON_TOKEN = r'("(?:[^"\\]++|\\.?)*+(?:"[\]}]*+|$)|[^",:]++)([,:]|$)'
+
+
+def spaced_json(json, chars):
+    """The first ``chars`` characters of compact JSON text, written with a blank behind each comma
+    and colon and with other than ASCII characters as ``\\u`` escapes."""
+    spaced = F.regexp_replace(F.substring(json, 1, chars), JSON_TOKEN, "$1$2 ")
+    part = F.substring(F.regexp_replace(spaced, r"\} $", "}"), 1, chars)
+    escape = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = F.transform(F.split(part, ""), lambda c: F.when(c <= "\x7f", c).otherwise(escape(c)))
+    return F.when(part.rlike(r"[^\x00-\x7F]"), F.substring(F.array_join(escaped, ""), 1, chars)).otherwise(part)

@@ -21,6 +21,8 @@ PATTERNS = [
     "dd/MMM/yyyy:HH:mm:ss", "d MMM yyyy HH:mm:ss", "d MMM yyyy",
     "MMM d HH:mm:ss yyyy", "MMM d yyyy HH:mm:ss", "MMM d, yyyy HH:mm:ss", "MMM d, yyyy h:mm:ss a",
     "MMM d, yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy h:mm:ss a", "M/d/yyyy",
+    "MMMM d, yyyy HH:mm:ss", "MMMM d, yyyy", "d MMMM yyyy HH:mm:ss", "d MMMM yyyy",
+    "d-MMM-yyyy HH:mm:ss", "d-MMM-yyyy", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd",
 ]
 
 
@@ -47,8 +49,8 @@ def syslog_clock(parts, assume_year, first=0):
 
 
 def as_instant(wall, offset_seconds=None):
-    """The instant of a wall clock time, less its offset from UTC."""
-    instant = wall.cast("timestamp")
+    """The instant of a wall clock time, less its offset from UTC; the session's zone plays no part."""
+    instant = F.concat(wall.cast("string"), F.lit("Z")).cast("timestamp")
     if offset_seconds is None:
         return instant
     shifted = F.timestamp_micros(F.unix_micros(instant) - offset_seconds.cast("bigint") * 1000000)

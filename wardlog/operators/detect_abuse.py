@@ -11,6 +11,9 @@ from wardlog.operators.sliding import sliding_counts, window_slots
 KEYS = ["job_id", "source_ip"]
 MIB = 1024 * 1024
 
+# Fixed values of the alert table: titles, descriptions, labels of the evidence, actions and the steps of the
+# severity ladders below. They are written where they are used.
+
 
 def peak_rates(entries, window_seconds=60, threshold=100):
     """Per address: the most rows in any window ending at a row, the first such

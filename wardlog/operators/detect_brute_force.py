@@ -9,6 +9,8 @@ from wardlog.functions.times import micros, plain_text
 from wardlog.operators.alert import alert_rows, fixed_decimals, present, text
 from wardlog.operators.sliding import sliding_counts, window_slots
 
+# Fixed values of the alert table: titles, descriptions, labels of the evidence, actions and the steps of the
+# severity ladders below. They are written where they are used.
 KEYS = ["job_id", "source_ip"]
 SAMPLE = 10
 BURST = ["count", "last_us", "at_last", "order_line", "success"]

@@ -8,6 +8,8 @@ from wardlog.functions.times import micros, plain_text
 from wardlog.operators.alert import alert_rows, present, text
 from wardlog.operators.sliding import slice_of
 
+# Fixed values of the alert table: titles, descriptions, labels of the evidence, actions and the steps of the
+# severity ladders below. They are written where they are used.
 # a user's events are cut into slices of this length, so no user is one task
 STREAK_SLICE_US = 3600 * 1_000_000
 

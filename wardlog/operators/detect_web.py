@@ -12,6 +12,9 @@ SAMPLE_ENDPOINTS = 5
 # partial results of a group are merged this many at a time
 FAN_IN = 1000
 
+# Fixed values of the alert table: titles, descriptions, labels of the evidence, actions and the steps of the
+# severity ladders below. They are written where they are used.
+
 
 def signature(category):
     """One alternation for all patterns of a category."""

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.functions.text import case
+from wardlog.functions.text import case, spaced_json
 from wardlog.functions.times import plain_text
 from wardlog.operators.alert import text
 from wardlog.operators.dashboard import facet_counts, most_frequent
@@ -46,7 +46,7 @@ def alert_digest(alerts):
         "\nAlert #", F.col("number"), ": [", F.upper("severity"), "] ", F.col("title"),
         "\n  Type: ", F.col("alert_type"), "\n  Description: ", F.col("description"),
         line("Source IP", F.col("source_ip")), line("Target Account", F.col("target_account")),
-        line("Evidence", F.substring("evidence", 1, EVIDENCE_CHARS)),
+        line("Evidence", spaced_json(F.col("evidence"), EVIDENCE_CHARS)),
     )
     return numbered_alerts(alerts).select("job_id", "number", block.alias("text"))
 

@@ -14,6 +14,8 @@ __all__ = [
     "normalize_json", "normalize_nginx_error", "parse_stats",
 ]
 
+# Files whose formats may be broadcast; a row (path, job, format, eight places) takes a few hundred bytes.
+BROADCAST_FILES = 500_000
 # Extension point: a further format is one more LineFormat in this list.
 LINE_FORMATS = [WAF, AUTH, ACCESS, ERROR, JSON, FIREWALL]
 

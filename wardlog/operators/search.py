@@ -51,6 +51,11 @@ def list_alerts(alerts, jobs, job_id=None, severity=None, owner=None):
     return found.orderBy(F.desc("created_at"), "job_id", *alert_order())
 
 
+def count_alerts(alerts, jobs, job_id=None, severity=None, owner=None):
+    """Number of the alerts that list_alerts gives."""
+    return scoped_alerts(alerts, jobs, job_id, severity, owner).agg(F.count(F.lit(1)).alias("total"))
+
+
 def filter_alerts(alerts, text):
     """Alerts whose level is ``text`` or whose type contains it."""
     return alerts.filter((F.col("severity") == text) | F.contains("alert_type", F.lit(text)))
@@ -62,6 +67,12 @@ def job_summary(jobs, alerts):
     return jobs.join(counts, "job_id", "left").withColumn("alert_count", F.coalesce("alert_count", F.lit(0)))
 
 
+def count_jobs(jobs, owner=None):
+    """Number of the jobs that list_jobs pages through."""
+    found = jobs if owner is None else scope_to_owner(jobs, owner)
+    return found.agg(F.count(F.lit(1)).alias("total"))
+
+
 def list_jobs(jobs, page=1, page_size=20, owner=None):
     """One page of jobs, newest first."""
     if owner is not None:

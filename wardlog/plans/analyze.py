@@ -34,7 +34,8 @@ def job_table(files, splits, formats, entries, job_id=None, owner=None):
     )
     header = F.when(F.col("format") == fixed.WAF, 1).otherwise(0)
     jobs = files.groupBy(job_of(job_id).alias("job_id")).agg(
-        F.min(F.substring_index("source_file", "/", -1)).alias("filename"),
+        # the scans escape paths; a plus sign stands for itself there
+        F.min(F.url_decode(F.replace(F.substring_index("source_file", "/", -1), F.lit("+"), F.lit("%2B")))).alias("filename"),
         F.sum("file_size").alias("file_size"),
         F.min("format").alias("first_format"),
         F.max("format").alias("last_format"),

@@ -13,8 +13,8 @@ from wardlog.operators.detect_brute_force import find_bursts, success_after
 from wardlog.operators.detect_web import match_attack_categories
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import (
-    normalize, normalize_access, normalize_auth, normalize_firewall, normalize_json, normalize_nginx_error,
-    parse_stats,
+    BROADCAST_FILES, formats_present, normalize, normalize_access, normalize_auth, normalize_firewall,
+    normalize_json, normalize_nginx_error, parse_stats,
 )
 from wardlog.operators.normalize_waf import normalize_waf
 from wardlog.operators.normalize_web import classify_request
@@ -177,7 +177,11 @@ def detect_file_formats(spark, sf_dir):
 def normalize_mixed_files(spark, sf_dir):
     """All formats in one pass, counted per file and event type."""
     lines = fx.mixed_files(spark, sf_dir)
-    entries = normalize(lines, detect_format(lines), assume_year=2024)
+    stored = scratch_path(spark, "formats")
+    detect_format(lines).write.parquet(stored)
+    formats = spark.read.parquet(stored)
+    few = formats.count() <= BROADCAST_FILES
+    entries = normalize(lines, formats, assume_year=2024, small_formats=few, present=formats_present(formats))
     return entries.groupBy("job_id", "event_type").agg(
         F.count(F.lit(1)).alias("entries"), F.count("source_ip").alias("with_ip")
     )
@@ -421,6 +425,18 @@ def list_alerts(spark, sf_dir):
     ).select("job_id", "severity", "title", "source_ip", seconds_text("created_at").alias("created_at"))
 
 
+@query
+def alert_total(spark, sf_dir):
+    return search.count_alerts(
+        fx.alert_fixture(spark, sf_dir), fx.job_fixture(spark, sf_dir), severity="high", owner="owner0"
+    )
+
+
+@query
+def job_total(spark, sf_dir):
+    return search.count_jobs(fx.job_fixture(spark, sf_dir), owner="owner1")
+
+
 @query
 def filter_alerts(spark, sf_dir):
     return search.filter_alerts(fx.alert_fixture(spark, sf_dir), "exfil").select("job_id", "alert_type", "title")
@@ -548,11 +564,13 @@ def ingested_stream(spark, sf_dir):
 
 @query
 def streamed_rate(spark, sf_dir):
-    """Window counts of the entry stream; every window's last count is kept."""
+    """Window counts of the entry stream over several micro-batches, whose files hold mixed times, so
+    that later batches bring entries of earlier windows; every window's last count is kept."""
     base = scratch_path(spark, "rate")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rates = stream_rate(fx.entries_of(fx.shaped(events)), "1 day", "12 hours", watermark="40 days")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3, "event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    rates = stream_rate(fx.entries_of(fx.shaped(stream)), "1 day", "12 hours")
 
     def save(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")

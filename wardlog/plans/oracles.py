@@ -526,6 +526,10 @@ ORACLES["search_count"] = over(
 ORACLES["list_alerts"] = over(f"""
 SELECT al.job_id, severity, title, source_ip, {sec('al.created_at')} AS created_at
 FROM al JOIN jb ON jb.job_id = al.job_id WHERE severity = 'high' AND created_by_user_id = 'owner0'""", *WITH_ALERTS, JOBS)
+ORACLES["alert_total"] = over("""
+SELECT count(*) AS total FROM al JOIN jb ON jb.job_id = al.job_id
+WHERE severity = 'high' AND created_by_user_id = 'owner0'""", *WITH_ALERTS, JOBS)
+ORACLES["job_total"] = over("SELECT count(*) AS total FROM jb WHERE created_by_user_id = 'owner1'", JOBS)
 ORACLES["filter_alerts"] = over(
     "SELECT job_id, alert_type, title FROM al WHERE severity = 'exfil' OR contains(alert_type, 'exfil')", *WITH_ALERTS)
 ORACLES["list_jobs"] = over(f"""
@@ -572,7 +576,7 @@ notable AS (
 digest AS (
   SELECT job_id, number, chr(10) || 'Alert #' || number || ': [' || upper(severity) || '] ' || title || chr(10) || '  Type: '
     || alert_type || chr(10) || '  Description: ' || description || chr(10) || '  Source IP: ' || source_ip || chr(10)
-    || '  Evidence: ' || left(evidence, 500) AS text
+    || '  Evidence: ' || left(replace(replace(replace(evidence, ',"', ', "'), '":', '": '), '}},{{', '}}, {{'), 500) AS text
   FROM numbered)"""
 ORACLES["event_type_distribution"] = over("SELECT job_id, place, event_type, count FROM types", *WITH_ALERTS, EVIDENCE)
 ORACLES["alert_digest"] = over("SELECT job_id, number, text FROM digest", *WITH_ALERTS, EVIDENCE)

@@ -6,32 +6,50 @@ from wardlog.sources.lines import (
     count_splits, extension_glob, job_of, number_rows, pin_splits, splits_are_small, with_split_position,
 )
 
+PATH = "_metadata.file_path"
 
-def has_split_records(spark, paths):
-    """Whether some record spans lines: a line then holds an odd number of quotes."""
+
+def files_with_split_records(spark, paths):
+    """Paths of the files in which some record spans lines: a line then holds an odd number of quotes."""
     lines = spark.read.option("pathGlobFilter", extension_glob()).text(paths)
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+    found = lines.filter(quotes % 2 == 1).select(F.col(PATH).alias("path")).distinct()
+    return sorted(r.path for r in found.collect())
 
 
 def read_waf_csv(spark, paths, job_id=None, multiline=None):
     """Rows of CSV exports sharing one header, with line_number = row number from 2.
 
-    Files are split unless a quoted field holds a line break; then a file has to
-    be read by one task (``multiline``; worked out from the data when not given).
+    Files are split, but for those in which a quoted field holds a line break:
+    each of these has to be read by one task. They are found by a pass over the
+    lines, and their paths come to the driver as a file listing does;
+    ``multiline`` given, all files are taken to be of one or the other kind.
     """
     pin_splits(spark)
+
+    def rows(whole):
+        scan = (
+            spark.read.option("header", True)
+            .option("multiLine", whole)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("enforceSchema", False)
+            .option("pathGlobFilter", extension_glob())
+            .csv(paths)
+        )
+        return scan, [F.col(f"`{c}`") for c in scan.columns]
+
+    def numbered(scan, columns):
+        placed = with_split_position(scan, columns)
+        return number_rows(placed, count_splits(placed), splits_are_small(spark, paths))
+
     if multiline is None:
-        multiline = has_split_records(spark, paths)
-    scan = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .option("pathGlobFilter", extension_glob())
-        .csv(paths)
-    )
-    rows = with_split_position(scan, [F.col(f"`{c}`") for c in scan.columns])
-    numbered = number_rows(rows, count_splits(rows), splits_are_small(spark, paths))
-    return numbered.withColumn("job_id", job_of(job_id)).withColumn("line_number", F.col("line_number") + 1)
+        spanning = files_with_split_records(spark, paths)
+    if multiline is not None or not spanning:
+        found = numbered(*rows(bool(multiline)))
+    else:
+        # a condition on the path is applied to the file listing, so each file is read once
+        spans = F.col(PATH).isin(spanning)
+        (whole, columns), (split, _) = rows(True), rows(False)
+        found = numbered(whole.filter(spans), columns).unionByName(numbered(split.filter(~spans), columns))
+    return found.withColumn("job_id", job_of(job_id)).withColumn("line_number", F.col("line_number") + 1)
