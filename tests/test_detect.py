@@ -245,3 +245,13 @@ def test_order_is_by_severity_then_detector(spark):
     assert [r.detector for r in run_all(entries(spark, rows)).collect()] == ["off_hours_login", "web_attacks"]
     assert set(DETECTOR_FUNCTIONS) >= {"brute_force", "rate_abuse"}
     assert Counter(r.severity for r in run_all(entries(spark, rows), detectors=["web_attacks"]).collect()) == {"low": 1}
+
+
+def test_alerts_print_the_logged_clock(spark, as_lines):
+    line = '203.0.113.7 - - [09/Feb/2026:{} {}] "POST /session HTTP/1.1" 401 10 "-" "x"'
+    logged = [(f"01:59:{i:02d}", "+0200") for i in range(50, 60)] + [("18:30:05", "-0530")]
+    found = normalize_access(as_lines("\n".join(line.format(*at) for at in logged))).cache()
+    burst = json.loads(detect_brute_force(found).first().evidence)
+    assert (burst["first_attempt"], burst["last_attempt"]) == ("2026-02-09 01:59:50+02:00", "2026-02-09 01:59:59+02:00")
+    rate = run_all(found, {"rate_abuse": {"threshold": 10}}, detectors=["rate_abuse"]).first()
+    assert "Peak window: 2026-02-09 01:59:50+02:00 to 2026-02-09 01:59:59+02:00." in rate.description

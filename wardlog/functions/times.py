@@ -117,3 +117,19 @@ def plain_text(wall):
         F.date_format(wall, "yyyy-MM-dd HH:mm:ss"),
         F.when(fraction == ".000000", "").otherwise(fraction),
     )
+
+
+def logged_text(wall, us):
+    """The wall clock as logged, with its offset where that is not zero: ``2026-02-09 02:14:01+02:00``.
+
+    ``us`` is the instant in microseconds; without a wall clock it is printed in UTC.
+    """
+    minutes = ((F.unix_micros(as_instant(wall)) - us) / 60_000_000).cast("int")
+    size = F.abs(minutes)
+    offset = F.format_string(
+        "%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(size / 60).cast("int"), size % 60
+    )
+    return F.coalesce(
+        F.concat(plain_text(wall), F.when(minutes != 0, offset).otherwise("")),
+        plain_text(F.timestamp_micros(us)),
+    )

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlog.functions.text import case
-from wardlog.functions.times import micros, plain_text
+from wardlog.functions.times import logged_text, micros
 from wardlog.operators.alert import alert_rows, fixed_decimals, present, text
 from wardlog.operators.sliding import sliding_counts, window_slots
 
@@ -17,12 +17,16 @@ MIB = 1024 * 1024
 
 def peak_rates(entries, window_seconds=60, threshold=100):
     """Per address: the most rows in any window ending at a row, the first such
-    window, and the number of rows; addresses below the threshold are left out."""
+    window (instants and wall clocks of its ends), and the number of rows; addresses
+    below the threshold are left out."""
     window_us = int(window_seconds * 1_000_000)
     per_time = (
         entries.filter(present("source_ip") & F.col("event_time").isNotNull())
         .groupBy(*KEYS, micros(F.col("event_time")).alias("us"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("line_number").alias("line"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("line_number").alias("line"),
+            F.min(F.struct("line_number", "event_time_local"))["event_time_local"].alias("wall"),
+        )
     )
     peaks = (
         sliding_counts(per_time.select(*KEYS, "us", "n"), KEYS, window_us)
@@ -42,7 +46,11 @@ def peak_rates(entries, window_seconds=60, threshold=100):
         .join(slots.select(*KEYS, "slot", "low_us", "end_us"), [*KEYS, "slot"])
         .filter(F.col("us").between(F.col("low_us"), F.col("end_us")))
         .groupBy(*KEYS)
-        .agg(F.min("us").alias("start_us"))
+        .agg(
+            F.min("us").alias("start_us"),
+            F.min(F.struct("us", "wall"))["wall"].alias("start_wall"),
+            F.max(F.struct("us", "wall"))["wall"].alias("end_wall"),
+        )
     )
     totals = per_time.groupBy(*KEYS).agg(F.sum("n").alias("total"), F.min("line").alias("order_line"))
     return peaks.join(starts, KEYS).join(totals, KEYS)
@@ -52,7 +60,7 @@ def detect_rate_abuse(entries, window_seconds=60, threshold=100, created_at=None
     """One alert per address whose peak rate reaches the threshold."""
     rows = peak_rates(entries, window_seconds, threshold)
     ip, peak = F.col("source_ip"), F.col("peak")
-    start, end = [plain_text(F.timestamp_micros(F.col(c))) for c in ("start_us", "end_us")]
+    start, end = [logged_text(F.col(f"{at}_wall"), F.col(f"{at}_us")) for at in ("start", "end")]
     return alert_rows(
         rows,
         "rate_abuse",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
 from wardlog.functions.text import case
-from wardlog.functions.times import micros, plain_text
+from wardlog.functions.times import logged_text, micros
 from wardlog.operators.alert import alert_rows, fixed_decimals, present, text
 from wardlog.operators.sliding import sliding_counts, window_slots
 
@@ -20,7 +20,7 @@ UNTIMED_SALTS = 32
 
 def _failures(entries):
     return entries.filter(F.col("event_type").isin(fixed.FAILED_LOGIN_TYPES) & present("source_ip")).select(
-        *KEYS, micros(F.col("event_time")).alias("us"), "line_number", "username"
+        *KEYS, micros(F.col("event_time")).alias("us"), F.col("event_time_local").alias("wall"), "line_number", "username"
     )
 
 
@@ -67,7 +67,7 @@ def find_bursts(entries, window_seconds=300, threshold=10):
 
 
 def _with_members(entries, bursts, window_us, threshold):
-    """Bursts with their names, first line numbers and first time.
+    """Bursts with their names, first line numbers, first time, and first and last wall clock.
 
     The columns of a burst travel with its rows, so that it need not be worked
     out again to be joined back.
@@ -104,6 +104,8 @@ def _with_members(entries, bursts, window_us, threshold):
             lambda s: s["line_number"],
         ).alias("sample_lines"),
         F.min("us").alias("first_us"),
+        F.min(F.struct("us", "line_number", "wall"))["wall"].alias("first_wall"),
+        F.max(F.struct("us", "line_number", "wall"))["wall"].alias("last_wall"),
         *[F.first(c).alias(c) for c in BURST],
     )
     names = (
@@ -134,7 +136,7 @@ def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=Non
     window_us = int(window_seconds * 1_000_000)
     bursts = success_after(entries, find_bursts(entries, window_seconds, threshold))
     rows = _with_members(entries, bursts, window_us, threshold)
-    wall = lambda us: plain_text(F.timestamp_micros(us))
+    logged = lambda at: logged_text(F.col(f"{at}_wall"), F.col(f"{at}_us"))
     named = F.coalesce(F.size("targets"), F.lit(0)) > 0
     seconds = F.coalesce((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(0.0))
     count, ip, success = F.col("count"), F.col("source_ip"), F.col("success")
@@ -160,8 +162,8 @@ def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=Non
             count.alias("failed_attempts"),
             seconds.alias("duration_seconds"),
             F.coalesce("targets", F.array().cast("array<string>")).alias("target_accounts"),
-            wall(F.col("first_us")).alias("first_attempt"),
-            wall(F.col("last_us")).alias("last_attempt"),
+            logged("first").alias("first_attempt"),
+            logged("last").alias("last_attempt"),
             success.alias("success_after_failures"),
             F.col("sample_lines"),
         ],
