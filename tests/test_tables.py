@@ -227,7 +227,10 @@ def test_a_second_analysis_replaces_the_first(spark, tmp_path):
 def test_ingest_stream_takes_each_file_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    run = lambda: ingest_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    folder = lambda name: str(tmp_path / name)
+    run = lambda: ingest_stream(
+        spark, str(source), folder("out"), folder("cp"), alerts_dir=folder("alerts"), jobs_dir=folder("jobs"), owner="ann",
+    ).awaitTermination()
     (source / "a.log").write_text(auth_scenario())
     run()
     (source / "b.log").write_text(access_scenario())
@@ -235,6 +238,12 @@ def test_ingest_stream_takes_each_file_once(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 74 and len({r.job_id for r in rows}) == 2
     assert sorted(r.line_number for r in rows if r.status_code is None) == list(range(1, 37))
+    alerts, jobs = [spark.read.parquet(folder(name)).collect() for name in ("alerts", "jobs")]
+    assert Counter(r.severity for r in alerts) == {"critical": 1, "high": 2, "low": 5}
+    assert sorted((j.filename, j.file_size, j.log_type, j.total_lines, j.parsed_lines) for j in jobs) == [
+        ("a.log", len(auth_scenario()), "Auth", 36, 36), ("b.log", len(access_scenario()), "NginxAccess", 38, 38),
+    ]
+    assert {r.job_id for r in alerts} == {j.job_id for j in jobs} and {j.created_by_user_id for j in jobs} == {"ann"}
 
 
 def test_late_files_count_in_the_stream(spark, tmp_path):

@@ -1,27 +1,26 @@
-"""New log files normalised as they arrive."""
+"""New log files normalised, searched for attacks and listed as jobs as they arrive."""
 
 from pyspark.sql import functions as F
 
+from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
-from wardlog.operators.normalize import normalize
+from wardlog.operators.normalize import BROADCAST_FILES, normalize
+from wardlog.plans.analyze import job_table
+from wardlog.schema import ENTRY_SCHEMA
 from wardlog.session import require_utc
-from wardlog.sources.lines import clean_lines, count_splits, extension_glob, number_rows, pin_splits
+from wardlog.sources.lines import clean_lines, cleaned, count_splits, extension_glob, number_rows, pin_splits
 
 
-def entries_of_batch(batch, hint=None, assume_year=2026):
-    """Entries of a micro-batch of whole files; one job per file."""
-    numbered = number_rows(batch, count_splits(batch), broadcast_splits=False)
-    lines = clean_lines(numbered)
-    return normalize(lines, detect_format(lines, hint), assume_year)
-
-
-def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=2026, files_per_batch=1000, **trigger):
+def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=2026, files_per_batch=1000,
+                  alerts_dir=None, jobs_dir=None, thresholds=None, owner=None, **trigger):
     """Start the query that normalises new files below ``in_dir`` into ``out_dir``.
 
-    A file is always read whole within one micro-batch. Each micro-batch
-    overwrites a folder of its own, so a batch that is run again after a failure
-    leaves no duplicates. Runs until the present files are done unless another
-    trigger is given.
+    A file is always read whole within one micro-batch and is a job of its own.
+    With ``alerts_dir`` the detectors run over the stored entries of each batch,
+    which therefore hold its jobs whole; with ``jobs_dir`` every file with a line
+    gets its row in the job table. Each micro-batch overwrites folders of its own,
+    so a batch that is run again after a failure leaves no duplicates. Runs until
+    the present files are done unless another trigger is given.
     """
     require_utc(spark)
     pin_splits(spark)
@@ -35,15 +34,27 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
             "value",
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_size").alias("file_size"),
         )
     )
 
     def save(batch, batch_id):
         rows = batch.withColumn("row_id", F.monotonically_increasing_id())
-        entries = entries_of_batch(rows, hint, assume_year)
-        (
-            entries.write.mode("overwrite").partitionBy("job_id").parquet(f"{out_dir}/batch_id={batch_id}")
-        )
+        filled = F.count(F.when(cleaned(F.col("value")) != "", 1)).alias("filled")
+        splits = count_splits(rows, filled, F.max("file_size").alias("file_size"))
+        lines = clean_lines(number_rows(rows, splits, broadcast_splits=False))
+        formats = detect_format(lines, hint)
+        folder = lambda table: f"{table}/batch_id={batch_id}"
+        # a batch holds at most files_per_batch files, each with one row of formats
+        entries = normalize(lines, formats, assume_year, small_formats=files_per_batch <= BROADCAST_FILES)
+        entries.write.mode("overwrite").partitionBy("job_id").parquet(folder(out_dir))
+        stored = spark.read.schema(ENTRY_SCHEMA).parquet(folder(out_dir))
+        if alerts_dir is not None:
+            all_alerts(stored, thresholds).write.mode("overwrite").parquet(folder(alerts_dir))
+        if jobs_dir is not None:
+            files = splits.groupBy("source_file").agg(F.max("file_size").alias("file_size"))
+            jobs = job_table(files, splits, formats, stored, owner=owner)
+            jobs.write.mode("overwrite").parquet(folder(jobs_dir))
 
     return (
         stream.writeStream.foreachBatch(save)
