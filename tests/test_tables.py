@@ -198,6 +198,49 @@ def test_analyze_files(spark, tmp_path):
     assert {j.created_by_user_id for j in jobs.collect()} == {"ann"}
 
 
+# a record over two lines, blank lines within a cell and between records, another order of columns
+BROKEN_EXPORTS = {
+    "broken.csv": 'timestamp,action,uri,clientIp,httpMethod\n1,BLOCK,"/a ""x""\n\n/b",1.1.1.1,GET\n\n2,ALLOW,/c,1.1.1.2,GET\n',
+    "gaps.csv": 'timestamp,uri,httpMethod,clientIp,action\n\n1,/d,POST,1.1.1.3,COUNT\n \n2,"/e,f",GET,1.1.1.4,ALLOW\n',
+}
+BROKEN_ROWS = [
+    ("1.1.1.1", 2, '/a "x"\n\n/b', "waf_block"), ("1.1.1.2", 3, "/c", "waf_allow"),
+    ("1.1.1.3", 2, "/d", "waf_count"), ("1.1.1.4", 3, "/e,f", "waf_allow"), ("9.9.9.9", 2, "/plain", "waf_allow"),
+]
+
+
+def write_exports(source):
+    source.mkdir()
+    for name, body in BROKEN_EXPORTS.items():
+        (source / name).write_text(body)
+    (source / "plain.csv").write_text("timestamp,uri,httpMethod,clientIp,action\n1,/plain,GET,9.9.9.9,ALLOW\n")
+    (source / "quoted.log").write_text('{"message": "say \\"hi"}\n\n{"message": "x"}\n')
+
+
+def test_exports_are_read_by_records(spark, tmp_path):
+    write_exports(tmp_path / "in")
+    found, _, jobs = analyze(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    rows = found.filter("event_type like 'waf%'").collect()
+    assert sorted((r.source_ip, r.line_number, r.endpoint, r.event_type) for r in rows) == BROKEN_ROWS
+    assert sorted((j.filename, j.total_lines, j.parsed_lines) for j in jobs.filter("log_type = 'AwsWafCsv'").collect()) == [
+        ("broken.csv", 2, 2), ("gaps.csv", 2, 2), ("plain.csv", 1, 1),
+    ]
+    assert {j.total_lines for j in jobs.filter("filename = 'quoted.log'").collect()} == {2}
+    assert sorted(r.line_number for r in found.filter("event_type not like 'waf%'").collect()) == [1, 3]
+
+
+def test_streamed_exports_are_read_by_records(spark, tmp_path):
+    write_exports(tmp_path / "in")
+    out = lambda name: str(tmp_path / name)
+    ingest_stream(spark, out("in"), out("out"), out("cp"), jobs_dir=out("jobs")).awaitTermination()
+    rows = spark.read.parquet(out("out")).filter("event_type like 'waf%'").collect()
+    assert sorted((r.source_ip, r.line_number, r.endpoint, r.event_type) for r in rows) == BROKEN_ROWS
+    jobs = spark.read.parquet(out("jobs")).collect()
+    assert sorted((j.filename, j.total_lines) for j in jobs) == [
+        ("broken.csv", 2), ("gaps.csv", 2), ("plain.csv", 1), ("quoted.log", 2),
+    ]
+
+
 def test_analyses_share_a_folder(spark, tmp_path):
     for name in ("one", "two"):
         source = tmp_path / name

@@ -66,8 +66,9 @@ def find_bursts(entries, window_seconds=300, threshold=10):
     )
 
 
-def _with_members(entries, bursts, window_us, threshold):
-    """Bursts with their names, first line numbers, first time, and first and last wall clock.
+def _members(entries, bursts, window_us, threshold):
+    """The failed logins of the bursts, twice: ``inside`` has all of them, marked ``ending`` at the last moment (where
+    only some belong to the burst); ``head`` has the first ones before it, and those at it that do belong.
 
     The columns of a burst travel with its rows, so that it need not be worked
     out again to be joined back.
@@ -98,6 +99,29 @@ def _with_members(entries, bursts, window_us, threshold):
     head = inside.withColumn("rank", F.row_number().over(order)).filter(
         F.col("rank") <= max(threshold, SAMPLE)
     ).filter(~F.col("ending") | (F.col("rank") <= F.col("at_last")))
+    return inside, head
+
+
+def _names(inside, head):
+    """One row per burst and name it tried."""
+    return (
+        inside.filter(~F.col("ending")).select(*KEYS, "username")
+        .unionByName(head.filter("ending").select(*KEYS, "username"))
+        .filter(present("username"))
+        .distinct()
+    )
+
+
+def burst_targets(entries, window_seconds=300, threshold=10):
+    """The names that each burst tried: one row per job, address and name, however many there are."""
+    window_us = int(window_seconds * 1_000_000)
+    bursts = find_bursts(entries, window_seconds, threshold).withColumn("success", F.lit(False))
+    return _names(*_members(entries, bursts, window_us, threshold))
+
+
+def _with_members(entries, bursts, window_us, threshold, list_targets):
+    """Bursts with their names, first line numbers, first time, and first and last wall clock."""
+    inside, head = _members(entries, bursts, window_us, threshold)
     samples = head.groupBy(*KEYS).agg(
         F.transform(
             F.slice(F.array_sort(F.collect_list(F.struct("us", "line_number"))), 1, SAMPLE),
@@ -108,14 +132,8 @@ def _with_members(entries, bursts, window_us, threshold):
         F.max(F.struct("us", "line_number", "wall"))["wall"].alias("last_wall"),
         *[F.first(c).alias(c) for c in BURST],
     )
-    names = (
-        inside.filter(~F.col("ending")).select(*KEYS, "username")
-        .unionByName(head.filter("ending").select(*KEYS, "username"))
-        .filter(present("username"))
-        .distinct()
-        .groupBy(*KEYS)
-        .agg(F.array_sort(F.collect_list("username")).alias("targets"))
-    )
+    listed = F.array_sort(F.collect_list("username")) if list_targets else F.lit(None).cast("array<string>")
+    names = _names(inside, head).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("target_count"), listed.alias("targets"))
     return samples.join(names, KEYS, "left")
 
 
@@ -131,16 +149,21 @@ def success_after(entries, bursts):
     ).drop("login_us")
 
 
-def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=None):
-    """One alert per address that was refused often enough within the window."""
+def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=None, list_targets=True):
+    """One alert per address that was refused often enough within the window.
+
+    The alert lists every name the burst tried. Where bursts may try very many
+    names, ``list_targets=False`` puts their number in the place of the list;
+    burst_targets gives them as rows.
+    """
     window_us = int(window_seconds * 1_000_000)
     bursts = success_after(entries, find_bursts(entries, window_seconds, threshold))
-    rows = _with_members(entries, bursts, window_us, threshold)
+    rows = _with_members(entries, bursts, window_us, threshold, list_targets)
     logged = lambda at: logged_text(F.col(f"{at}_wall"), F.col(f"{at}_us"))
-    named = F.coalesce(F.size("targets"), F.lit(0)) > 0
+    named = F.coalesce("target_count", F.lit(0)) > 0
     seconds = F.coalesce((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(0.0))
     count, ip, success = F.col("count"), F.col("source_ip"), F.col("success")
-    joined = F.when(named, F.array_join("targets", ", "))
+    joined = F.when(named, F.array_join("targets", ", ") if list_targets else text(F.col("target_count"), " names"))
     return alert_rows(
         rows,
         "brute_force",
@@ -166,6 +189,7 @@ def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=Non
             logged("last").alias("last_attempt"),
             success.alias("success_after_failures"),
             F.col("sample_lines"),
+            *([] if list_targets else [F.coalesce("target_count", F.lit(0)).alias("target_count")]),
         ],
         actions=[
             text("Block IP address ", ip, " immediately"),
@@ -177,6 +201,6 @@ def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=Non
             ),
         ],
         source_ip=ip,
-        target_account=joined,
+        target_account=joined if list_targets else None,
         created_at=created_at,
     )

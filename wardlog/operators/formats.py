@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
@@ -49,12 +50,14 @@ def format_scores(lines):
 
 
 def hinted_format(hint):
-    """Format for a hint word in any case; None when there is none or it is unknown."""
-    return fixed.FORMAT_HINTS.get(hint.lower()) if hint else None
+    """Format for a hint word in any case, null when there is none or it is unknown; ``hint`` is a
+    word for all files, or a column over job_id and source_file that gives one per file."""
+    word = F.lower(hint if isinstance(hint, Column) else F.lit(hint).cast("string"))
+    return case([(word == w, f) for w, f in fixed.FORMAT_HINTS.items()])
 
 
 def detect_format(lines, hint=None):
-    """One row per file: (job_id, source_file, format, score, waf_columns).
+    """One row per file: (job_id, source_file, format, score, waf_columns); see hinted_format for ``hint``.
 
     The highest score wins, ties go to the earlier format, no score at all means
     JSON. ``waf_columns`` says where a CSV export has its columns, else null.
@@ -64,13 +67,10 @@ def detect_format(lines, hint=None):
         F.struct(F.col(f).alias("score"), F.lit(-i).alias("place"), F.lit(f).alias("format"))
         for i, f in enumerate(fixed.FORMAT_ORDER)
     ]
-    best = F.greatest(*ranked)
-    forced = hinted_format(hint)
-    if forced:
-        best = next(r for r, f in zip(ranked, fixed.FORMAT_ORDER) if f == forced)
-    chosen = scores.withColumn("best", best).withColumn(
-        "format",
-        F.lit(forced) if forced else case([(F.col("best.score") > 0, F.col("best.format"))], fixed.JSON),
+    forced = F.col("forced")
+    best = case([(forced == f, r) for f, r in zip(fixed.FORMAT_ORDER, ranked)], F.greatest(*ranked))
+    chosen = scores.withColumn("forced", hinted_format(hint)).withColumn("best", best).withColumn(
+        "format", F.coalesce(forced, case([(F.col("best.score") > 0, F.col("best.format"))], fixed.JSON))
     )
     return chosen.select(
         "job_id",

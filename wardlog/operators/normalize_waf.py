@@ -74,6 +74,12 @@ def _values(assume_year):
     return {f"waf_{name}": cell_text(cell(i)) for i, name in enumerate(fixed.WAF_COLUMNS)}
 
 
+def _cell_texts(assume_year):
+    place = lambda i: F.get("waf_columns", F.lit(i)) - 1
+    text = lambda i: F.coalesce(strip(F.get("waf_cells", place(i))), F.lit(""))
+    return {f"waf_{name}": text(i) for i, name in enumerate(fixed.WAF_COLUMNS)}
+
+
 def _time(assume_year):
     return {"waf_time": waf_clock(F.col("waf_timestamp"))}
 
@@ -85,6 +91,20 @@ def _fields(assume_year):
 WAF = LineFormat(fixed.WAF, (_cells, _values, _time), _fields, lambda: F.col("line_number") > 1)
 
 
+# records that a CSV reader has cut into cells (see read_cells)
+WAF_CELLS = LineFormat(fixed.WAF, (_cell_texts, _time), _fields, lambda: F.col("line_number") > 1)
+
+
+def normalize_cells(cells, formats):
+    """Records of CSV exports, each with the header of its own file, to entries.
+
+    ``formats`` is the result of detect_format; the files in ``cells`` are few, those
+    whose lines are not their records.
+    """
+    places = formats.filter(F.col("format") == fixed.WAF).select("source_file", "waf_columns").distinct()
+    return normalize_as(cells.join(places, "source_file"), [WAF_CELLS], None)
+
+
 def normalize_waf(rows):
     """CSV rows with named columns (see read_waf_csv) to entries."""
     by_name = {}

@@ -10,6 +10,7 @@ from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import formats_present, normalize
+from wardlog.operators.normalize_waf import normalize_cells
 from wardlog.schema import ALERT_SCHEMA, ENTRY_SCHEMA, JOB_SCHEMA
 from wardlog.session import require_utc
 from wardlog.sources.lines import (
@@ -18,6 +19,7 @@ from wardlog.sources.lines import (
 from wardlog.sources.tables import (
     read_alerts, read_entries, read_jobs, write_alerts, write_entries, write_jobs,
 )
+from wardlog.sources.waf_csv import irregular_exports, odd_quotes, read_cells
 
 Analysis = namedtuple("Analysis", "entries alerts jobs")
 
@@ -58,6 +60,32 @@ def job_table(files, splits, formats, entries, job_id=None, owner=None):
     )
 
 
+def line_counts():
+    """Counts of a split's raw values: non-blank ones, and those with an odd number of quotes."""
+    value = F.col("value")
+    return F.count_if(cleaned(value) != "").alias("filled"), F.count_if(odd_quotes(value)).alias("odd")
+
+
+def normalize_files(spark, paths, lines, splits, formats, job_id=None, assume_year=2026, few=False, present=None):
+    """Entries of all files, and the split table with the number of records as the lines of CSV exports.
+
+    CSV exports whose lines are not their records, because a cell holds a line break or
+    blank lines stand between them, are read again by the CSV reader; all else is one scan.
+    """
+    spanning, gapped = irregular_exports(splits, formats)
+    irregular = F.col("source_file").isin(spanning + gapped)
+    if not spanning + gapped:
+        return normalize(lines, formats, assume_year, few, present), splits
+    most = formats.filter(irregular).agg(F.max(F.array_max("waf_columns"))).first()[0]
+    cells = read_cells(spark, paths, most, spanning, gapped, job_id)
+    entries = normalize(lines.filter(~irregular), formats, assume_year, few, present)
+    records = cells.groupBy("source_file").agg(F.count(F.lit(1)).alias("filled"))
+    return (
+        entries.unionByName(normalize_cells(cells, formats)),
+        splits.filter(~irregular).select("source_file", "filled").unionByName(records),
+    )
+
+
 def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thresholds=None, owner=None):
     """Normalise all files, store entries, detect, store alerts and jobs; returns the
     rows of this run's jobs in the three tables. Each run writes folders of its own
@@ -68,13 +96,13 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     Raw files are scanned three times: to count the lines of every split, for the
     formats, and to normalise. The tables of the first two are written, as the
     third needs both. The detectors read the stored entries, not the raw lines, so
-    every line is parsed once and each detector reads only its columns.
+    every line is parsed once and each detector reads only its columns. CSV exports
+    whose lines are not their records are read once more, by the CSV reader.
     """
     require_utc(spark)
     rows = scan_text(spark, paths)
-    filled = F.count(F.when(cleaned(F.col("value")) != "", 1)).alias("filled")
     run = f"run_id=r{uuid.uuid4().hex}"
-    count_splits(rows, filled).write.parquet(f"{out_dir}/splits/{run}")
+    count_splits(rows, *line_counts()).write.parquet(f"{out_dir}/splits/{run}")
     splits = spark.read.parquet(f"{out_dir}/splits/{run}")
     lines = clean_lines(number_rows(rows, splits, splits_are_small(spark, paths)), job_id)
     detect_format(lines, hint).write.parquet(f"{out_dir}/formats/{run}")
@@ -83,12 +111,13 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     # a format row (path, job, format, eight places) is under four rows of the split table
     few = splits_are_small(spark, paths, 4)
     path = lambda table: f"{out_dir}/{table}/{run}"
-    write_entries(normalize(lines, formats, assume_year, few, present), path("entries"), raw_chars=None)
+    normal, counted = normalize_files(spark, paths, lines, splits, formats, job_id, assume_year, few, present)
+    write_entries(normal, path("entries"), raw_chars=None)
     entries = read_entries(spark, path("entries"))
     found = all_alerts(entries, thresholds).withColumn("created_at", F.current_timestamp())
     write_alerts(found.hint("rebalance", "job_id"), path("alerts"))
     files = list_log_files(spark, paths)
-    write_jobs(job_table(files, splits, formats, entries, job_id, owner), path("jobs"))
+    write_jobs(job_table(files, counted, formats, entries, job_id, owner), path("jobs"))
     return Analysis(entries, read_alerts(spark, path("alerts")), read_jobs(spark, path("jobs")))
 
 

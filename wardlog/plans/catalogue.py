@@ -9,6 +9,7 @@ from wardlog.functions.times import plain_text
 from wardlog.operators import dashboard as dash
 from wardlog.operators import evidence, search
 from wardlog.operators.detect import DETECTOR_FUNCTIONS, run_all
+from wardlog.operators.detect_brute_force import burst_targets as burst_target_rows
 from wardlog.operators.detect_brute_force import find_bursts, success_after
 from wardlog.operators.detect_web import match_attack_categories
 from wardlog.operators.formats import detect_format
@@ -21,6 +22,7 @@ from wardlog.operators.normalize_web import classify_request
 from wardlog.operators.reputation import enrich_ips, public_ips, reputation_band
 from wardlog.operators.timeline import filter_timeline, timeline, timeline_types
 from wardlog.plans import fixtures as fx
+from wardlog.plans.analyze import analyze, current
 from wardlog.session import prepare, scratch_path
 from wardlog.sources.lines import list_log_files, read_log_lines
 from wardlog.sources.tables import read_alerts, read_entries, write_alerts, write_entries
@@ -173,6 +175,16 @@ def detect_file_formats(spark, sf_dir):
     )
 
 
+@query
+def hinted_file_formats(spark, sf_dir):
+    """Every third file comes with a hint in capitals, every third with an unknown word."""
+    number = F.regexp_extract("source_file", r"(\d+)", 1).cast("long")
+    hint = F.when(number % 3 == 0, "NGINX").when(number % 3 == 1, "hearsay")
+    return detect_format(fx.mixed_files(spark, sf_dir), hint).select(
+        "source_file", "format", F.bround("score", 6).alias("score")
+    )
+
+
 @query
 def normalize_mixed_files(spark, sf_dir):
     """All formats in one pass, counted per file and event type."""
@@ -249,6 +261,34 @@ def stored_alerts(spark, sf_dir):
     return read_alerts(spark, path).select("job_id", "detector", "severity", "source_ip", "title")
 
 
+@query
+def analyzed_files(spark, sf_dir):
+    """Access logs, one of two folders with a blank in its name, and CSV exports with line breaks
+    in their cells, all of one job that is analysed a second time when the exports have come."""
+    base = scratch_path(spark, "analyzed")
+    lines = fx.rendered_lines(spark, sf_dir, "access")
+    odd = F.col("line_number") % 2 == 1
+    lines.filter(odd).select("raw_line").write.text(f"{base}/in/a b")
+    lines.filter(~odd).select("raw_line").write.text(f"{base}/in/c")
+    job = lambda: analyze(spark, f"{base}/in", f"{base}/out", "all", assume_year=2024, thresholds=fx.THRESHOLDS)
+    job()
+    uri = F.when(F.col("line_number") % 10 == 0, F.concat(F.lit("/"), "URI", F.lit("\n,"), "line_number")).otherwise(F.col("URI"))
+    exports = fx.waf_rows(spark, sf_dir).withColumn("URI", uri).drop("job_id", "line_number")
+    exports.write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{base}/in/waf")
+    job()
+    entries, alerts, jobs = current(spark, f"{base}/out")
+    counted = lambda rows, kind, name: rows.groupBy(F.lit(kind).alias("kind"), name.alias("name")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    broken = F.when(F.contains("endpoint", F.lit("\n")), "broken").otherwise("whole")
+    return (
+        counted(entries, "entries", F.concat_ws(" ", "event_type", broken))
+        .unionByName(counted(alerts.filter(F.col("detector").isin("exfiltration", "error_flood")), "alerts", F.col("title")))
+        .unionByName(jobs.select(F.lit("lines").alias("kind"), F.col("log_type").alias("name"), F.col("total_lines").alias("n")))
+        .unionByName(jobs.select(F.lit("parsed").alias("kind"), F.col("job_id").alias("name"), F.col("parsed_lines").alias("n")))
+    )
+
+
 # --- detectors -----------------------------------------------------------------------
 
 
@@ -265,6 +305,12 @@ def brute_force(spark, sf_dir):
     )
 
 
+@query
+def burst_targets(spark, sf_dir):
+    """The names that each burst tried, one in a row."""
+    return burst_target_rows(fx.log_fixture(spark, sf_dir), **fx.THRESHOLDS["brute_force"])
+
+
 @query
 def success_after_burst(spark, sf_dir):
     entries = fx.log_fixture(spark, sf_dir)

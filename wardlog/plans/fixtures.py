@@ -274,7 +274,7 @@ def waf_rows(spark, sf_dir):
 
 
 FILE_LINES = 200
-MIXED_FORMS = ["auth", "access", "error", "json", "kernel"]
+MIXED_FORMS = ["auth", "access", "error", "json", "kernel", "pf", "pairs"]
 
 
 def mixed_files(spark, sf_dir):

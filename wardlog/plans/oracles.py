@@ -158,19 +158,22 @@ ln AS (
       || method || ' ' || path || ' HTTP/1.1" ' || status_code || ' ' || response_size || ' "-" "' || user_agent || '"' AS access,
     strftime(event_time, '%Y/%m/%d %H:%M:%S') || ' [' || {LEVEL} || '] ' || k || '#0: *1 msg ' || k || ', client: ' || source_ip AS error,
     '{{"path":"' || path || '","level":"' || {LEVEL} || '"}}' AS json,
-    hd || ' fw kernel: [1.0] [UFW ' || {ACTION} || '] IN=eth0 OUT= SRC=' || source_ip || ' DST=192.0.2.1 PROTO=TCP SPT=' || k || ' DPT=22' AS kernel
+    hd || ' fw kernel: [1.0] [UFW ' || {ACTION} || '] IN=eth0 OUT= SRC=' || source_ip || ' DST=192.0.2.1 PROTO=TCP SPT=' || k || ' DPT=22' AS kernel,
+    hd || ' fw pf: rule ' || k || '/0(match): ' || CASE WHEN k % 2 = 0 THEN 'block' ELSE 'pass' END || ' in on em0: '
+      || source_ip || '.' || k || ' > 192.0.2.1.22' AS pf,
+    'ACTION=' || {ACTION} || ' SRC=' || source_ip || ' DST=192.0.2.1 K=' || k AS pairs
   FROM (SELECT *, strftime(event_time, '%b %-d %H:%M:%S') AS hd FROM pa)),
 mixed AS (
   SELECT form, event_id // 200 AS file, event_id % 200 + 1 AS line_number, kind, k, source_ip, endpoint, path, status_code, method,
     (event_id // 200) % 4 = 3 AND k % 5 < 2 AS junk, raw
-  FROM (SELECT *, unnest(['auth', 'access', 'error', 'json', 'kernel']) AS form,
-    unnest([auth, access, error, json, kernel]) AS raw FROM ln))"""
+  FROM (SELECT *, unnest(['auth', 'access', 'error', 'json', 'kernel', 'pf', 'pairs']) AS form,
+    unnest([auth, access, error, json, kernel, pf, pairs]) AS raw FROM ln))"""
 FW_WORDS = "|".join(fixed.FIREWALL_KEYWORDS)
 AUTH_WORDS = "|".join(fixed.AUTH_KEYWORDS)
 SCORES = f"""
 shares AS (
   SELECT form, file,
-    avg(CAST(form IN ('auth', 'kernel') AND NOT junk AND regexp_matches(raw, ': ') AS INTEGER)) AS auth_share,
+    avg(CAST(form IN ('auth', 'kernel', 'pf') AND NOT junk AND regexp_matches(raw, ': ') AS INTEGER)) AS auth_share,
     max(CAST(NOT junk AND regexp_matches(raw, '{AUTH_WORDS}') AS INTEGER)) AS auth_named,
     avg(CAST(form = 'access' AND NOT junk AS INTEGER)) AS access,
     avg(CAST(form = 'error' AND NOT junk AS INTEGER)) AS error,
@@ -181,12 +184,20 @@ scores AS (
   SELECT form, file, access, error, json, fw,
     CASE WHEN auth_named = 1 AND auth_share > 0.3 THEN least(0.95::DOUBLE, auth_share + 0.2) ELSE auth_share * 0.7 END AS auth
   FROM shares)"""
+BEST = """
+best AS (SELECT *, greatest(auth, access, error, json, fw) AS best FROM scores),
+chosen AS (
+  SELECT *, CASE WHEN best = 0 THEN 'JSON' WHEN auth = best THEN 'Auth' WHEN access = best THEN 'NginxAccess'
+    WHEN error = best THEN 'NginxError' WHEN json = best THEN 'JSON' ELSE 'Firewall' END AS format
+  FROM best)"""
+ORACLES["hinted_file_formats"] = over("""
+SELECT form || '-' || file || '.log' AS source_file, CASE file % 3 WHEN 0 THEN 'NginxAccess' ELSE format END AS format,
+  round_even(CASE file % 3 WHEN 0 THEN access ELSE best END, 6) AS score
+FROM chosen""", PATH, LINES, SCORES, BEST)
 ORACLES["detect_file_formats"] = over("""
 SELECT form || '-' || file || '.log' AS source_file,
-  CASE WHEN best = 0 THEN 'JSON' WHEN auth = best THEN 'Auth' WHEN access = best THEN 'NginxAccess'
-    WHEN error = best THEN 'NginxError' WHEN json = best THEN 'JSON' ELSE 'Firewall' END AS format,
-  round_even(best, 6) AS score
-FROM (SELECT *, greatest(auth, access, error, json, fw) AS best FROM scores)""", PATH, LINES, SCORES)
+  format, round_even(best, 6) AS score
+FROM chosen""", PATH, LINES, SCORES, BEST)
 ORACLES["normalize_mixed_files"] = over(f"""
 SELECT form || '-' || file AS job_id,
   CASE form
@@ -244,6 +255,9 @@ SELECT job_id, source_ip, severity, target_account, failed_attempts,
   (epoch_us(last_ts) - epoch_us(first_ts)) / 1e6 AS duration_seconds, {ts('first_ts')} AS first_attempt,
   {ts('last_ts')} AS last_attempt, CAST(success AS VARCHAR) AS success_after_failures, sample_lines
 FROM brute_alerts""", BURSTS)
+ORACLES["burst_targets"] = over("""
+SELECT job_id, source_ip, unnest(string_split(target_account, ', ')) AS username FROM brute_alerts
+WHERE target_account IS NOT NULL""", BURSTS)
 ORACLES["success_after_burst"] = over(f"""
 SELECT job_id, source_ip, failed_attempts AS count, {ts('last_ts')} AS last_attempt FROM brute WHERE success""", BURSTS)
 
@@ -381,6 +395,19 @@ ORACLES["error_flood"] = over("""
 SELECT job_id, source_ip, severity, description, errors AS total_errors, by_status AS status_distribution
 FROM flood_alerts""", FLOOD)
 
+ORACLES["analyzed_files"] = over(f"""
+SELECT 'entries' AS kind, {_class} || ' whole' AS name, count(*) AS n FROM pa GROUP BY 2
+UNION ALL
+SELECT 'entries', waf_type || CASE WHEN line_number % 10 = 0 THEN ' broken' ELSE ' whole' END, count(*) FROM wf GROUP BY 2
+UNION ALL
+SELECT 'alerts', 'Possible Data Exfiltration by ' || source_ip, 1 FROM fx
+GROUP BY source_ip HAVING sum(response_size) >= 250 * 1048576
+UNION ALL
+SELECT 'alerts', 'Excessive Client Errors from ' || source_ip, 1 FROM fx
+GROUP BY source_ip HAVING count(*) FILTER (status_code BETWEEN 400 AND 499) >= 10
+UNION ALL SELECT 'lines', 'Mixed', 2 * count(*) FROM fx
+UNION ALL SELECT 'parsed', 'all', 2 * count(*) FROM fx""", PATH, WAF)
+
 RANK = "list_position(['info', 'low', 'medium', 'high', 'critical'], severity) - 1"
 ORACLES["all_detectors"] = over(f"""
 SELECT job_id, detector, alert_type, severity, CAST({RANK} AS INTEGER) AS severity_rank, source_ip, title FROM (

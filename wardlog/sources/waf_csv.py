@@ -1,7 +1,10 @@
 """Web-firewall CSV exports."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from wardlog import fixed_values as fixed
 from wardlog.sources.lines import (
     count_splits, extension_glob, job_of, number_rows, pin_splits, splits_are_small, with_split_position,
 )
@@ -9,11 +12,15 @@ from wardlog.sources.lines import (
 PATH = "_metadata.file_path"
 
 
+def odd_quotes(value):
+    """Whether a record may go on in the next line: the line holds an odd number of quotes."""
+    return (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+
+
 def files_with_split_records(spark, paths):
-    """Paths of the files in which some record spans lines: a line then holds an odd number of quotes."""
+    """Paths of the files in which some record spans lines."""
     lines = spark.read.option("pathGlobFilter", extension_glob()).text(paths)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    found = lines.filter(quotes % 2 == 1).select(F.col(PATH).alias("path")).distinct()
+    found = lines.filter(odd_quotes(F.col("value"))).select(F.col(PATH).alias("path")).distinct()
     return sorted(r.path for r in found.collect())
 
 
@@ -53,3 +60,48 @@ def read_waf_csv(spark, paths, job_id=None, multiline=None):
         (whole, columns), (split, _) = rows(True), rows(False)
         found = numbered(whole.filter(spans), columns).unionByName(numbered(split.filter(~spans), columns))
     return found.withColumn("job_id", job_of(job_id)).withColumn("line_number", F.col("line_number") + 1)
+
+
+def irregular_exports(splits, formats):
+    """Paths of the CSV exports whose lines are not their records: those in which a record
+    may span lines, and the others that hold blank lines.
+
+    ``splits`` counts the rows (in_split), the non-blank ones (filled) and those with an
+    odd number of quotes (odd) of every split. The paths come to the driver as a file
+    listing does.
+    """
+    exports = formats.filter(F.col("format") == fixed.WAF).select("source_file").distinct()
+    counted = splits.groupBy("source_file").agg(
+        (F.sum("odd") > 0).alias("spans"), (F.sum("in_split") > F.sum("filled")).alias("gaps")
+    )
+    found = counted.filter("spans or gaps").join(exports, "source_file", "left_semi").collect()
+    return sorted(r.source_file for r in found if r.spans), sorted(r.source_file for r in found if not r.spans)
+
+
+def read_cells(spark, paths, columns, spanning, gapped, job_id=None):
+    """The first ``columns`` cells of every record of the named exports, which may differ in
+    their headers: (job_id, source_file, line_number, waf_cells); a header is line 1.
+
+    Files with records over several lines are read by one task each, the others are split.
+    """
+    pin_splits(spark)
+    few = splits_are_small(spark, paths)
+    names = [f"c{i}" for i in range(columns)]
+
+    def rows(files, whole):
+        scan = (
+            spark.read.schema(", ".join(f"{n} string" for n in names))
+            .option("multiLine", whole)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("pathGlobFilter", extension_glob())
+            .option("recursiveFileLookup", "true")
+            .csv(paths)
+            .filter(F.col(PATH).isin(files))
+        )
+        placed = with_split_position(scan, [F.array(*names).alias("waf_cells")])
+        return number_rows(placed, count_splits(placed), few)
+
+    read = [rows(files, whole) for files, whole in ((spanning, True), (gapped, False)) if files]
+    found = reduce(lambda a, b: a.unionByName(b), read)
+    return found.select(job_of(job_id).alias("job_id"), "source_file", "line_number", "waf_cells")

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
-from wardlog.operators.normalize import BROADCAST_FILES, normalize
-from wardlog.plans.analyze import job_table
+from wardlog.operators.normalize import BROADCAST_FILES
+from wardlog.plans.analyze import job_table, line_counts, normalize_files
 from wardlog.schema import ENTRY_SCHEMA
 from wardlog.session import require_utc
-from wardlog.sources.lines import clean_lines, cleaned, count_splits, extension_glob, number_rows, pin_splits
+from wardlog.sources.lines import clean_lines, count_splits, extension_glob, number_rows, pin_splits
 
 
 def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=2026, files_per_batch=1000,
@@ -40,21 +40,26 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
 
     def save(batch, batch_id):
         rows = batch.withColumn("row_id", F.monotonically_increasing_id())
-        filled = F.count(F.when(cleaned(F.col("value")) != "", 1)).alias("filled")
-        splits = count_splits(rows, filled, F.max("file_size").alias("file_size"))
+        # one row per split and per file, used several times
+        splits = count_splits(rows, *line_counts(), F.max("file_size").alias("file_size")).persist()
         lines = clean_lines(number_rows(rows, splits, broadcast_splits=False))
-        formats = detect_format(lines, hint)
+        formats = detect_format(lines, hint).persist()
         folder = lambda table: f"{table}/batch_id={batch_id}"
         # a batch holds at most files_per_batch files, each with one row of formats
-        entries = normalize(lines, formats, assume_year, small_formats=files_per_batch <= BROADCAST_FILES)
+        few = files_per_batch <= BROADCAST_FILES
+        entries, counted = normalize_files(
+            spark, in_dir, lines, splits, formats, assume_year=assume_year, few=few
+        )
         entries.write.mode("overwrite").partitionBy("job_id").parquet(folder(out_dir))
         stored = spark.read.schema(ENTRY_SCHEMA).parquet(folder(out_dir))
         if alerts_dir is not None:
             all_alerts(stored, thresholds).write.mode("overwrite").parquet(folder(alerts_dir))
         if jobs_dir is not None:
             files = splits.groupBy("source_file").agg(F.max("file_size").alias("file_size"))
-            jobs = job_table(files, splits, formats, stored, owner=owner)
+            jobs = job_table(files, counted, formats, stored, owner=owner)
             jobs.write.mode("overwrite").parquet(folder(jobs_dir))
+        splits.unpersist()
+        formats.unpersist()
 
     return (
         stream.writeStream.foreachBatch(save)
