@@ -9,7 +9,7 @@ import scenarios as sc
 from scenarios import access_scenario, auth_scenario
 from wardlog.operators.detect import DETECTOR_FUNCTIONS, all_alerts, run_all
 from wardlog.operators.detect_abuse import peak_rates
-from wardlog.operators.detect_brute_force import detect_brute_force, find_bursts
+from wardlog.operators.detect_brute_force import burst_targets, detect_brute_force, find_bursts
 from wardlog.operators.detect_login import failure_streaks
 from wardlog.operators.detect_web import detect_web_attacks, match_attack_categories
 from wardlog.operators.normalize import normalize_access, normalize_auth
@@ -53,6 +53,15 @@ def test_auth_scenario_alerts(as_lines):
     assert (alerts[3].source_ip, alerts[3].title) == ("unknown", "Path Traversal Attempt from unknown")
 
 
+def test_names_of_a_spray_as_rows(as_lines):
+    found = normalize_auth(as_lines(auth_scenario())).cache()
+    names = {f"svc{i:02d}" for i in range(sc.SPRAYED)}
+    assert {(r.source_ip, r.username) for r in burst_targets(found).collect()} == {(sc.SPRAYER, n) for n in names}
+    alert = detect_brute_force(found, list_targets=False).first()
+    assert (alert.target_account, json.loads(alert.evidence)["target_count"]) == (None, sc.SPRAYED)
+    assert f"Target accounts: {sc.SPRAYED} names." in alert.description and "svc00" not in str(alert)
+
+
 def test_a_spray_without_success_is_medium(as_lines):
     alerts = run_all(normalize_auth(as_lines(auth_scenario(breached=False))).cache()).collect()
     assert [(r.severity, r.detector) for r in alerts] == [

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables a
 # these run jobs while they are built
 EAGER = {
     "read_waf_files", "read_text_files", "listed_files", "stored_entries", "stored_alerts", "ingested_stream",
-    "streamed_rate",
+    "streamed_rate", "analyzed_files", "ingested_alerts",
 }
 
 

@@ -1,6 +1,8 @@
 from collections import Counter
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from scenarios import access_scenario, auth_scenario
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import (
@@ -175,3 +177,5 @@ def test_format_hint_overrides(as_lines):
     lines = as_lines(auth_scenario())
     assert detect_format(lines, "UFW").first().format == "Firewall"
     assert detect_format(lines, "no such").first().format == "Auth"
+    by_file = F.when(F.col("source_file") == lines.first().source_file, "Json").otherwise("UFW")
+    assert detect_format(lines, by_file).first().format == "JSON"

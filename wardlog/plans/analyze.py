@@ -91,7 +91,8 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     rows of this run's jobs in the three tables. Each run writes folders of its own
     below ``out_dir``, so that earlier results stay readable and an alert that is no
     longer raised is in none of this run's; ``current`` reads every job's latest run.
-    Files without a line give a job with no lines.
+    Files without a line give a job with no lines. ``hint`` is a word for all files or a
+    column over source_file that gives one per file.
 
     Raw files are scanned three times: to count the lines of every split, for the
     formats, and to normalise. The tables of the first two are written, as the

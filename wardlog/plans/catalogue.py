@@ -608,6 +608,23 @@ def ingested_stream(spark, sf_dir):
     )
 
 
+@query
+def ingested_alerts(spark, sf_dir):
+    """Access-log files of 200 lines, each a job, taken in by several micro-batches: in how many
+    jobs a detector raised an alert about an address."""
+    base = scratch_path(spark, "stream")
+    rows = fx.source_rows(spark, sf_dir).withColumn("file", F.floor(F.col("event_id") / fx.FILE_LINES))
+    lines = rows.select("file", fx.line_texts()["access"].alias("raw_line"))
+    lines.repartition("file").write.partitionBy("file").text(f"{base}/in")
+    files = list_log_files(spark, f"{base}/in").count()
+    ingest_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=max(1, files // 2),
+        alerts_dir=f"{base}/alerts", thresholds={"exfiltration": {"threshold_mb": 10}, "error_flood": {"threshold": 2}},
+    ).awaitTermination()
+    alerts = spark.read.parquet(f"{base}/alerts").filter(F.col("detector").isin("exfiltration", "error_flood"))
+    return alerts.groupBy("detector", "source_ip").agg(F.count_distinct("job_id").alias("jobs"))
+
+
 @query
 def streamed_rate(spark, sf_dir):
     """Window counts of the entry stream over several micro-batches, whose files hold mixed times, so

@@ -676,6 +676,14 @@ FROM ab GROUP BY 1""", PUBLIC)
 # --- streaming --------------------------------------------------------------------------------------------
 ORACLES["ingested_stream"] = over(f"""
 SELECT {_class} AS event_type, method, count(*) AS entries, CAST(sum(response_size) AS BIGINT) AS bytes FROM pa GROUP BY 1, 2""", PATH)
+ORACLES["ingested_alerts"] = over("""
+SELECT detector, source_ip, count(*) AS jobs FROM (
+  SELECT 'exfiltration' AS detector, source_ip FROM fx
+  GROUP BY source_ip, event_id // 200 HAVING sum(response_size) >= 10 * 1048576
+  UNION ALL
+  SELECT 'error_flood', source_ip FROM fx
+  GROUP BY source_ip, event_id // 200 HAVING count(*) FILTER (status_code BETWEEN 400 AND 499) >= 2)
+GROUP BY 1, 2""")
 ORACLES["streamed_rate"] = over(f"""
 SELECT job_id, source_ip, {sec('w')} AS window_start, count(*) AS requests FROM (
   SELECT job_id, source_ip, unnest([time_bucket(INTERVAL 12 HOURS, event_time, TIMESTAMP '1970-01-01 00:00:00'),
