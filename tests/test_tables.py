@@ -19,6 +19,7 @@ from wardlog.operators.normalize import normalize_auth
 from wardlog.operators.reputation import enrich_ips, public_ips, reputation_band
 from wardlog.operators.timeline import filter_timeline, timeline, timeline_types
 from wardlog.plans.analyze import analyze, current
+from wardlog.sources.tables import RAW_LINE_LIMIT, read_entries, write_entries
 from wardlog.streaming.ingest import ingest_stream
 from wardlog.streaming.rate import stream_rate
 
@@ -332,3 +333,13 @@ def test_stream_rate_on_a_table(spark):
     df = entries(spark, [{"source_ip": "1.1.1.1", "second": s} for s in (0, 10, 59, 60, 130)])
     assert sorted(r.requests for r in stream_rate(df).collect()) == [1, 1, 3]
     assert stream_rate(df, threshold=3).count() == 1
+
+
+def test_entries_are_stored_whole_unless_a_cut_is_asked_for(spark, tmp_path):
+    long = "GET " + "x" * RAW_LINE_LIMIT + " union select 1"
+    found = entries(spark, [{"raw_line": long}, {"raw_line": "short", "second": 1}])
+    write_entries(found, str(tmp_path / "whole"))
+    write_entries(found, str(tmp_path / "cut"), raw_chars=RAW_LINE_LIMIT)
+    lines = lambda name: sorted(r.raw_line for r in read_entries(spark, str(tmp_path / name)).collect())
+    assert lines("whole") == [long, "short"]
+    assert lines("cut") == [long[:RAW_LINE_LIMIT], "short"]

@@ -25,7 +25,7 @@ from wardlog.plans import fixtures as fx
 from wardlog.plans.analyze import analyze, current
 from wardlog.session import prepare, scratch_path
 from wardlog.sources.lines import list_log_files, read_log_lines
-from wardlog.sources.tables import read_alerts, read_entries, write_alerts, write_entries
+from wardlog.sources.tables import RAW_LINE_LIMIT, read_alerts, read_entries, write_alerts, write_entries
 from wardlog.sources.waf_csv import read_waf_csv
 from wardlog.streaming.ingest import ingest_stream
 from wardlog.streaming.rate import stream_rate
@@ -239,20 +239,34 @@ def listed_files(spark, sf_dir):
     return list_log_files(spark, path).groupBy("extension").agg((F.sum("file_size") > 0).alias("has_data"))
 
 
+def _long_lines(spark, sf_dir):
+    """Entries whose raw lines are longer than RAW_LINE_LIMIT."""
+    return fx.log_fixture(spark, sf_dir).withColumn(
+        "raw_line", F.concat("message", F.repeat(F.lit("x"), RAW_LINE_LIMIT))
+    )
+
+
 @query
 def stored_entries(spark, sf_dir):
-    """Entries written per job and read back."""
+    """Entries written per job and read back, their raw lines cut as on the sync route."""
     path = scratch_path(spark, "entries")
-    lengthened = fx.log_fixture(spark, sf_dir).withColumn(
-        "raw_line", F.concat("message", F.repeat(F.lit("x"), 2000))
-    )
-    write_entries(lengthened, path)
+    write_entries(_long_lines(spark, sf_dir), path, raw_chars=RAW_LINE_LIMIT)
     return read_entries(spark, path).select(
         *entry_columns("source_ip", "endpoint", "response_size", F.length("raw_line").alias("raw_length")),
         F.element_at("extra_fields", "terminating_rule").alias("rule"),
     )
 
 
+@query
+def stored_whole_lines(spark, sf_dir):
+    """Entries written as by default, which keeps their raw lines whole."""
+    path = scratch_path(spark, "entries")
+    write_entries(_long_lines(spark, sf_dir), path)
+    return read_entries(spark, path).select(
+        *entry_columns(F.length("raw_line").alias("raw_length"), F.sha2("raw_line", 256).alias("raw_sha256"))
+    )
+
+
 @query
 def stored_alerts(spark, sf_dir):
     """Alerts written per job and read back."""

@@ -218,6 +218,9 @@ SELECT event_id, event_id || ' ' || access AS raw_line, CAST(1 AS BIGINT) AS fir
 ORACLES["listed_files"] = "SELECT 'txt' AS extension, count(*) > 0 AS has_data FROM events UNION ALL SELECT 'csv', count(*) > 0 FROM events"
 ORACLES["stored_entries"] = over(f"""
 SELECT {ENTRY}, event_type, source_ip, endpoint, response_size, CAST(2000 AS INTEGER) AS raw_length, rule FROM fxm""")
+ORACLES["stored_whole_lines"] = over(f"""
+SELECT {ENTRY}, event_type, CAST(length(raw) AS INTEGER) AS raw_length, sha256(raw) AS raw_sha256
+FROM (SELECT *, message || repeat('x', 2000) AS raw FROM fxm)""")
 
 # --- detectors --------------------------------------------------------------------
 FAILED, LOGINS = among(fixed.FAILED_LOGIN_TYPES), among(fixed.SUCCESS_LOGIN_TYPES)

@@ -13,8 +13,8 @@ def _write_by_job(table, path, mode):
     writer.partitionBy("job_id").parquet(path)
 
 
-def write_entries(entries, path, mode="append", raw_chars=RAW_LINE_LIMIT):
-    """Save entries; the raw line is cut to ``raw_chars`` characters, or kept whole with None.
+def write_entries(entries, path, mode="append", raw_chars=None):
+    """Save entries; the raw line is kept whole, or cut to its first ``raw_chars`` characters where that is given.
 
     Rows stay in the tasks that parsed them: no shuffle, and a large job is
     written by many tasks.
