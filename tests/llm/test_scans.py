@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from wardlog.llm.decontaminate import decontaminate
+from wardlog.llm.decontaminate import decontaminate, without_contaminated
 from wardlog.llm import decontaminate as decontamination
 from wardlog.llm.licenses import license_scan
 from wardlog.llm.secrets import redact, secret_scan
@@ -103,6 +104,25 @@ def test_decontamination(spark, as_docs, monkeypatch):
     assert sorted(map(tuple, decontaminate(as_docs(rows), bench).collect())) == decontaminated(rows, items)
 
 
+@pytest.mark.parametrize("width", [1, 5, 10, 13])
+def test_decontamination_at_other_widths(spark, as_docs, monkeypatch, width):
+    """Both joins find a passage whose rarest word stands at any of its places."""
+    common = [f"c{k}" for k in range(width)]
+    items = [(p, " ".join([*common[:p], f"rare{p}", *common[p + 1:]])) for p in range(width)]
+    items.append((90, "only three words"))
+    rows = [(100, " ".join(common * 3)), (101, "x only three words"), (102, "only three"), (103, None)]
+    for p, text in items[:-1]:
+        rows += [(p, text), (20 + p, f"x y {text} " + "z " * 40), (40 + p, text[:-1]), (60 + p, "q " * 30 + text)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminated(rows, items, width)
+    assert sum(row[-1] for row in want) > 3 * width
+    for most in (200_000, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
+        assert sorted(map(tuple, decontaminate(as_docs(rows), bench, width).collect())) == want
+        kept = sorted(r["doc_id"] for r in without_contaminated(as_docs(rows), bench, width).collect())
+        assert kept == [row[0] for row in want if not row[-1]]
+
+
 def test_license_phrases_and_notices(spark, as_docs):
     texts = [
         "Released under the MIT License.", "MIT-licensed mit\nlicense MIT LICENSE", "submit license", "mit é license",

@@ -55,7 +55,7 @@ def rarest_words(windows, documents, n_windows):
     )
 
 
-def window_hits(documents, anchors, n_windows):
+def window_hits(documents, anchors, n_windows, width=WINDOW):
     """doc_id, text_key, window, start: each place where a document holds a window."""
     length = F.size("window")
     if n_windows <= BROADCAST_WINDOWS:
@@ -68,12 +68,12 @@ def window_hits(documents, anchors, n_windows):
             .where(F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, length) == F.col("window"))
         )
     else:  # a shuffled join; each word takes only its neighbourhood with it
-        around = F.slice("words", F.greatest(F.col("pos") - (WINDOW - 2), F.lit(1)), F.lit(2 * WINDOW - 1))
+        around = F.slice("words", F.greatest(F.col("pos") - (width - 2), F.lit(1)), F.lit(2 * width - 1))
         near = (
             documents.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "word"))
             .select("doc_id", "text_key", "pos", "word", around.alias("around"))
             .join(anchors, "word")
-            .withColumn("from", F.least(F.col("pos"), F.lit(WINDOW - 1)) - F.col("place"))
+            .withColumn("from", F.least(F.col("pos"), F.lit(width - 1)) - F.col("place"))
             .where("from >= 0")
             .where(F.slice("around", F.greatest(F.col("from"), F.lit(0)) + 1, length) == F.col("window"))
             .withColumn("start", F.col("pos") - F.col("place"))
@@ -86,7 +86,8 @@ def all_hits(docs, benchmark, width):
     documents = word_rows(docs, "doc_id", F.xxhash64("text").alias("text_key"))
     windows = item_windows(benchmark, width)
     n_windows = windows.count()
-    return documents, windows, n_windows, window_hits(documents, rarest_words(windows, documents, n_windows), n_windows)
+    anchors = rarest_words(windows, documents, n_windows)
+    return documents, windows, n_windows, window_hits(documents, anchors, n_windows, width)
 
 
 def without_contaminated(docs, benchmark, width=WINDOW):
