@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from wardlog.operators.detect import DETECTOR_FUNCTIONS
+from wardlog.plans import fixtures as fx
 from wardlog.plans.catalogue import QUERIES
 from wardlog.plans.oracles import ORACLES
 
@@ -43,3 +45,9 @@ def test_plans_have_no_cross_join_and_no_single_task(spark):
         if re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups", plan):
             wrong.append((name, "Python"))
     assert not wrong
+
+
+def test_alert_queries_meet_every_detector(spark):
+    alerts = fx.every_alert(spark, FOLDER.replace("0.001", "0.01"))
+    assert {r.detector for r in alerts.select("detector").distinct().collect()} == set(DETECTOR_FUNCTIONS)
+    assert alerts.select("created_at").distinct().count() > 1

@@ -44,6 +44,18 @@ def query(function):
     return run
 
 
+def alert_query(function):
+    """Register over the alerts of two detectors, and as every_<name> over those of all eight."""
+    for prefix, fixture in (("", fx.alert_fixture), ("every_", fx.every_alert)):
+
+        def run(spark, sf_dir, fixture=fixture):
+            return function(spark, sf_dir, fixture(spark, sf_dir))
+
+        run.__name__ = prefix + function.__name__
+        query(run)
+    return function
+
+
 def seconds_text(column):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
@@ -432,25 +444,25 @@ for _metric in (
     _over_entries(_metric)
 
 
-@query
-def alerts_by_severity(spark, sf_dir):
-    return dash.alerts_by_severity(fx.alert_fixture(spark, sf_dir))
+@alert_query
+def alerts_by_severity(spark, sf_dir, alerts):
+    return dash.alerts_by_severity(alerts)
 
 
-@query
-def alerts_by_type(spark, sf_dir):
-    return dash.alerts_by_type(fx.alert_fixture(spark, sf_dir))
+@alert_query
+def alerts_by_type(spark, sf_dir, alerts):
+    return dash.alerts_by_type(alerts)
 
 
-@query
-def severity_distribution(spark, sf_dir):
-    return dash.severity_distribution(fx.alert_fixture(spark, sf_dir), fx.job_fixture(spark, sf_dir))
+@alert_query
+def severity_distribution(spark, sf_dir, alerts):
+    return dash.severity_distribution(alerts, fx.job_fixture(spark, sf_dir))
 
 
-@query
-def dashboard(spark, sf_dir):
+@alert_query
+def dashboard(spark, sf_dir, alerts):
     """The wide row per job; lists as text, so that they compare as values."""
-    wide = dash.dashboard(fx.log_fixture(spark, sf_dir), fx.alert_fixture(spark, sf_dir))
+    wide = dash.dashboard(fx.log_fixture(spark, sf_dir), alerts)
 
     def as_text(field):
         names = field.dataType.elementType.names
@@ -478,10 +490,10 @@ def search_count(spark, sf_dir):
     return search.search_count(fx.log_fixture(spark, sf_dir), username="root", search="get _api")
 
 
-@query
-def list_alerts(spark, sf_dir):
+@alert_query
+def list_alerts(spark, sf_dir, alerts):
     return search.list_alerts(
-        fx.alert_fixture(spark, sf_dir), fx.job_fixture(spark, sf_dir), severity="high", owner="owner0"
+        alerts, fx.job_fixture(spark, sf_dir), severity="high", owner="owner0"
     ).select("job_id", "severity", "title", "source_ip", seconds_text("created_at").alias("created_at"))
 
 
@@ -497,14 +509,14 @@ def job_total(spark, sf_dir):
     return search.count_jobs(fx.job_fixture(spark, sf_dir), owner="owner1")
 
 
-@query
-def filter_alerts(spark, sf_dir):
-    return search.filter_alerts(fx.alert_fixture(spark, sf_dir), "exfil").select("job_id", "alert_type", "title")
+@alert_query
+def filter_alerts(spark, sf_dir, alerts):
+    return search.filter_alerts(alerts, "exfil").select("job_id", "alert_type", "title")
 
 
-@query
-def list_jobs(spark, sf_dir):
-    jobs = search.job_summary(fx.job_fixture(spark, sf_dir), fx.alert_fixture(spark, sf_dir))
+@alert_query
+def list_jobs(spark, sf_dir, alerts):
+    jobs = search.job_summary(fx.job_fixture(spark, sf_dir), alerts)
     return search.list_jobs(jobs, page=1, page_size=2).withColumn(
         "created_at", plain_text(F.col("created_at").cast("timestamp_ntz"))
     )
@@ -515,24 +527,24 @@ def scope_to_owner(spark, sf_dir):
     return search.scope_to_owner(fx.job_fixture(spark, sf_dir), "owner1").select("job_id", "created_by_user_id")
 
 
-def _timeline(spark, sf_dir):
-    return timeline(fx.log_fixture(spark, sf_dir), fx.alert_fixture(spark, sf_dir), limit=200)
+def _timeline(spark, sf_dir, alerts):
+    return timeline(fx.log_fixture(spark, sf_dir), alerts, limit=200)
 
 
-@query
-def timeline_events(spark, sf_dir):
-    events = _timeline(spark, sf_dir)
+@alert_query
+def timeline_events(spark, sf_dir, alerts):
+    events = _timeline(spark, sf_dir, alerts)
     return events.withColumn("timestamp", plain_text(F.col("timestamp").cast("timestamp_ntz")))
 
 
-@query
-def timeline_event_types(spark, sf_dir):
-    return timeline_types(_timeline(spark, sf_dir))
+@alert_query
+def timeline_event_types(spark, sf_dir, alerts):
+    return timeline_types(_timeline(spark, sf_dir, alerts))
 
 
-@query
-def timeline_of_type(spark, sf_dir):
-    return filter_timeline(_timeline(spark, sf_dir), "invalid_user").select("job_id", "place", "username")
+@alert_query
+def timeline_of_type(spark, sf_dir, alerts):
+    return filter_timeline(_timeline(spark, sf_dir, alerts), "invalid_user").select("job_id", "place", "username")
 
 
 # --- evidence and risk ------------------------------------------------------------------------
@@ -560,9 +572,9 @@ def evidence_pack(spark, sf_dir):
     )
 
 
-@query
-def job_risk(spark, sf_dir):
-    return evidence.job_risk(fx.alert_fixture(spark, sf_dir), fx.job_fixture(spark, sf_dir))
+@alert_query
+def job_risk(spark, sf_dir, alerts):
+    return evidence.job_risk(alerts, fx.job_fixture(spark, sf_dir))
 
 
 @query

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from wardlog.functions.text import case
 from wardlog.operators.detect import all_alerts
 from wardlog.schema import ENTRY_SCHEMA
+from wardlog.session import scratch_path
+from wardlog.sources.tables import read_alerts, write_alerts
 
 CREATED_AT = "2024-01-15 12:00:00"
+FIRST_ALERT = "2024-01-01 00:00:00"
 LOOKUP_NOW = "2024-01-31 00:00:00"
 # parameters under which the detectors find something, but not everything, here
 THRESHOLDS = {
@@ -126,6 +129,14 @@ def alert_fixture(spark, sf_dir):
     )
 
 
+def every_alert(spark, sf_dir):
+    """Alerts of all eight detectors on the fixture, raised ten seconds apart by line; stored once, as the plan is large."""
+    path = scratch_path(spark, "every-alert")
+    raised = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_ALERT).cast("timestamp")) + 10 * F.col("order_line"))
+    write_alerts(all_alerts(log_fixture(spark, sf_dir), THRESHOLDS).withColumn("created_at", raised), path)
+    return read_alerts(spark, path)
+
+
 def job_fixture(spark, sf_dir):
     """One job per job id found in the entries."""
     number = F.regexp_extract("job_id", r"(\d+)", 1).cast("int")

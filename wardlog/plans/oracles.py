@@ -646,6 +646,42 @@ FROM (SELECT *, CASE detector WHEN 'exfiltration' THEN ['Investigate what data I
     'Ensure sensitive paths return generic responses'] END AS actions FROM numbered) n,
   LATERAL (SELECT unnest(range(1, len(n.actions) + 1)) AS i) u""", *WITH_ALERTS)
 
+# --- the same queries over the alerts of all detectors -----------------------------------------------
+EVERY = f"""
+al AS (
+  SELECT *, CAST({RANK} AS INTEGER) AS severity_rank,
+    TIMESTAMP '2024-01-01 00:00:00' + to_seconds(10 * order_line) AS created_at FROM (
+    SELECT job_id, 'brute_force' AS detector, 0 AS detector_order, 'brute_force' AS alert_type, severity, source_ip,
+      'Brute Force Attack from ' || source_ip AS title,
+      (SELECT min(line_number) FROM fails f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip) AS order_line,
+      target_account FROM brute_alerts a
+    UNION ALL SELECT job_id, 'off_hours_login', 1, 'suspicious_login', 'high', source_ip,
+      'Privileged Account Login Outside Working Hours', line_number, username FROM off_hours
+    UNION ALL SELECT job_id, 'multi_privileged', 2, 'privilege_escalation', 'critical', source_ip,
+      'Multiple Privileged Account Access from ' || source_ip,
+      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
+        AND f.event_type IN {among(fixed.PRIVILEGED_USE_TYPES)} AND lower(f.username) IN {PRIVILEGED}), names FROM multi a
+    UNION ALL SELECT job_id, 'login_after_failures', 3, 'suspicious_login', 'high', source_ip,
+      'Successful Login After ' || streak || ' Failures for ''' || username || '''', line_number, username FROM streaks
+    UNION ALL SELECT job_id, 'web_attacks', 4, 'web_attack', severity, source_ip, title,
+      (SELECT min(line_number) FROM hits h WHERE h.job_id = a.job_id AND h.source_ip = a.source_ip
+        AND h.category = a.category), NULL FROM web_alerts a
+    UNION ALL SELECT job_id, 'rate_abuse', 5, 'api_abuse', severity, source_ip, 'API Rate Abuse from ' || source_ip,
+      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip), NULL FROM rate_alerts a
+    UNION ALL SELECT job_id, 'exfiltration', 6, 'data_exfiltration', severity, source_ip, title,
+      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
+        AND f.response_size <> 0), NULL FROM exfil_alerts a
+    UNION ALL SELECT job_id, 'error_flood', 7, 'api_abuse', severity, source_ip, title,
+      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
+        AND f.status_code >= 400), NULL FROM flood_alerts a))"""
+_two = ",\n".join(c.strip() for c in WITH_ALERTS)
+_every = ",\n".join(c.strip() for c in (BURSTS, OFF_HOURS, MULTI, STREAKS, HITS, RATES, EXFIL, FLOOD, EVERY))
+for _name in (
+    "alerts_by_severity", "alerts_by_type", "severity_distribution", "dashboard", "list_alerts", "filter_alerts",
+    "list_jobs", "timeline_events", "timeline_event_types", "timeline_of_type", "job_risk",
+):
+    ORACLES[f"every_{_name}"] = ORACLES[_name].replace(_two, _every).replace("source_ip, NULL, title", "source_ip, target_account, title")
+
 # --- reputation ----------------------------------------------------------------------------------------
 PUBLIC = """
 pe AS (
