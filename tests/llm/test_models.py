@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+from wardlog.llm import language
 from wardlog.llm import quality_rules as rules
 from wardlog.llm.language import codewords, identify
 from wardlog.llm.toxicity import fit, severities, toxicity, without_toxic
@@ -118,3 +119,38 @@ def test_languages(spark, as_docs):
     assert len(held) > 100 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.98 * len(held)
     assert {r["lang_pred"] for r in got if r["doc_id"] >= 700} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_every_language_is_learned(spark, as_docs, monkeypatch):
+    """More languages than a task holds or the driver spreads out at a time; the rarest are told apart as well."""
+    rng = random.Random(4)
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 7)
+    rows = []
+    for k in range(90):
+        syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(5)]
+        for _ in range(40 if k < 64 else 16):
+            words = ["".join(rng.choices(syllables, k=rng.randrange(1, 3))) for _ in range(30)]
+            rows.append((len(rows), " ".join(words), f"l{k:02}"))
+    rng.shuffle(rows)
+    truth = {i: lang for i, _, lang in rows}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(language, "BROADCAST_IDS", most)
+        got = identify(as_docs(rows)).collect()
+        assert {r["lang_pred"] for r in got} == set(truth.values())
+        held = [r for r in got if r["held_out"]]
+        assert len(held) > 500 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.98 * len(held)
+
+
+def test_counts_are_handed_on_in_parts(spark, as_docs, monkeypatch):
+    rows = [(i, f"some words of {i % 9} and {i}", f"l{i % 9}") for i in range(200)]
+    dense = lambda: {k: language.spread(v).tolist() for k, v in language.training_counts(as_docs(rows), 1_000).items()}
+    whole = dense()
+    monkeypatch.setattr(language, "HELD_LANGUAGES", 2)
+    assert len(whole) == 9 and dense() == whole
+
+
+def test_codewords_of_many_languages(monkeypatch):
+    code = codewords(range(300))
+    assert len({tuple(row) for row in code}) == 300
+    monkeypatch.setattr(language, "STEP_ROWS", 7)
+    assert (codewords(range(300)) == code).all()

@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from wardlog.llm.arrow import texts, with_columns
 
 TRAIN_DOCS = 1_000
-TRAIN_LANGUAGES = 64
+HELD_LANGUAGES = 256  # dense counts that a task holds before it hands them on
+BLOCK_LANGUAGES = 64  # languages that the driver spreads out at a time
+BROADCAST_IDS = 1_000_000
 BUCKET_BITS = 16
 EXHAUSTIVE = 7
 AMBIGUOUS = 0.75
 STEP = 1 << 20
+STEP_ROWS = 1_000
+CELLS = 1 << 23  # weights that are gathered at a time
 
 LETTER = regex.compile(r"\p{L}")
 GRAM_BYTES = bytes(32 if b < 128 and not 97 <= b <= 122 else b for b in range(256))
@@ -46,31 +50,22 @@ def held_out(column="doc_id"):
 
 
 def training_counts(docs, per_language):
-    """{language: counts of the buckets}, over at most per_language documents of each language, by hash.
-
-    Languages beyond the TRAIN_LANGUAGES most frequent are not learned.
-    """
+    """{language: (buckets, counts)}, over at most per_language documents of each language, by hash."""
     usable = docs.where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull())
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGUAGES)
+    few = usable.select("lang").distinct().count() * per_language <= BROADCAST_IDS
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
         usable.where("doc_id is not null")
         .select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_language)
-        .join(F.broadcast(common.select("lang")), "lang")
         .select("doc_id", F.col("lang").alias("train_lang"))
         .distinct()
     )
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").where("lang = train_lang")
+    ids = F.broadcast(ids) if few else ids
+    rows = usable.select("doc_id", "lang", "text").join(ids, "doc_id").where("lang = train_lang")
 
-    def count(batches):
-        totals = {}
-        for batch in batches:
-            for text, language in zip(texts(batch), batch.column("lang").to_pylist()):
-                total = totals.setdefault(language, np.zeros(1 << BUCKET_BITS, np.int64))
-                for hashes in gram_hashes(text):
-                    total += np.bincount(hashes, minlength=1 << BUCKET_BITS)
+    def sparse(totals):
         for language, total in totals.items():
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -79,15 +74,41 @@ def training_counts(docs, per_language):
                 names=["lang", "bucket", "n"],
             )
 
+    def count(batches):
+        totals = {}
+        for batch in batches:
+            for text, language in zip(texts(batch), batch.column("lang").to_pylist()):
+                if len(totals) == HELD_LANGUAGES and language not in totals:
+                    yield from sparse(totals)
+                    totals = {}
+                total = totals.setdefault(language, np.zeros(1 << BUCKET_BITS, np.int64))
+                for hashes in gram_hashes(text):
+                    total += np.bincount(hashes, minlength=1 << BUCKET_BITS)
+        yield from sparse(totals)
+
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(
         F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")  # at most 2 ** BUCKET_BITS
     )
-    result = {}
-    for row in table.collect():
-        result[row["lang"]] = np.zeros(1 << BUCKET_BITS)
-        result[row["lang"]][row["buckets"]] = row["counts"]
-    return result
+    found = table.toArrow()
+    return {
+        language: (found["buckets"][k].values.to_numpy(), found["counts"][k].values.to_numpy())
+        for k, language in enumerate(found["lang"].to_pylist())
+    }
+
+
+def spread(counts):
+    """Sparse counts as one number per bucket."""
+    dense = np.zeros(1 << BUCKET_BITS)
+    dense[counts[0]] = counts[1]
+    return dense
+
+
+def nearest(code, start):
+    """The largest product of a row from ``start`` on with another row."""
+    part = code[start:start + STEP_ROWS] @ code.T
+    part[np.arange(len(part)), start + np.arange(len(part))] = -np.inf
+    return part.max()
 
 
 def codewords(languages):
@@ -103,7 +124,7 @@ def codewords(languages):
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        near = (code @ code.T - np.eye(n) * 1e9).max()
+        near = max(nearest(code, start) for start in range(0, n, STEP_ROWS))
         if best is None or near < best[0]:
             best = (near, code)
     return best[1]
@@ -111,14 +132,28 @@ def codewords(languages):
 
 def bit_weights(counts, code):
     """Log-likelihood ratio of each bucket for each bit: the languages of a side weigh alike."""
-    laws = np.array([(c + 0.5) / (c.sum() + 0.5 * len(c)) for c in counts])
-    weights = np.empty((laws.shape[1], code.shape[1]), np.float32)
+    plus, minus = (np.zeros((code.shape[1], 1 << BUCKET_BITS)) for _ in range(2))
+    for row, word in zip(counts, code):
+        dense = spread(row)
+        law = (dense + 0.5) / (dense.sum() + 0.5 * len(dense))
+        plus[word > 0] += law
+        minus[word < 0] += law
+    weights = np.empty((1 << BUCKET_BITS, code.shape[1]), np.float32)
     for bit in range(code.shape[1]):
-        plus, minus = laws[code[:, bit] > 0], laws[code[:, bit] < 0]
-        weights[:, bit] = np.log(plus.mean(axis=0)) - np.log(minus.mean(axis=0)) if len(minus) else 1.0
+        n_plus, n_minus = (code[:, bit] > 0).sum(), (code[:, bit] < 0).sum()
+        weights[:, bit] = np.log(plus[bit] / n_plus) - np.log(minus[bit] / n_minus) if n_minus else 1.0
     return weights
 
 
+def margins_of(counts, weights):
+    """Mean weight of each bit over the counted texts of each language."""
+    parts = []
+    for start in range(0, len(counts), BLOCK_LANGUAGES):
+        dense = [spread(row) for row in counts[start:start + BLOCK_LANGUAGES]]
+        parts.append(np.array([row / max(row.sum(), 1) for row in dense]) @ weights)
+    return np.concatenate(parts)
+
+
 def decode(margins, code, trust):
     """Language number, its share and whether the second is near: the least weighted logistic loss wins."""
     loss = (trust * np.log1p(np.exp(-np.clip(code * margins, -40, 40)))).sum(axis=1)
@@ -140,11 +175,12 @@ def identify(docs, per_language=TRAIN_DOCS):
     languages = sorted(learned)
     if languages:
         code = codewords(languages)
-        weights = bit_weights([learned[name] for name in languages], code)
+        counts = [learned[name] for name in languages]
+        weights = bit_weights(counts, code)
         # a bit counts by how far its classifier separates the learned languages
-        laws = np.array([learned[name] / max(learned[name].sum(), 1) for name in languages])
-        apart = ((laws @ weights) * code).min(axis=0)
+        apart = (margins_of(counts, weights) * code).min(axis=0)
         trust = np.maximum(apart, 1e-3) / max(apart.max(), 1e-3)
+        step = max(1, CELLS // code.shape[1])
         scale = 4.0 / max(float(np.median(np.maximum(apart, 1e-3))), 1e-3)
 
     def predict(batches):
@@ -156,7 +192,8 @@ def identify(docs, per_language=TRAIN_DOCS):
                     continue
                 total, n = np.zeros(code.shape[1]), 0
                 for hashes in gram_hashes(text):
-                    total += weights[hashes].sum(axis=0, dtype=np.float64)
+                    for start in range(0, len(hashes), step):
+                        total += weights[hashes[start:start + step]].sum(axis=0, dtype=np.float64)
                     n += len(hashes)
                 best, share, close = decode(scale * total / n, code, trust)
                 names.append(languages[best]), scores.append(share), near.append(bool(close))
