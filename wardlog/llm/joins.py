@@ -18,7 +18,7 @@ def lookup(rows, facts, key, salt_by, rows_hint=None):
     if count <= BROADCAST_ROWS:
         return rows.join(F.broadcast(facts), key, "left")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
-    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(spread, [key, "_salt"], "left").drop("_salt")
 
 
