@@ -124,9 +124,38 @@ SELECT page_id, payload_bytes, {LETTERS} AS payload_digest,
 FROM q
 """
 
+def drawn(k):
+    return f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+
+
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+    sha256('7:' || doc_id) AS h FROM documents
+),
+c AS (
+  SELECT *, len(u) AS n, least({drawn(0)} % (len(u) + 1), {drawn(1)} % (len(u) + 1)) AS lo,
+    greatest({drawn(0)} % (len(u) + 1), {drawn(1)} % (len(u) + 1)) AS hi,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {drawn(2)} % 100 >= 100 AS plain,
+    {drawn(3)} % 100 < 50 AS spm FROM d
+),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:lo], ''), '') AS pre, coalesce(array_to_string(u[lo + 1:hi], ''), '') AS mid,
+    coalesce(array_to_string(u[hi + 1:n], ''), '') AS suf FROM c
+)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(pre)::BIGINT END AS prefix_chars,
+  CASE WHEN NOT plain THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+    ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op2_secret_scans": OP2,
     "op3_decontamination": OP3,
     "op10_warc": OP10,
+    "op13_fill_in_middle": OP13,
 }

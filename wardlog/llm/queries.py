@@ -3,6 +3,7 @@
 import public_tokenizers
 
 from wardlog.llm.decontaminate import decontaminate
+from wardlog.llm.fill_in_middle import fill_in_middle, op13_columns
 from wardlog.llm.language import identify
 from wardlog.llm.licenses import license_scan
 from wardlog.llm.ngram_join import ngram_join
@@ -73,3 +74,8 @@ def op9_language_id(spark, sf_dir):
 @query
 def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    return op13_columns(fill_in_middle(table(spark, sf_dir, "documents")))
