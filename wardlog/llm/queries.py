@@ -15,6 +15,7 @@ from wardlog.llm.sharding import op4_columns, shard_rows
 from wardlog.llm.tables import table
 from wardlog.llm.toxicity import toxicity
 from wardlog.llm.warc import round_trip
+from wardlog.llm.weighted_sampling import fingerprints
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 QUERIES = {}
@@ -76,6 +77,11 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_document_fingerprints(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     return op13_columns(fill_in_middle(table(spark, sf_dir, "documents")))
