@@ -9,7 +9,7 @@ BROADCAST_ROWS = 500_000
 
 
 def lookup(rows, facts, key, salt_by, rows_hint=None):
-    """Left join of rows with facts, which have one row per key.
+    """Left join of rows with facts, which have one row per key (a column or several).
 
     Up to BROADCAST_ROWS facts are broadcast. Beyond, rows are dealt out by key and a salt, and each fact goes to
     every salt, so that a key with a third of all rows is shared by SALTS tasks.
@@ -19,7 +19,8 @@ def lookup(rows, facts, key, salt_by, rows_hint=None):
         return rows.join(F.broadcast(facts), key, "left")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
 
 
 def components(edges, name="components"):

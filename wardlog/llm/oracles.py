@@ -124,6 +124,36 @@ SELECT page_id, payload_bytes, {LETTERS} AS payload_digest,
 FROM q
 """
 
+OP12 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lowered("text")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents
+),
+w AS (SELECT lang, [x FOR x IN string_split_regex(p, '[\\x20\\x09]+') IF x <> ''] AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT *, unnest(range(1, 6)) AS k FROM places) WHERE i + k - 1 <= len(w)
+),
+f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM grams GROUP BY lang, g),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 100),
+cuts AS (
+  SELECT c.lang, c.g, a, n, x.f AS l, y.f AS r, k, (1000 * a * n) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)]
+),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, g[i:j] AS g, a
+  FROM (SELECT lang, g, a, i, unnest(range(i, len(g) + 1)) AS j FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM c))
+  WHERE j - i + 1 < len(g)
+),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inside s WHERE s.lang = low.lang AND s.g = low.g AND 100 * s.a >= 100 * low.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def drawn(k):
     return f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
 
@@ -157,5 +187,6 @@ ORACLES = {
     "op2_secret_scans": OP2,
     "op3_decontamination": OP3,
     "op10_warc": OP10,
+    "op12_collocations": OP12,
     "op13_fill_in_middle": OP13,
 }

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 
+from wardlog.llm.collocations import collocations
 from wardlog.llm.decontaminate import decontaminate
 from wardlog.llm.fill_in_middle import fill_in_middle, op13_columns
 from wardlog.llm.language import identify
@@ -82,6 +83,11 @@ def op11_document_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     return op13_columns(fill_in_middle(table(spark, sf_dir, "documents")))
