@@ -40,7 +40,7 @@ def part(bits, shift, width):
 def samples(text):
     """The drawn word and step of each sample."""
     drawn = []
-    counted = [(w, xxhash.xxh64_intdigest(w.encode(), 42) & ~1, n) for w, n in weights(text).items()]
+    counted = [(w, xxhash.xxh64_intdigest(w.encode(), 42) >> 24, n) for w, n in weights(text).items()]
     for k in range(ws.SAMPLES if counted else 0):
         block, place = divmod(k, ws.BLOCK)
         best = None

@@ -16,6 +16,7 @@ SAMPLES = 64
 # draws of a block are made together; r and b are shared by SHARED of them, c is not
 BLOCK = 8
 SHARED = 4
+WEIGHT_BITS = 24
 SLICES = 1 << 18
 SLICE_ROWS = 48
 EDGES = 1024
@@ -29,60 +30,52 @@ def uniform(bits, shift, width):
     return (part.cast("double") + 0.5) / float(1 << width)
 
 
-def weighted_terms(first, second):
-    """The words of two texts as an array of (term, weight, side): a word of equal weight in both stands once, as BOTH.
+def packed_terms(rows, keys, texts):
+    """The words of each of the texts (columns of rows) as an array of numbers: a word's hash, and its weight in the low
+    WEIGHT_BITS bits, where all larger weights count as the largest that fits.
 
-    The lowest bit of a word's hash tells the text, so that one sort brings the runs of a word in both together.
+    Each step is a projection of its own, so that arrays are made once and then read by place.
     """
+    kept = [*keys, *texts]
+    rows = rows.select(*keys, *[
+        F.sort_array(F.transform(blank_words(ascii_lower(F.col(c))), lambda word: F.xxhash64(word))).alias(c) for c in texts
+    ])
 
-    def hashes(text, side):
-        words = blank_words(ascii_lower(text))
-        clear = F.lit(-2)
-        return F.transform(words, lambda word: F.xxhash64(word).bitwiseAND(clear).bitwiseOR(F.lit(side)))
-
-    return F.sort_array(F.concat(hashes(first, 0), hashes(second, 1)))
-
-
-def run_ends(ordered):
-    """Of a sorted array, (value, place) where a run begins, and (null, length) at the end."""
-    before = F.concat(F.array(F.lit(None).cast("long")), ordered)
-    begins = F.zip_with(ordered, before, lambda x, y: F.when(~x.eqNullSafe(y), F.struct(x.alias("v"))))
-    placed = F.transform(begins, lambda x, i: F.when(x.isNotNull(), F.struct(x["v"].alias("v"), i.alias("i"))))
-    return F.filter(placed, lambda x: x.isNotNull())
-
+    def starts(ordered):
+        """The places where a run of equal numbers begins."""
+        begins = F.transform(ordered, lambda x, i: F.when((i == 0) | (ordered[i - 1] != x), i))
+        return F.filter(begins, lambda i: i.isNotNull())
 
-def runs(ends):
-    """(value, weight) of each run."""
-    lengths = F.zip_with(
-        ends, F.slice(ends, 2, 1 << 30), lambda x, y: F.struct(x["v"].alias("v"), (y["i"] - x["i"]).alias("w"))
+    rows = rows.select(*kept, *[starts(F.col(c)).alias(f"{c}_starts") for c in texts])
+    rows = rows.select(
+        *keys, *[F.array_distinct(c).alias(c) for c in texts],
+        *[F.concat(f"{c}_starts", F.array(F.size(c))).alias(f"{c}_starts") for c in texts],
     )
-    return F.filter(lengths, lambda x: x["v"].isNotNull())
 
+    def packed(terms, places):
+        def one(term, i):
+            weight = F.least(places[i + 1] - places[i], F.lit((1 << WEIGHT_BITS) - 1)).cast("long")
+            return F.shiftleft(F.shiftrightunsigned(term, WEIGHT_BITS), WEIGHT_BITS).bitwiseOR(weight)
 
-def merged_sides(lengths):
-    """(term, weight, side), the two runs of a word as one where their lengths are equal."""
+        return F.transform(terms, one)
 
-    def same(x, y):
-        alike = (x["v"].bitwiseOR(F.lit(1)) == y["v"].bitwiseOR(F.lit(1))) & (x["w"] == y["w"])
-        return F.coalesce(alike, F.lit(False))
+    return rows.select(*keys, *[packed(F.col(c), F.col(f"{c}_starts")).alias(c) for c in texts])
 
-    def entry(x, side):
-        return F.struct(x["v"].bitwiseAND(F.lit(-2)).alias("term"), x["w"].alias("weight"), side.alias("side"))
 
-    before = F.concat(F.array(F.lit(None).cast("struct<v:bigint,w:int>")), lengths)
-    marked = F.zip_with(
-        lengths, before, lambda x, y: F.struct(x.alias("x"), same(x, y).alias("second"))
-    )
-    after = F.zip_with(
-        marked, F.slice(marked, 2, 1 << 30),
-        lambda m, n: F.when(
-            m["x"].isNotNull() & ~m["second"],
-            entry(m["x"], F.when(F.coalesce(n["second"], F.lit(False)), BOTH).otherwise(
-                m["x"]["v"].bitwiseAND(F.lit(1)).cast("int")
-            )),
-        ),
+def weighted_terms(rows, keys, first, second):
+    """A row per word of two texts: keys, term, weight, side. A word of equal weight in both stands once, as BOTH; a row
+    without a word has one, with nulls."""
+    rows = packed_terms(rows, keys, [first, second])
+    a, b = F.col(first), F.col(second)
+    rows = rows.select(
+        *keys, F.array_except(a, b).alias("_a"), F.array_except(b, a).alias("_b"), F.array_intersect(a, b).alias("_c")
     )
-    return F.filter(after, lambda x: x.isNotNull())
+    sides = [F.array_repeat(F.lit(side), F.size(c)) for c, side in (("_a", ONLY_FIRST), ("_b", ONLY_SECOND), ("_c", BOTH))]
+    listed = F.arrays_zip(F.concat("_a", "_b", "_c").alias("packed"), F.concat(*sides).alias("side"))
+    # inlined, as fields taken from exploded structs would be computed once per field
+    rows = rows.select(*keys, F.inline_outer(listed).alias("packed", "side"))
+    weight = F.col("packed").bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1))
+    return rows.select(*keys, F.shiftrightunsigned("packed", WEIGHT_BITS).alias("term"), weight.alias("weight"), "side")
 
 
 def least_values(terms, keys):
@@ -118,11 +111,7 @@ def signatures(rows, keys, first, second):
 
     Rows of equal keys must be equal. The text of a row never leaves its task: all that follows is grouped by keys.
     """
-    terms = rows.select(*keys, weighted_terms(F.col(first), F.col(second)).alias("_ordered"))
-    terms = terms.select(*keys, run_ends(F.col("_ordered")).alias("_ends"))
-    terms = terms.select(*keys, runs(F.col("_ends")).alias("_runs"))
-    terms = terms.select(*keys, F.explode_outer(merged_sides(F.col("_runs"))).alias("_t")).select(*keys, "_t.*")
-    least = least_values(terms, keys)
+    least = least_values(weighted_terms(rows, keys, first, second), keys)
 
     def of(sides):
         """The mark of each draw: a hash of the least value."""
