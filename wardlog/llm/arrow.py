@@ -8,6 +8,15 @@ TERM_BYTES = bytes(
 )
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 STEP_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(frame, function, schema):
+    """mapInArrow, with at most BATCH_BYTES of rows in a batch; one long row may be more. The session's own bound is
+    64 MB, which each worker and its executor hold several times over."""
+    frame.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return frame.mapInArrow(function, schema)
 
 
 def term_list(text):

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wardlog.llm.arrow import map_batches
 from wardlog.llm import quotient_filter as cqf
 from wardlog.llm.joins import lookup
 from wardlog.llm.tables import stored
@@ -101,7 +102,7 @@ def encoded(docs, dictionary, text, lang):
         if size:
             yield pa.RecordBatch.from_pydict({"ids": pa.array([np.concatenate(parts).tobytes()], pa.binary())})
 
-    return rows.mapInArrow(encode, "ids binary")
+    return rows.transform(map_batches, encode, "ids binary")
 
 
 def encoded_by_join(docs, dictionary, text, lang):
@@ -128,7 +129,7 @@ def encoded_by_join(docs, dictionary, text, lang):
                       for row in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(column, pa.binary())})
 
-    return listed.mapInArrow(pack, "ids binary")
+    return listed.transform(map_batches, pack, "ids binary")
 
 
 def in_bitmap(bitmap, head):
@@ -201,7 +202,7 @@ def count_level(texts, words, range_bits, bitmap, least, name):
         return pa.table(columns | {"f": counts, "slot": (head >> np.uint64(64 - MAP_BITS)).astype(np.int64)})
 
     schema = ", ".join(f"{name} long" for name in [*names, "f", "slot"])
-    filters = texts.mapInArrow(count, "range long, filter binary")
+    filters = texts.transform(map_batches, count, "range long, filter binary")
     return stored(filters.groupBy("range").applyInArrow(merge, schema), name)
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlog.llm.arrow import map_batches
 from wardlog.llm.wavelet import BLANK, END, NEWLINE, WaveletMatrix
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -71,7 +72,7 @@ def with_cuts(docs, kinds):
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in added)])
-    return docs.mapInArrow(cut, schema)
+    return docs.transform(map_batches, cut, schema)
 
 
 def fill_in_middle(docs, units="lines", percent=100, spm_percent=50, seed=SEED, text="text", doc_id="doc_id"):

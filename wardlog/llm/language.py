@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardlog.llm.arrow import texts, with_columns
+from wardlog.llm.arrow import map_batches, texts, with_columns
 
 TRAIN_DOCS = 1_000
 HELD_LANGUAGES = 256  # dense counts that a task holds before it hands them on
@@ -86,7 +86,7 @@ def training_counts(docs, per_language):
                     total += np.bincount(hashes, minlength=1 << BUCKET_BITS)
         yield from sparse(totals)
 
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    counted = rows.select("lang", "text").transform(map_batches, count, "lang string, bucket int, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(
         F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")  # at most 2 ** BUCKET_BITS
     )
@@ -201,4 +201,4 @@ def identify(docs, per_language=TRAIN_DOCS):
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"
-    ).mapInArrow(predict, RESULT)
+    ).transform(map_batches, predict, RESULT)

@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 
-from wardlog.llm.arrow import term_list, texts, with_columns
+from wardlog.llm.arrow import map_batches, term_list, texts, with_columns
 
 PHRASES = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
@@ -128,4 +128,4 @@ def license_scan(docs, phrases=PHRASES, notices=NOTICES):
                 out["spans"].append(",".join(":".join(map(str, (s[2], s[0], s[1], s[3]))) for s in spans))
             yield with_columns(batch, ["doc_id"], SCHEMA, **out)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, RESULT)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(map_batches, scan, RESULT)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardlog.llm.arrow import LOWER_BYTES, in_steps
+from wardlog.llm.arrow import LOWER_BYTES, in_steps, map_batches
 from wardlog.llm.joins import components, lookup
 from wardlog.llm.tables import stored
 
@@ -159,8 +159,8 @@ def document_sets(docs, width, percent):
             names=["doc_id", "n_shingles", "key", "bits", "parts"],
         )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        measure, "doc_id long, n_shingles long, key binary, bits binary, parts array<long>"
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(
+        map_batches, measure, "doc_id long, n_shingles long, key binary, bits binary, parts array<long>"
     )
 
 
@@ -254,8 +254,8 @@ def bounded_regions(regions, percent, name, most_rows=REGION_ROWS, most_grams=RE
                 .select("region", F.col("chosen.bits").alias("pivot_bits"))
             )
             with_pivots = lookup(wide.select(*regions.columns, "most", "width"), chosen, "region", "node", count)
-            divided = with_pivots.select(*regions.columns, "most", "pivot_bits", "width").mapInArrow(
-                voronoi(percent), REGION_ROW
+            divided = with_pivots.select(*regions.columns, "most", "pivot_bits", "width").transform(
+                map_batches, voronoi(percent), REGION_ROW
             )
         else:
             blocks = F.greatest(F.ceil(2 * F.col("rows") / most_rows), F.ceil(2 * F.col("grams") / most_grams)).cast("int")
@@ -403,7 +403,8 @@ def in_regions(frame, function, columns, result):
                 found_a, found_b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return frame.select("region", *columns).repartition("region").sortWithinPartitions("region").mapInArrow(run, result)
+    rows = frame.select("region", *columns).repartition("region").sortWithinPartitions("region")
+    return rows.transform(map_batches, run, result)
 
 
 def candidate_links(regions, percent):

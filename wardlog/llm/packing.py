@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardlog.llm.arrow import texts
+from wardlog.llm.arrow import map_batches, texts
 from wardlog.llm.tables import stored
 from wardlog.llm.tokens import TextIds
 
@@ -45,8 +45,8 @@ def token_rows(docs, tokenizer, window=WINDOW, keep_ids=False):
                 names=["doc_id", "doc_tokens", "checks", "ids"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        cut, "doc_id long, doc_tokens long, checks array<long>, ids binary"
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(
+        map_batches, cut, "doc_id long, doc_tokens long, checks array<long>, ids binary"
     )
 
 
@@ -146,7 +146,7 @@ def pack(docs, tokenizer, window=WINDOW, unit=UNIT, keep_ids=False):
     docs has doc_id and text; other columns are ignored. Each document is its ids by the tokenizer file and the
     end id; a null text is empty and has the end id only. Rows that repeat are packed as documents of their own, a
     null doc_id like any other. An empty table gives no rows. With keep_ids, each piece has its ids (32-bit,
-    little-endian). The driver sees the counts per length bin and group of rows, and the plan over bins.
+    little-endian). The driver sees the counts per length bin, and the plan over bins.
     """
     spark = docs.sparkSession
     rest = F.col("doc_tokens") % window
@@ -160,26 +160,34 @@ def pack(docs, tokenizer, window=WINDOW, unit=UNIT, keep_ids=False):
     total = rows.count()
     groups = max(8, -(-total // GROUP_ROWS))
     rows = rows.withColumn("part", F.pmod("draw", F.lit(groups)).cast("int"))
-    counted = sorted(
-        tuple(r) for r in rows.groupBy("bin", "part").agg(F.count("*"), F.sum("n_full")).collect()
+    counted = stored(
+        rows.groupBy("bin", "part").agg(F.count("*").alias("n"), F.sum("n_full").alias("n_full")), "pack-counts"
     )
-    histogram, firsts, full = {}, [], 0
-    for b, part, n, n_full in counted:
-        firsts.append((b, part, histogram.get(b, 0), full))
-        histogram[b] = histogram.get(b, 0) + n
+    # one row per bin, window / unit + 1 at most
+    totals = sorted(map(tuple, counted.groupBy("bin").agg(F.sum("n"), F.sum("n_full")).collect()))
+    histogram, full_before, full = {}, [], 0
+    for b, n, n_full in totals:
+        histogram[b] = n
+        full_before.append((b, full))
         full += n_full
     histogram.pop(0, None)
     places, sequences = plan_places(packing_plan(histogram, window, unit))
 
-    # the number of a row among the rests of its bin, and of its first whole window among all
+    # the number of a row among the rests of its bin, and of its first whole window among all: within the group of its
+    # bin and part, after the groups before
+    groups_before = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select(
+        "bin", "part", F.coalesce(F.sum("n").over(groups_before), F.lit(0)).alias("rank0"),
+        F.coalesce(F.sum("n_full").over(groups_before), F.lit(0)).alias("full1"),
+    ).join(F.broadcast(values_frame(spark, full_before, "bin int, full0 long")), "bin")
     order = Window.partitionBy("bin", "part").orderBy("draw", "doc_id", "checks")
-    first = values_frame(spark, firsts, "bin int, part int, rank0 long, full0 long")
-    numbered = rows.join(F.broadcast(first), ["bin", "part"]).select(  # bins x groups rows
-        "*",
-        (F.col("rank0") + F.row_number().over(order) - 1).alias("rank"),
-        (F.col("full0") + F.sum("n_full").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_full")).alias(
-            "full"
-        ),
+    numbered = (
+        rows.withColumn("place", F.row_number().over(order) - 1)
+        .withColumn("whole", F.sum("n_full").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_full"))
+        .join(first, ["bin", "part"])
+        .withColumn("rank", F.col("rank0") + F.col("place"))
+        .withColumn("full", F.col("full0") + F.col("full1") + F.col("whole"))
+        .drop("place", "whole", "rank0", "full0", "full1")
     )
     piece_ids = F.when(
         F.col("ids").isNotNull(),

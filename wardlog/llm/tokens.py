@@ -8,8 +8,10 @@ from tokenizers import Tokenizer
 
 from wardlog.llm.arrow import in_steps
 
-CACHE_WORDS = 400_000
-STEP_WORDS = 20_000
+ID_BYTES = 4
+CACHE_BYTES = 24 << 20  # of a worker's known words, their ids and the table of them
+ENTRY_BYTES = 180  # of a known word beside its characters and ids
+STEP_CHARACTERS = 1 << 19
 
 # How the tokenizer file must clean and split texts for the lookup; fixed values of that file.
 CLEANING = ["NFC", "Replace", "Lowercase"]
@@ -24,12 +26,13 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETT
 
 
 class TextIds:
-    """Little-endian 32-bit ids of texts. Pieces met before are looked up; new ones are encoded together."""
+    """Little-endian 32-bit ids of texts. Words between blanks that were met before are looked up; the pieces of new ones
+    are encoded together. The table of words is emptied when it reaches its size in bytes."""
 
     def __init__(self, path):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = {}
+        self.known, self.size = {}, 0
         self.cached = self.splits_alike()
 
     def splits_alike(self):
@@ -41,32 +44,33 @@ class TextIds:
     def whole(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces):
-        """Encodes new pieces, many in one text; a piece is one word of the tokenizer there."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for start in range(0, len(pieces), STEP_WORDS):
-            step = pieces[start:start + STEP_WORDS]
-            encoded = self.tokenizer.encode(" ".join(step), add_special_tokens=False)
-            ids, word = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids)
-            ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word))
-            if len(ends) != len(step):
-                self.known.update((piece, self.whole(piece)) for piece in step)
-                continue
-            data, places = ids.tobytes(), [0, *(ends * 4).tolist()]
-            self.known.update((piece, data[a:b]) for piece, a, b in zip(step, places, places[1:]))
+    def pieces(self, pieces):
+        """The ids of each piece, all encoded in one text; a piece is one word of the tokenizer there."""
+        encoded = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids, word = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids)
+        ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word))
+        if len(ends) != len(pieces):
+            return {piece: self.whole(piece) for piece in pieces}
+        data, places = ids.tobytes(), [0, *(ends * ID_BYTES).tolist()]
+        return {piece: data[a:b] for piece, a, b in zip(pieces, places, places[1:])}
+
+    def learn(self, words):
+        """Takes new words into the table. No piece goes across a blank, so a word is its pieces, one behind the other."""
+        split = [PIECES.findall(word) for word in words]
+        ids = self.pieces(sorted({piece for pieces in split for piece in pieces})) if words else {}
+        for word, pieces in zip(words, split):
+            self.known[word] = data = b"".join([ids[piece] for piece in pieces])
+            self.size += len(word) + len(data) + ENTRY_BYTES
 
     def encode(self, texts):
         """The id bytes of each text, in order."""
-        for step in in_steps((text, len(text)) for text in texts):
-            split = [PIECES.findall(t.lower()) if self.cached and PLAIN.fullmatch(t) else None for t in step]
+        for step in in_steps(((text, len(text)) for text in texts), STEP_CHARACTERS):
+            split = [t.lower().split() if self.cached and PLAIN.fullmatch(t) else None for t in step]
             wanted = set()
-            for pieces in split:
-                wanted.update(pieces or ())
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            new = sorted(wanted.difference(self.known))
-            if new:
-                self.learn(new)
-            for text, pieces in zip(step, split):
-                yield self.whole(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
+            for words in split:
+                wanted.update(words or ())
+            if self.size > CACHE_BYTES:
+                self.known, self.size = {}, 0
+            self.learn(sorted(wanted.difference(self.known)))
+            for text, words in zip(step, split):
+                yield self.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from wardlog.llm.arrow import term_list, texts, with_columns
+from wardlog.llm.arrow import map_batches, term_list, texts, with_columns
 from wardlog.llm.tables import stored
 
 TRAIN_ROWS = 12_000
@@ -74,7 +74,7 @@ def feature_counts(train):
 
     return (
         train.select("text", "toxic")
-        .mapInArrow(count, "feature binary, n long, n_toxic long")
+        .transform(map_batches, count, "feature binary, n long, n_toxic long")
         .groupBy("feature")
         .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
         .where(F.col("n_toxic") >= LEAST_DOCUMENTS)
@@ -113,7 +113,7 @@ def training_matrix(train, chosen):
                 names=["doc_id", "toxic", "found"],
             )
 
-    rows = train.select("doc_id", "toxic", "text").mapInArrow(encode, "doc_id long, toxic int, found array<int>")
+    rows = train.select("doc_id", "toxic", "text").transform(map_batches, encode, "doc_id long, toxic int, found array<int>")
     return sorted((r["doc_id"], r["toxic"], tuple(r["found"])) for r in rows.collect())
 
 
@@ -204,7 +204,7 @@ def toxicity(docs, labels, train_rows=TRAIN_ROWS, features=FEATURES, reject_from
             yield with_columns(batch, ["doc_id"], SCHEMA, severity=severity, grade=grade,
                                toxic=severity >= reject_from)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(predict, RESULT)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(map_batches, predict, RESULT)
 
 
 def without_toxic(docs, labels, train_rows=TRAIN_ROWS, features=FEATURES, reject_from=REJECT_FROM):
@@ -215,4 +215,4 @@ def without_toxic(docs, labels, train_rows=TRAIN_ROWS, features=FEATURES, reject
         for batch in batches:
             yield batch.filter(pa.array(judge(texts(batch))[0] < reject_from))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(map_batches, keep, docs.schema)
