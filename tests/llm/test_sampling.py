@@ -118,15 +118,17 @@ def test_equal_texts_have_equal_fingerprints(spark, as_docs):
 
 
 def test_collisions_estimate_generalised_jaccard(spark, as_docs):
-    """Texts of very uneven weights: the mean error is near zero and the spread that of independent draws."""
+    """Texts of very uneven weights, each pair with words of its own, as a word's draws are the same in all texts: the
+    mean error is near zero and the spread that of independent draws."""
     rng = random.Random(4)
     rows = []
     for i in range(0, 600, 2):
-        words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(150)]
+        words = [f"w{i}x{int(rng.paretovariate(0.7))}" for _ in range(150)]
         kept = rng.randrange(150)
-        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:kept] + [f"v{int(rng.paretovariate(0.7))}" for _ in range(150 - kept)]))]
+        others = [f"v{i}x{int(rng.paretovariate(0.7))}" for _ in range(150 - kept)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:kept] + others))]
     got = {r["doc_id"]: r["near_next"] for r in fingerprints(as_docs(rows)).collect()}
     errors = [got[i] - jaccard(weights(rows[i][1]), weights(rows[i + 1][1])) for i in range(0, 600, 2)]
     mean = sum(errors) / len(errors)
     spread = math.sqrt(sum(e * e for e in errors) / len(errors))
-    assert abs(mean) < 0.015 and spread < 0.08
+    assert abs(mean) < 0.012 and spread < 0.075
