@@ -31,6 +31,7 @@ LEAF = 48
 ROUNDS = 3
 BROADCAST_IDS = 2_000_000
 SEEN = 200_000
+ROW = "_near_row"
 
 U64 = np.uint64
 ODD = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -165,7 +166,7 @@ def document_sets(docs, width, percent):
 
 
 def node_of(key):
-    """A 64-bit name of a set; if two sets had one name, both would be compared, so results do not depend on it."""
+    """A 64-bit name of a set; if two sets have one name, both are compared under it, so results do not depend on it."""
     return F.xxhash64(key)
 
 
@@ -448,7 +449,12 @@ def ngram_join(docs, width=WORDS, percent=PERCENT, region_rows=REGION_ROWS, regi
         .withColumn("node", node_of("key"))
     )
     shared = stored(shared_regions(named), "ngram-regions")
-    bits = named.where("bits is not null").groupBy(node_of("key").alias("node"), "n_shingles").agg(F.min("bits").alias("bits"))
+    bits = (
+        named.where("bits is not null")
+        .groupBy("key", "n_shingles")
+        .agg(F.min("bits").alias("bits"))
+        .select(node_of("key").alias("node"), "n_shingles", "bits")
+    )
     members = stored(shared.join(bits, "node").select("region", "node", "n_shingles", "bits"), "ngram-members")
     near = candidate_links(bounded_regions(members, percent, "ngram-part", region_rows, region_grams), percent)
     blocks = stored(components(near.distinct(), "ngram-near"), "ngram-blocks")
@@ -463,10 +469,11 @@ def ngram_join(docs, width=WORDS, percent=PERCENT, region_rows=REGION_ROWS, regi
         "ngram-exact",
     )
     ids = regions.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text").join(
-        F.broadcast(ids) if few else ids, "doc_id", "left_semi"
-    ).dropDuplicates(["doc_id", "text"])
+    texts = (
+        docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text")
+        .join(few(ids), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id", "text"])
+    )
     links = exact_links(regions.join(texts, "doc_id"), width, percent)
     groups = components(links, "ngram-links")
 
@@ -482,3 +489,26 @@ def ngram_join(docs, width=WORDS, percent=PERCENT, region_rows=REGION_ROWS, regi
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+
+
+def without_near_duplicates(docs, width=WORDS, percent=PERCENT):
+    """The rows of docs, all columns, but only one row of each group of linked texts.
+
+    It is the row with the smallest doc_id; of several with that id, or of a group without ids, the first as stored. Rows
+    are decided one by one, whatever their id: two unrelated texts under one doc_id both stay, of two equal ones under
+    two ids, one id or none, one stays. Rows without a word all stay. An empty table gives no rows.
+    """
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-rows")
+    groups = ngram_join(rows.select(F.col(ROW).alias("doc_id"), "text"), width, percent)
+    groups = stored(groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("_group")), "near-groups")
+    shared = groups.groupBy("_group").count().where("count > 1").select("_group")
+    members = groups.join(shared, "_group").join(rows.select(ROW, "doc_id"), ROW)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    kept = members.groupBy("_group").agg(F.min(place)[ROW].alias(ROW)).select(ROW)
+    dropped = stored(members.select(ROW).join(kept, ROW, "left_anti"), "near-dropped")
+    return rows.join(few(dropped), ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def few(ids):
+    """Broadcast up to BROADCAST_IDS rows, joined by a shuffle beyond."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
