@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from wardlog.llm.decontaminate import without_contaminated
-from wardlog.llm.ngram_join import ngram_join
+from wardlog.llm.ngram_join import without_near_duplicates
 from wardlog.llm.packing import pack
 from wardlog.llm.secrets import redact
 from wardlog.llm.tables import stored, table
@@ -12,7 +12,6 @@ from wardlog.llm.toxicity import without_toxic
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
-BROADCAST_IDS = 1_000_000
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -22,24 +21,8 @@ def reject_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Of each group of linked documents the one with the smallest doc_id stays, in one row.
-
-    Rows without doc_id belong to no group and stay.
-    """
-    groups = stored(ngram_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "near-groups")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.take(1):
-        return kept
-    repeated = small(repeated)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-
-
-def small(ids):
-    """Broadcast up to BROADCAST_IDS rows, joined by a shuffle beyond."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """One document of each group of linked texts stays, the one with the smallest doc_id."""
+    return without_near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def drop_contaminated(spark, docs, sf_dir):
@@ -65,7 +48,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# the models and the tokenizer are beyond SQL; the tests hold the stages against brute force
+# the models and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds each stage and run() against plain Python
 ORACLE_SQL = None
 
 
