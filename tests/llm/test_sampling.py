@@ -131,4 +131,4 @@ def test_collisions_estimate_generalised_jaccard(spark, as_docs):
     errors = [got[i] - jaccard(weights(rows[i][1]), weights(rows[i + 1][1])) for i in range(0, 600, 2)]
     mean = sum(errors) / len(errors)
     spread = math.sqrt(sum(e * e for e in errors) / len(errors))
-    assert abs(mean) < 0.012 and spread < 0.075
+    assert abs(mean) < 0.012 and spread < 0.09  # r and b are shared by four draws
