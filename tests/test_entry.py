@@ -48,6 +48,6 @@ def test_plans_have_no_cross_join_and_no_single_task(spark):
 
 
 def test_alert_queries_meet_every_detector(spark):
-    alerts = fx.every_alert(spark, FOLDER.replace("0.001", "0.01"))
+    alerts = fx.alert_fixture(spark, FOLDER.replace("0.001", "0.01"))
     assert {r.detector for r in alerts.select("detector").distinct().collect()} == set(DETECTOR_FUNCTIONS)
     assert alerts.select("created_at").distinct().count() > 1

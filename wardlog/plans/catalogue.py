@@ -45,14 +45,13 @@ def query(function):
 
 
 def alert_query(function):
-    """Register over the alerts of two detectors, and as every_<name> over those of all eight."""
-    for prefix, fixture in (("", fx.alert_fixture), ("every_", fx.every_alert)):
+    """Register over the alerts of all detectors."""
 
-        def run(spark, sf_dir, fixture=fixture):
-            return function(spark, sf_dir, fixture(spark, sf_dir))
+    def run(spark, sf_dir):
+        return function(spark, sf_dir, fx.alert_fixture(spark, sf_dir))
 
-        run.__name__ = prefix + function.__name__
-        query(run)
+    run.__name__ = function.__name__
+    query(run)
     return function
 
 
@@ -282,9 +281,12 @@ def stored_whole_lines(spark, sf_dir):
 @query
 def stored_alerts(spark, sf_dir):
     """Alerts written per job and read back."""
-    path = scratch_path(spark, "alerts")
+    path = scratch_path(spark, "stored-alerts")
     write_alerts(fx.alert_fixture(spark, sf_dir), path)
-    return read_alerts(spark, path).select("job_id", "detector", "severity", "source_ip", "title")
+    return read_alerts(spark, path).select(
+        "job_id", "detector", "severity", "source_ip", "target_account", "title", "description",
+        seconds_text("created_at").alias("created_at"), F.array_join("recommended_actions", "|").alias("actions"),
+    )
 
 
 @query
@@ -497,11 +499,9 @@ def list_alerts(spark, sf_dir, alerts):
     ).select("job_id", "severity", "title", "source_ip", seconds_text("created_at").alias("created_at"))
 
 
-@query
-def alert_total(spark, sf_dir):
-    return search.count_alerts(
-        fx.alert_fixture(spark, sf_dir), fx.job_fixture(spark, sf_dir), severity="high", owner="owner0"
-    )
+@alert_query
+def alert_total(spark, sf_dir, alerts):
+    return search.count_alerts(alerts, fx.job_fixture(spark, sf_dir), severity="high", owner="owner0")
 
 
 @query
@@ -555,9 +555,9 @@ def event_type_distribution(spark, sf_dir):
     return evidence.event_type_distribution(fx.log_fixture(spark, sf_dir))
 
 
-@query
-def alert_digest(spark, sf_dir):
-    return evidence.alert_digest(fx.alert_fixture(spark, sf_dir))
+@alert_query
+def alert_digest(spark, sf_dir, alerts):
+    return evidence.alert_digest(alerts)
 
 
 @query
@@ -565,11 +565,9 @@ def notable_sample(spark, sf_dir):
     return evidence.notable_sample(fx.log_fixture(spark, sf_dir))
 
 
-@query
-def evidence_pack(spark, sf_dir):
-    return evidence.evidence_pack(
-        fx.log_fixture(spark, sf_dir), fx.alert_fixture(spark, sf_dir), fx.job_fixture(spark, sf_dir)
-    )
+@alert_query
+def evidence_pack(spark, sf_dir, alerts):
+    return evidence.evidence_pack(fx.log_fixture(spark, sf_dir), alerts, fx.job_fixture(spark, sf_dir))
 
 
 @alert_query
@@ -577,9 +575,9 @@ def job_risk(spark, sf_dir, alerts):
     return evidence.job_risk(alerts, fx.job_fixture(spark, sf_dir))
 
 
-@query
-def job_recommendations(spark, sf_dir):
-    return evidence.job_recommendations(fx.alert_fixture(spark, sf_dir))
+@alert_query
+def job_recommendations(spark, sf_dir, alerts):
+    return evidence.job_recommendations(alerts)
 
 
 # --- reputation ---------------------------------------------------------------------------------

@@ -11,7 +11,6 @@ from wardlog.schema import ENTRY_SCHEMA
 from wardlog.session import scratch_path
 from wardlog.sources.tables import read_alerts, write_alerts
 
-CREATED_AT = "2024-01-15 12:00:00"
 FIRST_ALERT = "2024-01-01 00:00:00"
 LOOKUP_NOW = "2024-01-31 00:00:00"
 # parameters under which the detectors find something, but not everything, here
@@ -122,16 +121,8 @@ def log_fixture(spark, sf_dir):
 
 
 def alert_fixture(spark, sf_dir):
-    """Alerts of the volume and error detectors on the fixture, with a fixed time."""
-    return all_alerts(
-        log_fixture(spark, sf_dir), THRESHOLDS, ["exfiltration", "error_flood"],
-        F.lit(CREATED_AT).cast("timestamp"),
-    )
-
-
-def every_alert(spark, sf_dir):
     """Alerts of all eight detectors on the fixture, raised ten seconds apart by line; stored once, as the plan is large."""
-    path = scratch_path(spark, "every-alert")
+    path = scratch_path(spark, "alerts")
     raised = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_ALERT).cast("timestamp")) + 10 * F.col("order_line"))
     write_alerts(all_alerts(log_fixture(spark, sf_dir), THRESHOLDS).withColumn("created_at", raised), path)
     return read_alerts(spark, path)
@@ -285,24 +276,35 @@ def waf_rows(spark, sf_dir):
 
 
 FILE_LINES = 200
-MIXED_FORMS = ["auth", "access", "error", "json", "kernel", "pf", "pairs"]
+MIXED_FORMS = ["auth", "access", "error", "json", "kernel", "pf", "pairs", "waf"]
+WAF_HEADER = "timestamp,action,host,uri,httpMethod,clientIp,country,terminatingRuleId"
+
+
+def waf_line(k):
+    """A row of a CSV export as text; none of its cells needs quotes."""
+    c = fixture_columns()
+    action = case([(k % 4 == 0, "block"), (k % 4 == 1, "ALLOW"), (k % 4 == 2, "Count")], "captcha")
+    return _text(
+        _stamp("yyyy-MM-dd'T'HH:mm:ss"), ",", action, ",h", k % 3, ",", F.coalesce(c["endpoint"], F.lit("")), ",",
+        c["method"], ",", c["source_ip"], ",DE,rule-", k % 20,
+    )
 
 
 def mixed_files(spark, sf_dir):
-    """Files of 200 lines per format; in every fourth file two lines of five are junk."""
+    """Files of 200 lines per format; in every fourth file two lines of five are junk. CSV exports have a header on top."""
     rows = source_rows(spark, sf_dir)
-    texts = line_texts()
-    number = F.floor(F.col("event_id") / FILE_LINES)
+    texts = {**line_texts(), "waf": waf_line(F.col("k"))}
+    number, place = F.floor(F.col("event_id") / FILE_LINES), F.col("event_id") % FILE_LINES + 1
     junk = (number % 4 == 3) & (F.col("k") % 5 < 2)
-    per_form = F.array(
-        *[F.struct(F.lit(f).alias("form"), texts[f].alias("raw_line")) for f in MIXED_FORMS]
-    )
+    line = lambda form, at, text: F.struct(F.lit(form).alias("form"), at.alias("line_number"), text.alias("raw_line"))
+    shown = lambda form: F.when(junk, _text("junk line ", F.col("k"))).otherwise(texts[form])
+    per_form = [line(f, place + int(f == "waf"), shown(f)) for f in MIXED_FORMS]
+    header = F.when(place == 1, line("waf", F.lit(1).cast("long"), F.lit(WAF_HEADER)))
     return rows.select(
-        number.alias("file"), (F.col("event_id") % FILE_LINES + 1).alias("line_number"), "k",
-        junk.alias("junk"), F.explode(per_form).alias("p"),
+        number.alias("file"), F.explode(F.array_compact(F.array(*per_form, header))).alias("p")
     ).select(
         _text(F.col("p.form"), "-", F.col("file")).alias("job_id"),
         _text(F.col("p.form"), "-", F.col("file"), ".log").alias("source_file"),
-        "line_number",
-        F.when(F.col("junk"), _text("junk line ", F.col("k"))).otherwise(F.col("p.raw_line")).alias("raw_line"),
+        "p.line_number",
+        "p.raw_line",
     )

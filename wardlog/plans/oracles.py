@@ -190,11 +190,15 @@ chosen AS (
   SELECT *, CASE WHEN best = 0 THEN 'JSON' WHEN auth = best THEN 'Auth' WHEN access = best THEN 'NginxAccess'
     WHEN error = best THEN 'NginxError' WHEN json = best THEN 'JSON' ELSE 'Firewall' END AS format
   FROM best)"""
-ORACLES["hinted_file_formats"] = over("""
+WAF_FILES = "SELECT DISTINCT 'waf-' || event_id // 200 || '.log' AS source_file"
+ORACLES["hinted_file_formats"] = over(f"""
+{WAF_FILES}, CASE event_id // 200 % 3 WHEN 0 THEN 'NginxAccess' ELSE '{fixed.WAF}' END AS format,
+  CASE event_id // 200 % 3 WHEN 0 THEN 0.0 ELSE 0.98 END::DOUBLE AS score FROM fx UNION ALL
 SELECT form || '-' || file || '.log' AS source_file, CASE file % 3 WHEN 0 THEN 'NginxAccess' ELSE format END AS format,
   round_even(CASE file % 3 WHEN 0 THEN access ELSE best END, 6) AS score
 FROM chosen""", PATH, LINES, SCORES, BEST)
-ORACLES["detect_file_formats"] = over("""
+ORACLES["detect_file_formats"] = over(f"""
+{WAF_FILES}, '{fixed.WAF}' AS format, 0.98::DOUBLE AS score FROM fx UNION ALL
 SELECT form || '-' || file || '.log' AS source_file,
   format, round_even(best, 6) AS score
 FROM chosen""", PATH, LINES, SCORES, BEST)
@@ -209,7 +213,9 @@ SELECT form || '-' || file AS job_id,
     ELSE CASE WHEN junk THEN 'firewall_unparsed' ELSE {VERDICT} END END AS event_type,
   count(*) AS entries,
   count(CASE WHEN NOT junk AND (form <> 'auth' OR kind NOT IN ('view', 'click')) THEN 1 END) AS with_ip
-FROM mixed WHERE form <> 'error' OR NOT junk GROUP BY 1, 2""", PATH, LINES)
+FROM mixed WHERE form <> 'error' OR NOT junk GROUP BY 1, 2
+UNION ALL SELECT 'waf-' || file, CASE WHEN junk THEN 'waf_event' ELSE CASE k % 4 WHEN 0 THEN 'waf_block' WHEN 1 THEN 'waf_allow'
+  WHEN 2 THEN 'waf_count' ELSE 'waf_event' END END, count(*), count(*) FILTER (NOT junk) FROM mixed WHERE form = 'auth' GROUP BY 1, 2""", PATH, LINES)
 ORACLES["parse_statistics"] = over("""
 SELECT job_id, count(*) AS total_lines, count(CASE WHEN line_number % 5 <> 0 THEN 1 END) AS parsed_lines
 FROM fx GROUP BY job_id""")
@@ -428,20 +434,94 @@ SELECT job_id, detector, alert_type, severity, CAST({RANK} AS INTEGER) AS severi
   UNION ALL SELECT job_id, 'error_flood', 'api_abuse', severity, source_ip, title FROM flood_alerts)""",
   BURSTS, OFF_HOURS, MULTI, STREAKS, HITS, RATES, EXFIL, FLOOD)
 
-# --- alerts of the volume and error detectors ---------------------------------------------
+# --- alerts of all detectors -----------------------------------------------------------------
+def quoted_list(column):
+    """A list of names, joined with a comma and a blank, as JSON."""
+    return f"""'["' || replace({column}, ', ', '", "') || '"]'"""
+
+
 ALERTS = f"""
 al AS (
-  SELECT *, CAST({RANK} AS INTEGER) AS severity_rank, TIMESTAMP '2024-01-15 12:00:00' AS created_at FROM (
-    SELECT job_id, 'exfiltration' AS detector, 6 AS detector_order, 'data_exfiltration' AS alert_type, severity, source_ip,
-      title, description, (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
-        AND f.response_size <> 0) AS order_line,
-      '{{"total_bytes":' || bytes || ',"total_mb":' || round_even(mb, 1) || ',"request_count":' || requests
-        || ',"top_endpoints":' || top_json || '}}' AS evidence FROM exfil_alerts a
+  SELECT *, CAST({RANK} AS INTEGER) AS severity_rank,
+    TIMESTAMP '2024-01-01 00:00:00' + to_seconds(10 * order_line) AS created_at FROM (
+    SELECT job_id, 'brute_force' AS detector, 0 AS detector_order, 'brute_force' AS alert_type, severity, source_ip,
+      'Brute Force Attack from ' || source_ip AS title,
+      'Detected ' || failed_attempts || ' failed login attempts from IP ' || source_ip || ' within '
+        || CAST(round_even((epoch_us(last_ts) - epoch_us(first_ts)) / 1e6, 0) AS BIGINT) || ' seconds. Target accounts: '
+        || coalesce(target_account, 'unknown') || '.' || CASE WHEN success
+        THEN ' A SUCCESSFUL LOGIN was detected after the failures — possible credential compromise!' ELSE '' END AS description,
+      (SELECT min(line_number) FROM fails f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip) AS order_line,
+      target_account,
+      '{{"failed_attempts": ' || failed_attempts || ', "duration_seconds": ' || (epoch_us(last_ts) - epoch_us(first_ts)) / 1e6
+        || ', "target_accounts": ' || coalesce({quoted_list('target_account')}, '[]') || ', "first_attempt": "' || {ts('first_ts')}
+        || '", "last_attempt": "' || {ts('last_ts')} || '", "success_after_failures": ' || success
+        || ', "sample_lines": [' || replace(sample_lines, ',', ', ') || ']}}' AS evidence,
+      ['Block IP address ' || source_ip || ' immediately',
+        CASE WHEN target_account IS NULL THEN 'Review targeted accounts' ELSE 'Reset passwords for targeted accounts' END,
+        'Enable account lockout policies', 'Enable multi-factor authentication',
+        CASE WHEN success THEN 'Review successful login sessions from this IP' ELSE 'Monitor for successful login attempts' END] AS actions
+    FROM brute_alerts a
+    UNION ALL SELECT job_id, 'off_hours_login', 1, 'suspicious_login', 'high', source_ip,
+      'Privileged Account Login Outside Working Hours',
+      'User ''' || username || ''' logged in at ' || strftime(event_time, '%H:%M:%S')
+        || ' (outside 6:00-22:00 working hours) from IP ' || source_ip || '. This may indicate unauthorized access.',
+      line_number, username,
+      '{{"login_time": "' || {ts('event_time')} || '", "hour": ' || hour(event_time) || ', "account": "' || username
+        || '", "source_ip": "' || source_ip || '", "line_number": ' || line_number || '}}',
+      ['Verify this login was authorized by the ' || username || ' account owner',
+        'Check for any lateral movement or privilege escalation', 'Review session activity following this login',
+        'Consider restricting privileged account access to working hours'] FROM off_hours
+    UNION ALL SELECT job_id, 'multi_privileged', 2, 'privilege_escalation', 'critical', source_ip,
+      'Multiple Privileged Account Access from ' || source_ip,
+      'IP ' || source_ip || ' accessed ' || accounts || ' privileged accounts: ' || names
+        || '. This may indicate credential stuffing or lateral movement.',
+      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
+        AND f.event_type IN {among(fixed.PRIVILEGED_USE_TYPES)} AND lower(f.username) IN {PRIVILEGED}), names,
+      '{{"accounts": ' || {quoted_list('names')} || ', "login_count": ' || login_count || ', "source_ip": "' || source_ip || '"}}',
+      ['Block IP ' || source_ip || ' and investigate source', 'Reset passwords for all affected privileged accounts',
+        'Audit all actions taken by these accounts', 'Enable MFA for all privileged accounts'] FROM multi a
+    UNION ALL SELECT job_id, 'login_after_failures', 3, 'suspicious_login', 'high', source_ip,
+      'Successful Login After ' || streak || ' Failures for ''' || username || '''',
+      'Account ''' || username || ''' had ' || streak || ' consecutive failed login attempts before a successful login at '
+        || {ts('event_time')} || '. This may indicate a successful brute-force or credential guessing attack.',
+      line_number, username,
+      '{{"failure_count": ' || streak || ', "success_time": "' || {ts('event_time')} || '", "success_ip": "' || source_ip
+        || '", "line_number": ' || line_number || '}}',
+      ['Immediately investigate the session for user ''' || username || '''', 'Force password reset for this account',
+        'Check for data access or lateral movement', 'Enable MFA if not already enabled'] FROM streaks
+    UNION ALL SELECT job_id, 'web_attacks', 4, 'web_attack', severity, source_ip, title,
+      'Detected ' || n || ' ' || lower(category) || ' attempt(s) from IP ' || source_ip || '. Sample targets: '
+        || array_to_string(string_split(sample_endpoints, '|')[1:3], ', '),
+      (SELECT min(line_number) FROM hits h WHERE h.job_id = a.job_id AND h.source_ip = a.source_ip
+        AND h.category = a.category), NULL,
+      '{{"attack_type": "' || category || '", "attempt_count": ' || n || ', "source_ip": "' || source_ip
+        || '", "sample_endpoints": ["' || replace(sample_endpoints, '|', '", "') || '"], "sample_lines": ['
+        || replace(sample_lines, ',', ', ') || ']}}',
+      ['Block IP ' || source_ip || ' at WAF/firewall level', 'Review all requests from ' || source_ip || ' for successful exploitation',
+        'Check application logs for signs of data breach', 'Update WAF rules to block ' || lower(category) || ' patterns',
+        'Ensure input validation and parameterized queries are in place'] FROM web_alerts a
+    UNION ALL SELECT job_id, 'rate_abuse', 5, 'api_abuse', severity, source_ip, 'API Rate Abuse from ' || source_ip,
+      'IP ' || source_ip || ' made ' || rate || ' requests per minute (threshold: 7/min). Peak window: ' || {ts('start_ts')}
+        || ' to ' || {ts('end_ts')} || '.',
+      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip), NULL,
+      '{{"peak_rate_per_minute": ' || rate || ', "total_requests": ' || total || ', "window_start": "' || {ts('start_ts')}
+        || '", "window_end": "' || {ts('end_ts')} || '"}}',
+      ['Apply rate limiting to IP ' || source_ip, 'Implement API throttling at the gateway level',
+        'Consider CAPTCHA or proof-of-work challenges', 'Check if this is a DDoS pattern'] FROM rate_alerts a
+    UNION ALL SELECT job_id, 'exfiltration', 6, 'data_exfiltration', severity, source_ip, title, description,
+      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
+        AND f.response_size <> 0), NULL,
+      '{{"total_bytes": ' || bytes || ', "total_mb": ' || round_even(mb, 1) || ', "request_count": ' || requests
+        || ', "top_endpoints": ' || replace(replace(replace(top_json, ',"', ', "'), '":', '": '), '}},{{', '}}, {{') || '}}',
+      ['Investigate what data IP ' || source_ip || ' accessed', 'Check for sensitive data in transferred content',
+        'Review access controls on data endpoints', 'Consider data loss prevention (DLP) controls'] FROM exfil_alerts a
     UNION ALL SELECT job_id, 'error_flood', 7, 'api_abuse', severity, source_ip, title, description,
       (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
-        AND f.status_code >= 400),
-      '{{"4xx_count":' || client || ',"5xx_count":' || server || ',"status_distribution":' || by_status
-        || ',"total_errors":' || errors || '}}' FROM flood_alerts a)),
+        AND f.status_code >= 400), NULL,
+      '{{"4xx_count": ' || client || ', "5xx_count": ' || server || ', "status_distribution": '
+        || replace(replace(by_status, ',"', ', "'), '":', '": ') || ', "total_errors": ' || errors || '}}',
+      ['Block or rate-limit IP ' || source_ip, 'Review error patterns for reconnaissance activity',
+        'Ensure sensitive paths return generic responses'] FROM flood_alerts a)),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY job_id
     ORDER BY severity_rank DESC, detector_order, order_line, title, source_ip, description) AS number FROM al)"""
@@ -451,8 +531,10 @@ jb AS (
     'completed' AS status, count(*) AS total_lines, count(*) AS parsed_lines,
     'owner' || (CAST(regexp_extract(job_id, '([0-9]+)', 1) AS INTEGER) % 2) AS created_by_user_id, min(event_time) AS created_at
   FROM fx GROUP BY job_id)"""
-WITH_ALERTS = (EXFIL, FLOOD, ALERTS)
-ORACLES["stored_alerts"] = over("SELECT job_id, detector, severity, source_ip, title FROM al", *WITH_ALERTS)
+WITH_ALERTS = (BURSTS, OFF_HOURS, MULTI, STREAKS, HITS, RATES, EXFIL, FLOOD, ALERTS)
+ORACLES["stored_alerts"] = over(f"""
+SELECT job_id, detector, severity, source_ip, target_account, title, description, {sec('created_at')} AS created_at,
+  array_to_string(actions, '|') AS actions FROM al""", *WITH_ALERTS)
 ORACLES["alerts_by_severity"] = over(
     "SELECT job_id, severity, count(*) AS count FROM al GROUP BY 1, 2", *WITH_ALERTS)
 ORACLES["alerts_by_type"] = over(
@@ -578,7 +660,7 @@ tl0 AS (
   FROM fxm WHERE event_type IN {among(fixed.TIMELINE_TYPES)}
   QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY event_time, line_number) <= 200
   UNION ALL
-  SELECT job_id, created_at, 'alert_' || alert_type, source_ip, NULL, title, severity, 1, -severity_rank, detector_order, order_line
+  SELECT job_id, created_at, 'alert_' || alert_type, source_ip, target_account, title, severity, 1, -severity_rank, detector_order, order_line
   FROM al),
 tl AS (
   SELECT job_id, timestamp, event_type, source_ip, username, description, severity,
@@ -606,7 +688,7 @@ notable AS (
 digest AS (
   SELECT job_id, number, chr(10) || 'Alert #' || number || ': [' || upper(severity) || '] ' || title || chr(10) || '  Type: '
     || alert_type || chr(10) || '  Description: ' || description || chr(10) || '  Source IP: ' || source_ip || chr(10)
-    || '  Evidence: ' || left(replace(replace(replace(evidence, ',"', ', "'), '":', '": '), '}},{{', '}}, {{'), 500) AS text
+    || coalesce('  Target Account: ' || target_account || chr(10), '') || '  Evidence: ' || left(evidence, 500) AS text
   FROM numbered)"""
 ORACLES["event_type_distribution"] = over("SELECT job_id, place, event_type, count FROM types", *WITH_ALERTS, EVIDENCE)
 ORACLES["alert_digest"] = over("SELECT job_id, number, text FROM digest", *WITH_ALERTS, EVIDENCE)
@@ -639,48 +721,7 @@ SELECT jb.job_id, coalesce((SELECT arg_max(severity, severity_rank) FROM al WHER
 FROM jb""", *WITH_ALERTS, JOBS)
 ORACLES["job_recommendations"] = over("""
 SELECT job_id, number AS alert_number, CAST(u.i AS INTEGER) AS action_number, actions[u.i] AS action
-FROM (SELECT *, CASE detector WHEN 'exfiltration' THEN ['Investigate what data IP ' || source_ip || ' accessed',
-    'Check for sensitive data in transferred content', 'Review access controls on data endpoints',
-    'Consider data loss prevention (DLP) controls']
-  ELSE ['Block or rate-limit IP ' || source_ip, 'Review error patterns for reconnaissance activity',
-    'Ensure sensitive paths return generic responses'] END AS actions FROM numbered) n,
-  LATERAL (SELECT unnest(range(1, len(n.actions) + 1)) AS i) u""", *WITH_ALERTS)
-
-# --- the same queries over the alerts of all detectors -----------------------------------------------
-EVERY = f"""
-al AS (
-  SELECT *, CAST({RANK} AS INTEGER) AS severity_rank,
-    TIMESTAMP '2024-01-01 00:00:00' + to_seconds(10 * order_line) AS created_at FROM (
-    SELECT job_id, 'brute_force' AS detector, 0 AS detector_order, 'brute_force' AS alert_type, severity, source_ip,
-      'Brute Force Attack from ' || source_ip AS title,
-      (SELECT min(line_number) FROM fails f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip) AS order_line,
-      target_account FROM brute_alerts a
-    UNION ALL SELECT job_id, 'off_hours_login', 1, 'suspicious_login', 'high', source_ip,
-      'Privileged Account Login Outside Working Hours', line_number, username FROM off_hours
-    UNION ALL SELECT job_id, 'multi_privileged', 2, 'privilege_escalation', 'critical', source_ip,
-      'Multiple Privileged Account Access from ' || source_ip,
-      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
-        AND f.event_type IN {among(fixed.PRIVILEGED_USE_TYPES)} AND lower(f.username) IN {PRIVILEGED}), names FROM multi a
-    UNION ALL SELECT job_id, 'login_after_failures', 3, 'suspicious_login', 'high', source_ip,
-      'Successful Login After ' || streak || ' Failures for ''' || username || '''', line_number, username FROM streaks
-    UNION ALL SELECT job_id, 'web_attacks', 4, 'web_attack', severity, source_ip, title,
-      (SELECT min(line_number) FROM hits h WHERE h.job_id = a.job_id AND h.source_ip = a.source_ip
-        AND h.category = a.category), NULL FROM web_alerts a
-    UNION ALL SELECT job_id, 'rate_abuse', 5, 'api_abuse', severity, source_ip, 'API Rate Abuse from ' || source_ip,
-      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip), NULL FROM rate_alerts a
-    UNION ALL SELECT job_id, 'exfiltration', 6, 'data_exfiltration', severity, source_ip, title,
-      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
-        AND f.response_size <> 0), NULL FROM exfil_alerts a
-    UNION ALL SELECT job_id, 'error_flood', 7, 'api_abuse', severity, source_ip, title,
-      (SELECT min(line_number) FROM fx f WHERE f.job_id = a.job_id AND f.source_ip = a.source_ip
-        AND f.status_code >= 400), NULL FROM flood_alerts a))"""
-_two = ",\n".join(c.strip() for c in WITH_ALERTS)
-_every = ",\n".join(c.strip() for c in (BURSTS, OFF_HOURS, MULTI, STREAKS, HITS, RATES, EXFIL, FLOOD, EVERY))
-for _name in (
-    "alerts_by_severity", "alerts_by_type", "severity_distribution", "dashboard", "list_alerts", "filter_alerts",
-    "list_jobs", "timeline_events", "timeline_event_types", "timeline_of_type", "job_risk",
-):
-    ORACLES[f"every_{_name}"] = ORACLES[_name].replace(_two, _every).replace("source_ip, NULL, title", "source_ip, target_account, title")
+FROM numbered n, LATERAL (SELECT unnest(range(1, len(n.actions) + 1)) AS i) u""", *WITH_ALERTS)
 
 # --- reputation ----------------------------------------------------------------------------------------
 PUBLIC = """
