@@ -9,17 +9,17 @@ from pyspark.sql import types as T
 from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
-from wardlog.operators.normalize import formats_present, normalize
+from wardlog.operators.normalize import BROADCAST_FILES, formats_present, normalize
 from wardlog.operators.normalize_waf import normalize_cells
 from wardlog.schema import ALERT_SCHEMA, ENTRY_SCHEMA, JOB_SCHEMA
 from wardlog.session import require_utc
 from wardlog.sources.lines import (
-    clean_lines, cleaned, count_splits, job_of, list_log_files, number_rows, scan_text, splits_are_small,
+    clean_lines, cleaned, count_splits, job_of, list_log_files, number_rows, scan_text,
 )
 from wardlog.sources.tables import (
     read_alerts, read_entries, read_jobs, write_alerts, write_entries, write_jobs,
 )
-from wardlog.sources.waf_csv import irregular_exports, odd_quotes, read_cells
+from wardlog.sources.waf_csv import mark_irregular, odd_quotes, read_cells
 
 Analysis = namedtuple("Analysis", "entries alerts jobs")
 
@@ -66,23 +66,24 @@ def line_counts():
     return F.count_if(cleaned(value) != "").alias("filled"), F.count_if(odd_quotes(value)).alias("odd")
 
 
-def normalize_files(spark, paths, lines, splits, formats, job_id=None, assume_year=2026, few=False, present=None):
+def normalize_files(numbered, splits, formats, job_id=None, assume_year=2026, few=False, present=None):
     """Entries of all files, and the split table with the number of records as the lines of CSV exports.
 
-    CSV exports whose lines are not their records, because a cell holds a line break or
-    blank lines stand between them, are read again by the CSV reader; all else is one scan.
+    ``numbered`` has the raw values with block and line_number, ``formats`` comes from mark_irregular. CSV exports whose
+    lines are not their records, because a cell holds a line break or blank lines stand between them, are read by
+    records; all else is one scan.
     """
-    spanning, gapped = irregular_exports(splits, formats)
-    irregular = F.col("source_file").isin(spanning + gapped)
-    if not spanning + gapped:
-        return normalize(lines, formats, assume_year, few, present), splits
-    most = formats.filter(irregular).agg(F.max(F.array_max("waf_columns"))).first()[0]
-    cells = read_cells(spark, paths, most, spanning, gapped, job_id)
-    entries = normalize(lines.filter(~irregular), formats, assume_year, few, present)
+    regular, irregular = formats.filter("not irregular"), formats.filter("irregular")
+    entries = normalize(clean_lines(numbered, job_id), regular, assume_year, few, present)
+    most = irregular.agg(F.max(F.array_max("waf_columns"))).first()[0]
+    if most is None:
+        return entries, splits
+    cells = read_cells(numbered, formats, most, job_id)
     records = cells.groupBy("source_file").agg(F.count(F.lit(1)).alias("filled"))
+    others = splits.join(irregular.select("source_file").distinct(), "source_file", "left_anti")
     return (
-        entries.unionByName(normalize_cells(cells, formats)),
-        splits.filter(~irregular).select("source_file", "filled").unionByName(records),
+        entries.unionByName(normalize_cells(cells, irregular)),
+        others.select("source_file", "filled").unionByName(records),
     )
 
 
@@ -98,21 +99,21 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     formats, and to normalise. The tables of the first two are written, as the
     third needs both. The detectors read the stored entries, not the raw lines, so
     every line is parsed once and each detector reads only its columns. CSV exports
-    whose lines are not their records are read once more, by the CSV reader.
+    whose lines are not their records are read once more, by records.
     """
     require_utc(spark)
     rows = scan_text(spark, paths)
     run = f"run_id=r{uuid.uuid4().hex}"
     count_splits(rows, *line_counts()).write.parquet(f"{out_dir}/splits/{run}")
     splits = spark.read.parquet(f"{out_dir}/splits/{run}")
-    lines = clean_lines(number_rows(rows, splits, splits_are_small(spark, paths)), job_id)
-    detect_format(lines, hint).write.parquet(f"{out_dir}/formats/{run}")
+    numbered = number_rows(rows, splits, stored=True, keep_block=True)
+    found = detect_format(clean_lines(numbered, job_id), hint)
+    mark_irregular(found, splits).write.parquet(f"{out_dir}/formats/{run}")
     formats = spark.read.parquet(f"{out_dir}/formats/{run}")
     present = formats_present(formats) or [fixed.JSON]
-    # a format row (path, job, format, eight places) is under four rows of the split table
-    few = splits_are_small(spark, paths, 4)
+    few = formats.count() <= BROADCAST_FILES
     path = lambda table: f"{out_dir}/{table}/{run}"
-    normal, counted = normalize_files(spark, paths, lines, splits, formats, job_id, assume_year, few, present)
+    normal, counted = normalize_files(numbered, splits, formats, job_id, assume_year, few, present)
     write_entries(normal, path("entries"), raw_chars=None)
     entries = read_entries(spark, path("entries"))
     found = all_alerts(entries, thresholds).withColumn("created_at", F.current_timestamp())

@@ -153,9 +153,12 @@ def normalize_waf_rows(spark, sf_dir):
 
 @query
 def read_waf_files(spark, sf_dir):
-    """The same rows through CSV files; numbering is per file, so the row is found by its host cell."""
+    """The same rows through CSV files, every tenth with line breaks in a cell; numbering is per file, so the row is
+    found by its host cell."""
     path = scratch_path(spark, "waf-csv")
+    broken = F.concat(F.lit("/a\n\nb,"), F.col("line_number").cast("string"))
     rows = fx.waf_rows(spark, sf_dir)
+    rows = rows.withColumn("URI", F.when(F.col("line_number") % 10 == 0, broken).otherwise(F.col("URI")))
     rows.withColumn("host", F.concat("host", F.lit('"'), "line_number")).drop("job_id", "line_number").write.option(
         "header", True
     ).option("quote", '"').option("escape", '"').csv(path)
@@ -311,7 +314,7 @@ def analyzed_files(spark, sf_dir):
     broken = F.when(F.contains("endpoint", F.lit("\n")), "broken").otherwise("whole")
     return (
         counted(entries, "entries", F.concat_ws(" ", "event_type", broken))
-        .unionByName(counted(alerts.filter(F.col("detector").isin("exfiltration", "error_flood")), "alerts", F.col("title")))
+        .unionByName(counted(alerts, "alerts", F.concat_ws(" ", "severity", "title")))
         .unionByName(jobs.select(F.lit("lines").alias("kind"), F.col("log_type").alias("name"), F.col("total_lines").alias("n")))
         .unionByName(jobs.select(F.lit("parsed").alias("kind"), F.col("job_id").alias("name"), F.col("parsed_lines").alias("n")))
     )
@@ -645,7 +648,7 @@ def ingested_alerts(spark, sf_dir):
         spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=max(1, files // 2),
         alerts_dir=f"{base}/alerts", thresholds={"exfiltration": {"threshold_mb": 10}, "error_flood": {"threshold": 2}},
     ).awaitTermination()
-    alerts = spark.read.parquet(f"{base}/alerts").filter(F.col("detector").isin("exfiltration", "error_flood"))
+    alerts = spark.read.parquet(f"{base}/alerts")
     return alerts.groupBy("detector", "source_ip").agg(F.count_distinct("job_id").alias("jobs"))
 
 

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries, over the test tables themselves."""
 
+import re
+
 from wardlog import fixed_values as fixed
 
 
@@ -134,9 +136,11 @@ SELECT {ENTRY}, waf_type AS event_type, source_ip, endpoint, method, waf_message
   'DE' AS country, action, waf_rule AS terminating_rule
 FROM wm""", WAF)
 ORACLES["read_waf_files"] = over(f"""
-SELECT line_number AS row, {sec('event_time')} AS event_time, waf_type AS event_type, source_ip, endpoint,
-  waf_message AS message
-FROM wm""", WAF)
+SELECT line_number AS row, {sec('event_time')} AS event_time, waf_type AS event_type, source_ip, uri AS endpoint,
+  method || ' ' || coalesce(uri, '') || ' action=' || action
+    || CASE WHEN waf_rule <> '' THEN ' rule=' || waf_rule ELSE '' END AS message
+FROM (SELECT *, CASE WHEN line_number % 10 = 0 THEN '/a' || chr(10) || chr(10) || 'b,' || line_number ELSE endpoint END AS uri
+  FROM wf)""", WAF)
 
 _class2 = CLASSIFY.format(s="status_code", p="path", m="method")
 ORACLES["classify_requests"] = over(f"""
@@ -404,19 +408,6 @@ ORACLES["error_flood"] = over("""
 SELECT job_id, source_ip, severity, description, errors AS total_errors, by_status AS status_distribution
 FROM flood_alerts""", FLOOD)
 
-ORACLES["analyzed_files"] = over(f"""
-SELECT 'entries' AS kind, {_class} || ' whole' AS name, count(*) AS n FROM pa GROUP BY 2
-UNION ALL
-SELECT 'entries', waf_type || CASE WHEN line_number % 10 = 0 THEN ' broken' ELSE ' whole' END, count(*) FROM wf GROUP BY 2
-UNION ALL
-SELECT 'alerts', 'Possible Data Exfiltration by ' || source_ip, 1 FROM fx
-GROUP BY source_ip HAVING sum(response_size) >= 250 * 1048576
-UNION ALL
-SELECT 'alerts', 'Excessive Client Errors from ' || source_ip, 1 FROM fx
-GROUP BY source_ip HAVING count(*) FILTER (status_code BETWEEN 400 AND 499) >= 10
-UNION ALL SELECT 'lines', 'Mixed', 2 * count(*) FROM fx
-UNION ALL SELECT 'parsed', 'all', 2 * count(*) FROM fx""", PATH, WAF)
-
 RANK = "list_position(['info', 'low', 'medium', 'high', 'critical'], severity) - 1"
 ORACLES["all_detectors"] = over(f"""
 SELECT job_id, detector, alert_type, severity, CAST({RANK} AS INTEGER) AS severity_rank, source_ip, title FROM (
@@ -539,6 +530,30 @@ ORACLES["alerts_by_severity"] = over(
     "SELECT job_id, severity, count(*) AS count FROM al GROUP BY 1, 2", *WITH_ALERTS)
 ORACLES["alerts_by_type"] = over(
     "SELECT job_id, alert_type, count(*) AS count FROM al GROUP BY 1, 2", *WITH_ALERTS)
+
+
+# entries of access logs and CSV exports, as the detectors see them: the same SQL over another table
+def detected(entries):
+    """The detectors' CTEs over the entries ``ac`` that a CTE selects."""
+    return [entries, *(re.sub(r"\bfxm?\b", "ac", c) for c in WITH_ALERTS)]
+
+
+ACCESS_ENTRIES = f"""
+SELECT event_id, event_id + 1 AS line_number, date_trunc('second', event_time) AS event_time, source_ip, username,
+  path AS endpoint, method || ' ' || path || ' -> ' || status_code AS message, {_class} AS event_type, status_code,
+  response_size FROM pa"""
+ORACLES["analyzed_files"] = over(f"""
+SELECT 'entries' AS kind, {_class} || ' whole' AS name, count(*) AS n FROM pa GROUP BY 2
+UNION ALL
+SELECT 'entries', waf_type || CASE WHEN line_number % 10 = 0 THEN ' broken' ELSE ' whole' END, count(*) FROM wf GROUP BY 2
+UNION ALL SELECT 'alerts', severity || ' ' || title, count(*) FROM al GROUP BY 2
+UNION ALL SELECT 'lines', 'Mixed', 2 * count(*) FROM fx
+UNION ALL SELECT 'parsed', 'all', 2 * count(*) FROM fx""", PATH, WAF, *detected(f"""
+ac AS (
+  SELECT 'all' AS job_id, * FROM ({ACCESS_ENTRIES} UNION ALL
+    SELECT event_id, line_number, date_trunc('second', event_time), source_ip, NULL,
+      CASE WHEN line_number % 10 = 0 THEN '/' || coalesce(endpoint, '') || chr(10) || ',' || line_number ELSE endpoint END, waf_message, waf_type,
+      NULL, NULL FROM wm))"""))
 LEVELS = "lv AS (SELECT unnest(['info', 'low', 'medium', 'high', 'critical']) AS severity)"
 ORACLES["severity_distribution"] = over("""
 SELECT jb.job_id, lv.severity, count(al.title) AS count
@@ -762,8 +777,9 @@ SELECT detector, source_ip, count(*) AS jobs FROM (
   GROUP BY source_ip, event_id // 200 HAVING sum(response_size) >= 10 * 1048576
   UNION ALL
   SELECT 'error_flood', source_ip FROM fx
-  GROUP BY source_ip, event_id // 200 HAVING count(*) FILTER (status_code BETWEEN 400 AND 499) >= 2)
-GROUP BY 1, 2""")
+  GROUP BY source_ip, event_id // 200 HAVING count(*) FILTER (status_code BETWEEN 400 AND 499) >= 2
+  UNION ALL SELECT 'web_attacks', source_ip FROM (SELECT DISTINCT source_ip, job_id FROM hits))
+GROUP BY 1, 2""", PATH, *detected(f"ac AS (SELECT event_id // 200 AS job_id, * FROM ({ACCESS_ENTRIES}))"))
 ORACLES["streamed_rate"] = over(f"""
 SELECT job_id, source_ip, {sec('w')} AS window_start, count(*) AS requests FROM (
   SELECT job_id, source_ip, unnest([time_bucket(INTERVAL 12 HOURS, event_time, TIMESTAMP '1970-01-01 00:00:00'),

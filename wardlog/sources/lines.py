@@ -1,15 +1,14 @@
 """Text log files as numbered lines."""
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlog.fixed_values import LOG_EXTENSIONS
 from wardlog.functions.text import strip
+from wardlog.session import scratch_path
 
-# Largest side that is broadcast, as an upper bound worked out before the join.
-BROADCAST_BYTES = 256 * 1024 * 1024
+# Rows of the split table that are broadcast; a row (path and three numbers) takes a few hundred bytes.
+BROADCAST_SPLITS = 500_000
 
 
 def _any_case(word):
@@ -36,33 +35,6 @@ def list_log_files(spark, paths):
     )
 
 
-def split_table_bytes(spark, files):
-    """Upper bound, in bytes, of a table with one row per file split.
-
-    Follows the split size rule of file sources; needs only the file listing,
-    folded to one row on the executors.
-    """
-    conf = spark.conf
-    most = _bytes(conf.get("spark.sql.files.maxPartitionBytes"))
-    least = _bytes(conf.get("spark.sql.files.openCostInBytes"))
-    total, count, longest = files.agg(
-        F.coalesce(F.sum(F.col("file_size") + least), F.lit(0)),
-        F.count(F.lit(1)),
-        F.coalesce(F.max(F.length("source_file")), F.lit(0)),
-    ).first()
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    split = min(most, max(least, total // cores))
-    pieces = count + math.ceil(total / max(1, split))
-    return pieces * (longest + 64)
-
-
-def _bytes(text):
-    units = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
-    text = str(text).strip().lower()
-    digits = text.rstrip("bkmg")
-    return int(digits) * units[text[len(digits):]]
-
-
 def pin_splits(spark):
     """Keep the split size of file scans fixed for the session.
 
@@ -91,15 +63,19 @@ def count_splits(rows, *counts):
     )
 
 
-def number_rows(rows, splits, broadcast_splits):
+def number_rows(rows, splits, stored=False, keep_block=False):
     """Add ``line_number`` (from 1, in file order) to the rows of a splittable file scan.
 
     ``rows`` comes from with_split_position, ``splits`` from count_splits of the
     same rows. Prefix sums over the splits of a file shift row_id, so no file is
-    sorted or passed through one task. ``broadcast_splits`` says that the table
-    with one row per split is known to be small; beyond that the join is left to
-    Spark.
+    sorted or passed through one task. The table with one row per split is written
+    first, unless it is ``stored`` already, and broadcast if it has at most
+    BROADCAST_SPLITS rows; beyond that the join is left to Spark.
     """
+    if not stored:
+        path = scratch_path(rows.sparkSession, "splits")
+        splits.write.parquet(path)
+        splits = rows.sparkSession.read.parquet(path)
     earlier = (
         Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -108,7 +84,7 @@ def number_rows(rows, splits, broadcast_splits):
         "block",
         (F.coalesce(F.sum("in_split").over(earlier), F.lit(0)) - F.col("first_id") + 1).alias("shift"),
     )
-    if broadcast_splits:
+    if splits.count() <= BROADCAST_SPLITS:
         shifts = F.broadcast(shifts)
     unknown = F.raise_error(F.lit("a file was cut differently in two scans; its lines cannot be numbered"))
     return (
@@ -117,7 +93,7 @@ def number_rows(rows, splits, broadcast_splits):
             "line_number",
             F.when(F.col("shift").isNull(), unknown.cast("bigint")).otherwise(F.col("row_id") + F.col("shift")),
         )
-        .drop("block", "row_id", "shift")
+        .drop("row_id", "shift", *([] if keep_block else ["block"]))
     )
 
 
@@ -137,11 +113,6 @@ def scan_text(spark, paths):
     return with_split_position(scan, ["value"])
 
 
-def splits_are_small(spark, paths, factor=1):
-    """Whether a table with ``factor`` rows per split surely fits a broadcast."""
-    return split_table_bytes(spark, list_log_files(spark, paths)) * factor <= BROADCAST_BYTES
-
-
 def read_log_lines(spark, paths, job_id=None, max_lines=None):
     """Lines of text log files: (job_id, source_file, line_number, raw_line).
 
@@ -149,8 +120,7 @@ def read_log_lines(spark, paths, job_id=None, max_lines=None):
     dropped. Without ``job_id`` every file is a job of its own.
     """
     rows = scan_text(spark, paths)
-    numbered = number_rows(rows, count_splits(rows), splits_are_small(spark, paths))
-    return clean_lines(numbered, job_id, max_lines)
+    return clean_lines(number_rows(rows, count_splits(rows)), job_id, max_lines)
 
 
 def cleaned(value):

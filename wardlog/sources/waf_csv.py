@@ -1,15 +1,10 @@
 """Web-firewall CSV exports."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.sources.lines import (
-    count_splits, extension_glob, job_of, number_rows, pin_splits, splits_are_small, with_split_position,
-)
-
-PATH = "_metadata.file_path"
+from wardlog.sources.csv_records import read_records, record_cells
+from wardlog.sources.lines import count_splits, extension_glob, job_of, number_rows, pin_splits, with_split_position
 
 
 def odd_quotes(value):
@@ -17,91 +12,45 @@ def odd_quotes(value):
     return (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
 
 
-def files_with_split_records(spark, paths):
-    """Paths of the files in which some record spans lines."""
-    lines = spark.read.option("pathGlobFilter", extension_glob()).text(paths)
-    found = lines.filter(odd_quotes(F.col("value"))).select(F.col(PATH).alias("path")).distinct()
-    return sorted(r.path for r in found.collect())
-
-
-def read_waf_csv(spark, paths, job_id=None, multiline=None):
+def read_waf_csv(spark, paths, job_id=None):
     """Rows of CSV exports sharing one header, with line_number = row number from 2.
 
-    Files are split, but for those in which a quoted field holds a line break:
-    each of these has to be read by one task. They are found by a pass over the
-    lines, and their paths come to the driver as a file listing does;
-    ``multiline`` given, all files are taken to be of one or the other kind.
+    All files are split, also those in which a quoted cell holds a line break.
     """
     pin_splits(spark)
-
-    def rows(whole):
-        scan = (
-            spark.read.option("header", True)
-            .option("multiLine", whole)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("enforceSchema", False)
-            .option("pathGlobFilter", extension_glob())
-            .csv(paths)
-        )
-        return scan, [F.col(f"`{c}`") for c in scan.columns]
-
-    def numbered(scan, columns):
-        placed = with_split_position(scan, columns)
-        return number_rows(placed, count_splits(placed), splits_are_small(spark, paths))
-
-    if multiline is None:
-        spanning = files_with_split_records(spark, paths)
-    if multiline is not None or not spanning:
-        found = numbered(*rows(bool(multiline)))
-    else:
-        # a condition on the path is applied to the file listing, so each file is read once
-        spans = F.col(PATH).isin(spanning)
-        (whole, columns), (split, _) = rows(True), rows(False)
-        found = numbered(whole.filter(spans), columns).unionByName(numbered(split.filter(~spans), columns))
-    return found.withColumn("job_id", job_of(job_id)).withColumn("line_number", F.col("line_number") + 1)
+    reader = spark.read.option("pathGlobFilter", extension_glob())
+    header = reader.option("header", True).option("quote", '"').option("escape", '"').csv(paths).columns
+    rows = with_split_position(reader.text(paths), ["value"])
+    records = read_records(number_rows(rows, count_splits(rows), keep_block=True))
+    cells = record_cells(records.filter("line_number > 1"), len(header))
+    return cells.select(
+        *[F.get("waf_cells", F.lit(i)).alias(name) for i, name in enumerate(header)],
+        "source_file", "line_number", job_of(job_id).alias("job_id"),
+    )
 
 
-def irregular_exports(splits, formats):
-    """Paths of the CSV exports whose lines are not their records: those in which a record
-    may span lines, and the others that hold blank lines.
+def mark_irregular(formats, splits):
+    """formats with ``irregular``: whether the file is a CSV export whose lines are not its records, because a record may
+    span lines or blank lines stand between them.
 
-    ``splits`` counts the rows (in_split), the non-blank ones (filled) and those with an
-    odd number of quotes (odd) of every split. The paths come to the driver as a file
-    listing does.
+    ``splits`` counts the rows (in_split), the non-blank ones (filled) and those with an odd number of quotes (odd) of
+    every split.
     """
-    exports = formats.filter(F.col("format") == fixed.WAF).select("source_file").distinct()
     counted = splits.groupBy("source_file").agg(
-        (F.sum("odd") > 0).alias("spans"), (F.sum("in_split") > F.sum("filled")).alias("gaps")
+        ((F.sum("odd") > 0) | (F.sum("in_split") > F.sum("filled"))).alias("uneven")
     )
-    found = counted.filter("spans or gaps").join(exports, "source_file", "left_semi").collect()
-    return sorted(r.source_file for r in found if r.spans), sorted(r.source_file for r in found if not r.spans)
+    export = F.col("format") == fixed.WAF
+    return formats.join(counted, "source_file", "left").withColumn(
+        "irregular", export & F.coalesce("uneven", F.lit(False))
+    ).drop("uneven")
 
 
-def read_cells(spark, paths, columns, spanning, gapped, job_id=None):
-    """The first ``columns`` cells of every record of the named exports, which may differ in
-    their headers: (job_id, source_file, line_number, waf_cells); a header is line 1.
+def read_cells(numbered, formats, columns, job_id=None):
+    """The first ``columns`` cells of every record of the irregular exports, which may differ in their headers:
+    (job_id, source_file, line_number, waf_cells); a header is line 1.
 
-    Files with records over several lines are read by one task each, the others are split.
+    ``numbered`` has the raw values of all files with block and line_number.
     """
-    pin_splits(spark)
-    few = splits_are_small(spark, paths)
-    names = [f"c{i}" for i in range(columns)]
-
-    def rows(files, whole):
-        scan = (
-            spark.read.schema(", ".join(f"{n} string" for n in names))
-            .option("multiLine", whole)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("pathGlobFilter", extension_glob())
-            .option("recursiveFileLookup", "true")
-            .csv(paths)
-            .filter(F.col(PATH).isin(files))
-        )
-        placed = with_split_position(scan, [F.array(*names).alias("waf_cells")])
-        return number_rows(placed, count_splits(placed), few)
-
-    read = [rows(files, whole) for files, whole in ((spanning, True), (gapped, False)) if files]
-    found = reduce(lambda a, b: a.unionByName(b), read)
-    return found.select(job_of(job_id).alias("job_id"), "source_file", "line_number", "waf_cells")
+    chosen = formats.filter("irregular").select("source_file").distinct()
+    cells = record_cells(read_records(numbered.join(chosen, "source_file", "left_semi")), columns)
+    return cells.select(job_of(job_id).alias("job_id"), "source_file", "line_number", "waf_cells")

@@ -9,6 +9,7 @@ from wardlog.plans.analyze import job_table, line_counts, normalize_files
 from wardlog.schema import ENTRY_SCHEMA
 from wardlog.session import require_utc
 from wardlog.sources.lines import clean_lines, count_splits, extension_glob, number_rows, pin_splits
+from wardlog.sources.waf_csv import mark_irregular
 
 
 def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=2026, files_per_batch=1000,
@@ -42,14 +43,12 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
         rows = batch.withColumn("row_id", F.monotonically_increasing_id())
         # one row per split and per file, used several times
         splits = count_splits(rows, *line_counts(), F.max("file_size").alias("file_size")).persist()
-        lines = clean_lines(number_rows(rows, splits, broadcast_splits=False))
-        formats = detect_format(lines, hint).persist()
+        numbered = number_rows(rows, splits, stored=True, keep_block=True)
+        formats = mark_irregular(detect_format(clean_lines(numbered), hint), splits).persist()
         folder = lambda table: f"{table}/batch_id={batch_id}"
         # a batch holds at most files_per_batch files, each with one row of formats
         few = files_per_batch <= BROADCAST_FILES
-        entries, counted = normalize_files(
-            spark, in_dir, lines, splits, formats, assume_year=assume_year, few=few
-        )
+        entries, counted = normalize_files(numbered, splits, formats, assume_year=assume_year, few=few)
         entries.write.mode("overwrite").partitionBy("job_id").parquet(folder(out_dir))
         stored = spark.read.schema(ENTRY_SCHEMA).parquet(folder(out_dir))
         if alerts_dir is not None:
