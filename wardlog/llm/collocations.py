@@ -27,9 +27,9 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 GAPS = r"[.,;:!?\x09-\x0D\x20]+"
 DICTIONARY_WORDS = 500_000  # words that every worker holds; texts are joined with more
 ID_BUCKETS = 1024
-TEXT_STEP = 1 << 20  # bytes of text turned to ids at a time
-STEP = 1 << 20  # ids, and windows over them, looked at together
-HELD = 1 << 20  # entries of a task's filter
+TEXT_STEP = 1 << 18  # bytes of text turned to ids at a time
+STEP = 1 << 17  # ids, and windows over them, looked at together
+HELD = 1 << 19  # entries of a task's filter
 RANGE_WORDS = 1 << 19  # words of the corpus for each range of quotients
 MIN_RANGE_BITS, MAX_RANGE_BITS = 7, 20
 MAP_BITS = 26
