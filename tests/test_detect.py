@@ -264,3 +264,25 @@ def test_alerts_print_the_logged_clock(spark, as_lines):
     assert (burst["first_attempt"], burst["last_attempt"]) == ("2026-02-09 01:59:50+02:00", "2026-02-09 01:59:59+02:00")
     rate = run_all(found, {"rate_abuse": {"threshold": 10}}, detectors=["rate_abuse"]).first()
     assert "Peak window: 2026-02-09 01:59:50+02:00 to 2026-02-09 01:59:59+02:00." in rate.description
+
+
+def test_entries_are_read_three_times_at_most(spark, tmp_path, monkeypatch):
+    """All detectors share three passes over the entries; bursts of refused logins alone take two."""
+    place = str(tmp_path / "marked-entries")
+    spark.createDataFrame([], ENTRY_SCHEMA).write.parquet(place)
+    entries, scans = spark.read.schema(ENTRY_SCHEMA).parquet(place), []
+
+    def scans_in(frame):
+        return frame._jdf.queryExecution().executedPlan().toString().count("marked-entries")
+
+    def counting(frame, name):
+        scans.append(scans_in(frame))
+        return stored(frame, name)
+
+    for module in (detect, detect_abuse, detect_brute_force, detect_login):
+        monkeypatch.setattr(module, "stored", counting)
+    scans.append(scans_in(detect.all_alerts(entries)))
+    assert sum(scans) == 3
+    scans.clear()
+    scans.append(scans_in(detect_brute_force.detect_brute_force(entries)))
+    assert sum(scans) == 2

@@ -7,6 +7,7 @@ from wardlog.functions.text import case
 from wardlog.functions.times import logged_text, micros
 from wardlog.operators.alert import alert_rows, fixed_decimals, present, text
 from wardlog.operators.sliding import sliding_counts, window_slots
+from wardlog.session import stored
 
 KEYS = ["job_id", "source_ip"]
 MIB = 1024 * 1024
@@ -15,19 +16,42 @@ MIB = 1024 * 1024
 # severity ladders below. They are written where they are used.
 
 
-def peak_rates(entries, window_seconds=60, threshold=100):
+def activity(entries):
+    """What the three detectors need of the entries, counted in one pass: one row per address and moment (kind "time"),
+    per address and endpoint with a response size ("volume") and per address and error status ("status").
+
+    Rows: job_id, source_ip, kind, us, endpoint, status_code, n, bytes, line (the first) and its wall clock.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    part = lambda kind, us, endpoint, status, size: F.struct(
+        F.lit(kind).alias("kind"), us.alias("us"), endpoint.alias("endpoint"), status.alias("status_code"), size.alias("size")
+    )
+    size = F.col("response_size")
+    parts = F.array_compact(F.array(
+        F.when(F.col("event_time").isNotNull(), part("time", micros(F.col("event_time")), none("string"), none("int"), none("bigint"))),
+        F.when(size != 0, part("volume", none("bigint"), F.nullif("endpoint", F.lit("")), none("int"), size)),
+        F.when(F.col("status_code") >= 400, part("status", none("bigint"), none("string"), F.col("status_code"), none("bigint"))),
+    ))
+    rows = entries.filter(present("source_ip")).select(*KEYS, "line_number", "event_time_local", F.explode(parts).alias("p"))
+    counted = rows.select(*KEYS, "line_number", "event_time_local", "p.*").groupBy(
+        *KEYS, "kind", "us", "endpoint", "status_code"
+    ).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("line_number").alias("line"),
+        F.min(F.struct("line_number", "event_time_local"))["event_time_local"].alias("wall"),
+    )
+    return stored(counted, "activity")
+
+
+def _counts(entries, counts, kind):
+    return (activity(entries) if counts is None else counts).filter(F.col("kind") == kind)
+
+
+def peak_rates(entries, window_seconds=60, threshold=100, counts=None):
     """Per address: the most rows in any window ending at a row, the first such
     window (instants and wall clocks of its ends), and the number of rows; addresses
-    below the threshold are left out."""
+    below the threshold are left out. ``counts`` is the entries' activity, where it is known."""
     window_us = int(window_seconds * 1_000_000)
-    per_time = (
-        entries.filter(present("source_ip") & F.col("event_time").isNotNull())
-        .groupBy(*KEYS, micros(F.col("event_time")).alias("us"))
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.min("line_number").alias("line"),
-            F.min(F.struct("line_number", "event_time_local"))["event_time_local"].alias("wall"),
-        )
-    )
+    per_time = _counts(entries, counts, "time").select(*KEYS, "us", "n", "line", "wall")
     peaks = (
         sliding_counts(per_time.select(*KEYS, "us", "n"), KEYS, window_us)
         .filter(F.col("in_window") >= threshold)
@@ -56,9 +80,9 @@ def peak_rates(entries, window_seconds=60, threshold=100):
     return peaks.join(starts, KEYS).join(totals, KEYS)
 
 
-def detect_rate_abuse(entries, window_seconds=60, threshold=100, created_at=None):
+def detect_rate_abuse(entries, window_seconds=60, threshold=100, created_at=None, counts=None):
     """One alert per address whose peak rate reaches the threshold."""
-    rows = peak_rates(entries, window_seconds, threshold)
+    rows = peak_rates(entries, window_seconds, threshold, counts)
     ip, peak = F.col("source_ip"), F.col("peak")
     start, end = [logged_text(F.col(f"{at}_wall"), F.col(f"{at}_us")) for at in ("start", "end")]
     return alert_rows(
@@ -86,26 +110,21 @@ def detect_rate_abuse(entries, window_seconds=60, threshold=100, created_at=None
     )
 
 
-def detect_exfiltration(entries, threshold_mb=50, top=5, created_at=None):
+def detect_exfiltration(entries, threshold_mb=50, top=5, created_at=None, counts=None):
     """One alert per address that fetched at least ``threshold_mb`` MiB, with its largest endpoints.
 
-    Volumes are summed first; endpoints are only grouped for the addresses that
-    reach the threshold.
+    Volumes come summed by endpoint; endpoints are only ranked for the addresses
+    that reach the threshold.
     """
-    sized = entries.filter(present("source_ip") & (F.col("response_size") != 0))
+    sized = _counts(entries, counts, "volume")
     heavy = (
         sized.groupBy(*KEYS)
-        .agg(
-            F.sum("response_size").alias("bytes"),
-            F.count(F.lit(1)).alias("requests"),
-            F.min("line_number").alias("order_line"),
-        )
+        .agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("requests"), F.min("line").alias("order_line"))
         .filter(F.col("bytes") >= int(threshold_mb * MIB))
     )
     per_endpoint = (
-        sized.filter(present("endpoint"))
-        .groupBy(*KEYS, "endpoint")
-        .agg(F.sum("response_size").alias("endpoint_bytes"), F.min("line_number").alias("line"))
+        sized.filter("endpoint is not null")
+        .select(*KEYS, "endpoint", F.col("bytes").alias("endpoint_bytes"), "line")
         .join(heavy.select(*KEYS), KEYS, "left_semi")
     )
     order = Window.partitionBy(*KEYS).orderBy(F.desc("endpoint_bytes"), "line")
@@ -149,12 +168,10 @@ def detect_exfiltration(entries, threshold_mb=50, top=5, created_at=None):
     )
 
 
-def detect_error_flood(entries, threshold=50, created_at=None):
+def detect_error_flood(entries, threshold=50, created_at=None, counts=None):
     """One alert per address with at least ``threshold`` 4xx responses."""
     rows = (
-        entries.filter(present("source_ip") & (F.col("status_code") >= 400))
-        .groupBy(*KEYS, "status_code")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("line_number").alias("line"))
+        _counts(entries, counts, "status")
         .groupBy(*KEYS)
         .agg(
             F.sum("n").alias("errors"),

@@ -8,6 +8,7 @@ from wardlog.functions.text import case
 from wardlog.functions.times import logged_text, micros
 from wardlog.operators.alert import alert_rows, fixed_decimals, present, text
 from wardlog.operators.sliding import sliding_counts, window_slots
+from wardlog.session import stored
 
 # Fixed values of the alert table: titles, descriptions, labels of the evidence, actions and the steps of the
 # severity ladders below. They are written where they are used.
@@ -18,13 +19,20 @@ BURST = ["count", "last_us", "at_last", "order_line", "success"]
 UNTIMED_SALTS = 32
 
 
-def _failures(entries):
-    return entries.filter(F.col("event_type").isin(fixed.FAILED_LOGIN_TYPES) & present("source_ip")).select(
+def failed_logins(entries):
+    """The refused logins with an address: five columns, written once, as bursts read them several times."""
+    failures = entries.filter(F.col("event_type").isin(fixed.FAILED_LOGIN_TYPES) & present("source_ip")).select(
         *KEYS, micros(F.col("event_time")).alias("us"), F.col("event_time_local").alias("wall"), "line_number", "username"
     )
+    return stored(failures, "failed-logins")
 
 
 def find_bursts(entries, window_seconds=300, threshold=10):
+    """Bursts among the failed logins of the entries; see bursts_among."""
+    return bursts_among(failed_logins(entries), window_seconds, threshold)
+
+
+def bursts_among(failures, window_seconds=300, threshold=10):
     """One row per address with a burst: count, first and last microsecond, and ``at_last``.
 
     Only the first row that reaches the threshold counts at each moment, so with
@@ -34,7 +42,7 @@ def find_bursts(entries, window_seconds=300, threshold=10):
     last moment belong to it. Without any time the whole group is the burst.
     """
     window_us = int(window_seconds * 1_000_000)
-    per_time = _failures(entries).groupBy(*KEYS, "us").agg(
+    per_time = failures.groupBy(*KEYS, "us").agg(
         F.count(F.lit(1)).alias("n"), F.min("line_number").alias("first_line")
     )
     groups = (
@@ -66,7 +74,7 @@ def find_bursts(entries, window_seconds=300, threshold=10):
     )
 
 
-def _members(entries, bursts, window_us, threshold):
+def _members(failures, bursts, window_us, threshold):
     """The failed logins of the bursts, twice: ``inside`` has all of them, marked ``ending`` at the last moment (where
     only some belong to the burst); ``head`` has the first ones before it, and those at it that do belong.
 
@@ -87,7 +95,7 @@ def _members(entries, bursts, window_us, threshold):
         "first_us",
         *BURST,
     )
-    rows = _failures(entries).withColumns({"timed": F.col("us").isNotNull(), "slot": slot})
+    rows = failures.withColumns({"timed": F.col("us").isNotNull(), "slot": slot})
     inside = (
         rows.join(spread, [*KEYS, "timed", "slot"])
         .filter(~F.col("timed") | F.col("us").between(F.col("first_us"), F.col("last_us")))
@@ -115,13 +123,14 @@ def _names(inside, head):
 def burst_targets(entries, window_seconds=300, threshold=10):
     """The names that each burst tried: one row per job, address and name, however many there are."""
     window_us = int(window_seconds * 1_000_000)
-    bursts = find_bursts(entries, window_seconds, threshold).withColumn("success", F.lit(False))
-    return _names(*_members(entries, bursts, window_us, threshold))
+    failures = failed_logins(entries)
+    bursts = stored(bursts_among(failures, window_seconds, threshold).withColumn("success", F.lit(False)), "bursts")
+    return _names(*_members(failures, bursts, window_us, threshold))
 
 
-def _with_members(entries, bursts, window_us, threshold, list_targets):
+def _with_members(failures, bursts, window_us, threshold, list_targets):
     """Bursts with their names, first line numbers, first time, and first and last wall clock."""
-    inside, head = _members(entries, bursts, window_us, threshold)
+    inside, head = _members(failures, bursts, window_us, threshold)
     samples = head.groupBy(*KEYS).agg(
         F.transform(
             F.slice(F.array_sort(F.collect_list(F.struct("us", "line_number"))), 1, SAMPLE),
@@ -157,8 +166,9 @@ def detect_brute_force(entries, window_seconds=300, threshold=10, created_at=Non
     burst_targets gives them as rows.
     """
     window_us = int(window_seconds * 1_000_000)
-    bursts = success_after(entries, find_bursts(entries, window_seconds, threshold))
-    rows = _with_members(entries, bursts, window_us, threshold, list_targets)
+    failures = failed_logins(entries)
+    bursts = stored(success_after(entries, bursts_among(failures, window_seconds, threshold)), "bursts")
+    rows = _with_members(failures, bursts, window_us, threshold, list_targets)
     logged = lambda at: logged_text(F.col(f"{at}_wall"), F.col(f"{at}_us"))
     named = F.coalesce("target_count", F.lit(0)) > 0
     seconds = F.coalesce((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(0.0))

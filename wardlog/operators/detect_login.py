@@ -7,6 +7,7 @@ from wardlog import fixed_values as fixed
 from wardlog.functions.times import micros, plain_text
 from wardlog.operators.alert import alert_rows, present, text
 from wardlog.operators.sliding import slice_of
+from wardlog.session import stored
 
 # Fixed values of the alert table: titles, descriptions, labels of the evidence, actions and the steps of the
 # severity ladders below. They are written where they are used.
@@ -123,6 +124,7 @@ def failure_streaks(entries, min_failures=5):
     counted = logins.withColumn("failures", F.sum(F.col("failure").cast("long")).over(upto)).withColumn(
         "at_success", F.max(F.when(~F.col("failure"), F.col("failures"))).over(earlier)
     )
+    counted = stored(counted, "login-streaks")
     event = F.struct("us", "line_number", "source_ip", "event_time_local", "failures")
     first_success = ~F.col("failure") & F.col("at_success").isNull()
     slices = counted.groupBy(*part).agg(

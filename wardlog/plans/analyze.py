@@ -106,7 +106,7 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     run = f"run_id=r{uuid.uuid4().hex}"
     count_splits(rows, *line_counts()).write.parquet(f"{out_dir}/splits/{run}")
     splits = spark.read.parquet(f"{out_dir}/splits/{run}")
-    numbered = number_rows(rows, splits, stored=True, keep_block=True)
+    numbered = number_rows(rows, splits, written=True, keep_block=True)
     found = detect_format(clean_lines(numbered, job_id), hint)
     mark_irregular(found, splits).write.parquet(f"{out_dir}/formats/{run}")
     formats = spark.read.parquet(f"{out_dir}/formats/{run}")

@@ -66,3 +66,10 @@ def shared_dir(spark):
 def scratch_path(spark, name):
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame, name):
+    """The rows written below the shared folder and read again, so that what follows does not compute them anew."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

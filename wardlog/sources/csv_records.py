@@ -8,7 +8,7 @@ split, then over the splits of a file, and the state in front of every split, an
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardlog.session import scratch_path
+from wardlog.session import stored
 
 # a run of lines whose exceptions are looked up together
 SLOT_LINES = 256
@@ -114,12 +114,6 @@ def exceptions(lines):
     )
 
 
-def _stored(frame, name):
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def read_records(lines):
     """The records of the lines (source_file, block, line_number, value) of CSV files: source_file, line_number (the
     record's number, from 1) and value, its text.
@@ -128,8 +122,8 @@ def read_records(lines):
     are read from where they are stored; only the lines of records that span several are shuffled, and the exceptions
     of a file, which its other lines meet by runs of SLOT_LINES lines.
     """
-    lines = _stored(lines, "csv-lines").withColumn("slot", F.expr(f"line_number div {SLOT_LINES}"))
-    found = _stored(exceptions(lines).withColumn("slot", F.expr(f"line_number div {SLOT_LINES}")), "csv-exceptions")
+    lines = stored(lines, "csv-lines").withColumn("slot", F.expr(f"line_number div {SLOT_LINES}"))
+    found = stored(exceptions(lines).withColumn("slot", F.expr(f"line_number div {SLOT_LINES}")), "csv-exceptions")
     removed = F.count_if(F.col("kind") != OPENS).alias("removed")
     events = found.groupBy(*KEY).agg(
         removed, F.sort_array(F.collect_list(F.struct("line_number", "kind", "open"))).alias("events")
@@ -137,7 +131,7 @@ def read_records(lines):
     files = found.select("source_file").distinct()
     slots = lines.join(files, "source_file", "left_semi").select(*KEY).distinct().join(events, KEY, "left")
     earlier = Window.partitionBy("source_file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = _stored(
+    slots = stored(
         slots.select(*KEY, "events", F.coalesce(F.sum("removed").over(earlier), F.lit(0)).alias("gone")), "csv-slots"
     )
     small = slots.count() <= BROADCAST_SLOTS and found.count() <= BROADCAST_EVENTS

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlog.fixed_values import LOG_EXTENSIONS
 from wardlog.functions.text import strip
-from wardlog.session import scratch_path
+from wardlog.session import stored
 
 # Rows of the split table that are broadcast; a row (path and three numbers) takes a few hundred bytes.
 BROADCAST_SPLITS = 500_000
@@ -63,19 +63,16 @@ def count_splits(rows, *counts):
     )
 
 
-def number_rows(rows, splits, stored=False, keep_block=False):
+def number_rows(rows, splits, written=False, keep_block=False):
     """Add ``line_number`` (from 1, in file order) to the rows of a splittable file scan.
 
     ``rows`` comes from with_split_position, ``splits`` from count_splits of the
     same rows. Prefix sums over the splits of a file shift row_id, so no file is
     sorted or passed through one task. The table with one row per split is written
-    first, unless it is ``stored`` already, and broadcast if it has at most
+    first, unless it is ``written`` already, and broadcast if it has at most
     BROADCAST_SPLITS rows; beyond that the join is left to Spark.
     """
-    if not stored:
-        path = scratch_path(rows.sparkSession, "splits")
-        splits.write.parquet(path)
-        splits = rows.sparkSession.read.parquet(path)
+    splits = splits if written else stored(splits, "splits")
     earlier = (
         Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     )

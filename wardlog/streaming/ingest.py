@@ -43,7 +43,7 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
         rows = batch.withColumn("row_id", F.monotonically_increasing_id())
         # one row per split and per file, used several times
         splits = count_splits(rows, *line_counts(), F.max("file_size").alias("file_size")).persist()
-        numbered = number_rows(rows, splits, stored=True, keep_block=True)
+        numbered = number_rows(rows, splits, written=True, keep_block=True)
         formats = mark_irregular(detect_format(clean_lines(numbered), hint), splits).persist()
         folder = lambda table: f"{table}/batch_id={batch_id}"
         # a batch holds at most files_per_batch files, each with one row of formats
