@@ -1,6 +1,7 @@
 """Timestamp parsing. A log time is kept twice: as the wall clock that was logged
 (TIMESTAMP_NTZ) and as an instant (TIMESTAMP, naive times counting as UTC)."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardlog.functions.text import capture, case, strip
@@ -43,9 +44,10 @@ def clock(year, month, day, hour, minute, second):
 
 
 def syslog_clock(parts, assume_year, first=0):
-    """Wall clock from captured month, day, hour, minute, second."""
+    """Wall clock from captured month, day, hour, minute, second; the year is a number or a column."""
     at = [F.get(parts, F.lit(first + i)) for i in range(5)]
-    return clock(F.lit(str(assume_year)), month_number(at[0]), *at[1:])
+    year = assume_year if isinstance(assume_year, Column) else F.lit(assume_year)
+    return clock(year.cast("string"), month_number(at[0]), *at[1:])
 
 
 def as_instant(wall, offset_seconds=None):

@@ -1,9 +1,12 @@
 """Address reputation from provider tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlog.functions.ip import canonical_ip, is_public_ip
 from wardlog.functions.text import case
+from wardlog.functions.times import micros
+from wardlog.operators.sliding import slice_of
 
 ABUSE_FIELDS = {
     "abuse_confidence_score": "int", "total_reports": "int", "country_code": "string", "isp": "string",
@@ -105,3 +108,37 @@ def enrich_ips(ips, abuse=None, vt=None, now=None, ttl_seconds=3600):
 def reputation_band(score):
     """Colour of an abuse score."""
     return case([(score >= 75, "red"), (score >= 25, "amber")], "green")
+
+
+def records_at(events, records, ttl_seconds=3600, time="event_time", address="source_ip"):
+    """events with ``record``: the newest record of their address that was checked at or before the event and not more
+    than ``ttl_seconds`` before it, or null.
+
+    ``records`` has ip, checked_at and any other fields. Events and records of an address are put in one order, and the
+    last record is carried forward. An address is cut into slices as long as the time to live; a record goes to its own
+    slice and the next, behind which it is no longer valid, so an address with very many events is many tasks. Of
+    records of one moment the one with the largest fields counts. Events without time or address have no record.
+    """
+    ttl = int(ttl_seconds * 1_000_000)
+    spelled = lambda name: F.coalesce(canonical_ip(F.col(name)), F.col(name))
+    fields = [F.col(f"`{c}`") for c in records.columns if c not in ("ip", "checked_at")]
+    checked = records.select(
+        spelled("ip").alias("ip"), micros(F.col("checked_at")).alias("us"), F.struct("checked_at", *fields).alias("record")
+    ).filter("ip is not null and us is not null").withColumn("slice", slice_of("us", ttl))
+    checked = checked.withColumn("slice", F.explode(F.array(F.col("slice"), F.col("slice") + 1)))
+    asked = events.select(
+        F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("event"),
+        spelled(address).alias("ip"), micros(F.col(time)).alias("us"),
+    ).withColumn("slice", slice_of("us", ttl))
+    both = asked.filter("ip is not null and us is not null").unionByName(checked, True)
+    order = Window.partitionBy("ip", "slice").orderBy("us", F.col("event").isNotNull(), "record")
+    carried = F.last(F.when(F.col("record").isNotNull(), F.struct("us", "record")), ignorenulls=True)
+    found = both.withColumn(
+        "newest", carried.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ).filter("event is not null")
+    valid = F.when(F.col("us") - F.col("newest.us") <= ttl, F.col("newest.record"))
+    rest = asked.filter("ip is null or us is null")
+    kind = checked.schema["record"].dataType
+    return found.select("event.*", valid.alias("record")).unionByName(
+        rest.select("event.*", F.lit(None).cast(kind).alias("record"))
+    )

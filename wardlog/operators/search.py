@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from wardlog.operators.detect import alert_order
 
+# pages within so many rows are taken from the top; deeper ones are looked up by counts of so many ranges
+DEEP_ROWS = 10_000
+RANGES = 1000
+
 
 def matching_entries(entries, event_type=None, source_ip=None, username=None, search=None, job_id=None):
     """Entries meeting all given conditions; ``search`` matches the message in any
@@ -18,10 +22,44 @@ def matching_entries(entries, event_type=None, source_ip=None, username=None, se
     return entries
 
 
-def search_entries(entries, page=1, page_size=50, **conditions):
-    """One page of the matching entries in line order."""
-    found = matching_entries(entries, **conditions).orderBy("line_number", "job_id")
-    return found.offset((page - 1) * page_size).limit(page_size)
+def search_entries(entries, page=1, page_size=50, deep_rows=DEEP_ROWS, **conditions):
+    """One page of the matching entries in line order.
+
+    A page among the first ``deep_rows`` rows is taken from the top. For a deeper one, matching entries are counted by
+    ranges of lines until the range that holds the page has at most that many rows; only that range is sorted.
+    """
+    found, offset = matching_entries(entries, **conditions), (page - 1) * page_size
+    if offset + page_size > deep_rows:
+        found, offset = range_of_page(found, offset, page_size, deep_rows)
+    return found.orderBy("line_number", "job_id").offset(offset).limit(page_size)
+
+
+def range_of_page(found, offset, size, most):
+    """The rows of a range of lines that holds the page, and the offset left within it. The driver sees RANGES counts
+    at a time."""
+    line = F.col("line_number")
+    low, high = found.agg(F.min(line), F.max(line)).first()
+    rows = None
+    while low is not None and low < high and (rows is None or rows > most):
+        width = -(-(high - low + 1) // RANGES)
+        inside = found.filter(line.between(low, high))
+        part = F.expr(f"(line_number - {low}) div {width}")
+        counts = sorted(map(tuple, inside.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect()))
+        passed, first, last, rows = 0, None, None, 0
+        for number, count in counts:
+            if passed + count > offset and first is None:
+                first, before = number, passed
+            if first is not None:
+                last, rows = number, rows + count
+            passed += count
+            if passed >= offset + size:
+                break
+        if first is None:
+            return found.limit(0), 0
+        low, high, offset = low + first * width, min(high, low + (last + 1) * width - 1), offset - before
+        if width == 1:
+            break
+    return (found if low is None else found.filter(line.between(low, high))), offset
 
 
 def search_count(entries, **conditions):

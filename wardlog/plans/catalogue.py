@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardlog.functions.ip import is_public_ip
 from wardlog.functions.times import plain_text
 from wardlog.operators import dashboard as dash
-from wardlog.operators import evidence, search
+from wardlog.operators import evidence, rollups, search
 from wardlog.operators.detect import DETECTOR_FUNCTIONS, run_all
 from wardlog.operators.detect_brute_force import burst_targets as burst_target_rows
 from wardlog.operators.detect_brute_force import find_bursts, success_after
@@ -19,8 +19,9 @@ from wardlog.operators.normalize import (
 )
 from wardlog.operators.normalize_waf import normalize_waf
 from wardlog.operators.normalize_web import classify_request
-from wardlog.operators.reputation import enrich_ips, public_ips, reputation_band
+from wardlog.operators.reputation import enrich_ips, public_ips, records_at, reputation_band
 from wardlog.operators.timeline import filter_timeline, timeline, timeline_types
+from wardlog.operators.years import with_years
 from wardlog.plans import fixtures as fx
 from wardlog.plans.analyze import analyze, current
 from wardlog.session import prepare, scratch_path
@@ -91,6 +92,28 @@ def normalize_auth_lines(spark, sf_dir):
     )
 
 
+@query
+def normalize_auth_over_years(spark, sf_dir):
+    """Login logs in text files, an event an hour, over turns of the year and a leap day. Each file begins in a known year."""
+    path = scratch_path(spark, "years")
+    at = F.expr(f"timestamp_ntz '{fx.FIRST_HOUR}' + make_dt_interval(0, cast(event_id as int))")
+    rows = fx.source_rows(spark, sf_dir).withColumn("event_time_local", at)
+    line = F.concat(
+        F.date_format("event_time_local", "MMM d HH:mm:ss"), F.lit(" e"), F.col("event_id").cast("string"),
+        F.lit(" sshd[1]: Failed password for root from 10.0.0.1 port 22 ssh2"),
+    )
+    rows.repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    lines = read_log_lines(spark, path)
+    event_id = F.regexp_extract("raw_line", r" e(\d+) ", 1).cast("int")
+    first = lines.groupBy("source_file").agg(F.min(event_id).alias("first_id"))
+    began = F.expr(f"year(timestamp_ntz '{fx.FIRST_HOUR}' + make_dt_interval(0, first_id))")
+    entries = normalize_auth(with_years(lines.join(first, "source_file"), began), assume_year=F.col("log_year"))
+    return entries.select(
+        extra("hostname"), seconds_text("event_time").alias("event_time"), "event_type",
+        F.dayofyear("event_time_local").alias("day"),
+    )
+
+
 @query
 def normalize_access_lines(spark, sf_dir):
     entries = normalize_access(fx.rendered_lines(spark, sf_dir, "access"))
@@ -464,10 +487,8 @@ def severity_distribution(spark, sf_dir, alerts):
     return dash.severity_distribution(alerts, fx.job_fixture(spark, sf_dir))
 
 
-@alert_query
-def dashboard(spark, sf_dir, alerts):
+def _as_texts(wide):
     """The wide row per job; lists as text, so that they compare as values."""
-    wide = dash.dashboard(fx.log_fixture(spark, sf_dir), alerts)
 
     def as_text(field):
         names = field.dataType.elementType.names
@@ -479,6 +500,34 @@ def dashboard(spark, sf_dir, alerts):
     )
 
 
+@alert_query
+def dashboard(spark, sf_dir, alerts):
+    return _as_texts(dash.dashboard(fx.log_fixture(spark, sf_dir), alerts))
+
+
+def _rollups(spark, sf_dir):
+    """Rollups of three batches of entries, the second of which comes twice."""
+    folder = scratch_path(spark, "rollups")
+    entries = fx.log_fixture(spark, sf_dir)
+    for batch in (0, 1, 1, 2):
+        rollups.write_rollup(entries.filter(F.col("line_number") % 3 == batch), folder, batch)
+    return folder
+
+
+@alert_query
+def dashboard_from_rollups(spark, sf_dir, alerts):
+    return _as_texts(rollups.dashboard_of_rollups(spark, _rollups(spark, sf_dir), alerts))
+
+
+@query
+def estimated_addresses(spark, sf_dir):
+    """Distinct addresses by merged sketches, within five per cent of the exact number."""
+    exact = dash.dash_scalars(fx.log_fixture(spark, sf_dir)).select("job_id", "unique_ips")
+    near = F.abs(F.col("estimated_ips") - F.col("unique_ips")) <= 0.05 * F.col("unique_ips")
+    estimated = rollups.estimated_addresses(spark, _rollups(spark, sf_dir))
+    return exact.join(estimated, "job_id").select("job_id", "unique_ips", near.alias("within_bound"))
+
+
 # --- search, alerts, jobs, time line --------------------------------------------------------
 
 
@@ -490,6 +539,13 @@ def search_entries(spark, sf_dir):
     return found.select("job_id", "line_number", "message", "username")
 
 
+@query
+def search_deep_page(spark, sf_dir):
+    """A page behind the rows that are taken from the top."""
+    found = search.search_entries(fx.log_fixture(spark, sf_dir), page=60, page_size=50, deep_rows=100, search="api")
+    return found.select("job_id", "line_number", "message")
+
+
 @query
 def search_count(spark, sf_dir):
     return search.search_count(fx.log_fixture(spark, sf_dir), username="root", search="get _api")
@@ -614,6 +670,16 @@ def enriched_addresses(spark, sf_dir):
     )
 
 
+@query
+def reputation_at_event(spark, sf_dir):
+    """The check of an address that was valid when the event happened; every seventh event is a check too."""
+    events = fx.public_entries(spark, sf_dir)
+    checks = events.filter("event_id % 7 = 0").groupBy(F.col("source_ip").alias("ip"), F.col("event_time").alias("checked_at")).agg(
+        F.max(F.col("event_id") % 101).alias("score")
+    )
+    return records_at(events, checks, ttl_seconds=86400).select("event_id", F.col("record.score").alias("score"))
+
+
 @query
 def reputation_bands(spark, sf_dir):
     return fx.abuse_fixture(spark, sf_dir).groupBy(

@@ -13,6 +13,7 @@ from wardlog.sources.tables import read_alerts, write_alerts
 
 FIRST_ALERT = "2024-01-01 00:00:00"
 LOOKUP_NOW = "2024-01-31 00:00:00"
+FIRST_HOUR = "2023-06-01 00:00:00"
 # parameters under which the detectors find something, but not everything, here
 THRESHOLDS = {
     "brute_force": {"window_seconds": 2 * 86400, "threshold": 4},

@@ -77,6 +77,11 @@ SELECT {ENTRY},
   CASE WHEN kind = 'click' THEN '/bin/run ' || k END AS command
 FROM fx""")
 
+HOURS = "TIMESTAMP '2023-06-01 00:00:00' + to_hours(event_id)"
+ORACLES["normalize_auth_over_years"] = over(f"""
+SELECT 'e' || event_id AS hostname, {sec(HOURS)} AS event_time, 'login_failed' AS event_type,
+  CAST(dayofyear({HOURS}) AS INTEGER) AS day FROM fx""")
+
 CLASSIFY = """CASE WHEN {s} = 401 THEN 'unauthorized' WHEN {s} = 403 THEN 'forbidden' WHEN {s} = 404 THEN 'not_found'
     WHEN {s} >= 500 THEN 'server_error' WHEN {s} >= 400 THEN 'client_error'
     WHEN regexp_matches(lower({p}), '/login|/auth|/signin') THEN 'authentication'
@@ -644,10 +649,16 @@ FROM (
     {PERCENT} AS error_rate, count(CASE WHEN event_type IN {WAF_TYPES} THEN 1 END) > 0 AS waf_has_data
   FROM fx GROUP BY job_id) s""", *WITH_ALERTS, WAF_HOURS)
 
+ORACLES["dashboard_from_rollups"] = ORACLES["dashboard"]
+ORACLES["estimated_addresses"] = over("""
+SELECT job_id, count(DISTINCT source_ip) AS unique_ips, true AS within_bound FROM fx GROUP BY job_id""")
+
 # --- search, alerts, jobs, time line ----------------------------------------------------------
 ORACLES["search_entries"] = over("""
 SELECT job_id, line_number, message, username FROM fxm
 WHERE event_type = 'login_failed' AND message ILIKE '%API%error%' ORDER BY line_number, job_id LIMIT 50 OFFSET 50""")
+ORACLES["search_deep_page"] = over("""
+SELECT job_id, line_number, message FROM fxm WHERE message ILIKE '%api%' ORDER BY line_number, job_id LIMIT 50 OFFSET 2950""")
 ORACLES["search_count"] = over(
     "SELECT count(*) AS total FROM fxm WHERE username = 'root' AND message ILIKE '%get _api%'")
 ORACLES["list_alerts"] = over(f"""
@@ -764,6 +775,11 @@ SELECT p.ip, ab.score, ab.reports, CASE WHEN vt.missing THEN 0 ELSE vt.malicious
 FROM (SELECT DISTINCT ip FROM pe WHERE ip LIKE '8.8.%') p
 LEFT JOIN (SELECT * FROM ab WHERE {LIMIT}) ab ON ab.ip = p.ip
 LEFT JOIN (SELECT * FROM vt WHERE {LIMIT}) vt ON vt.ip = p.ip""", PUBLIC)
+ORACLES["reputation_at_event"] = over("""
+SELECT e.event_id, CASE WHEN e.event_time - r.checked_at <= INTERVAL 86400 SECONDS THEN r.score END AS score
+FROM pe e ASOF LEFT JOIN (
+  SELECT ip, event_time AS checked_at, max(event_id % 101) AS score FROM pe WHERE event_id % 7 = 0 GROUP BY 1, 2
+) r ON e.ip = r.ip AND e.event_time >= r.checked_at""", PUBLIC)
 ORACLES["reputation_bands"] = over("""
 SELECT CASE WHEN score >= 75 THEN 'red' WHEN score >= 25 THEN 'amber' ELSE 'green' END AS band, count(*) AS addresses
 FROM ab GROUP BY 1""", PUBLIC)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
 from wardlog.operators.normalize import BROADCAST_FILES
+from wardlog.operators.rollups import write_rollup
 from wardlog.plans.analyze import job_table, line_counts, normalize_files
 from wardlog.schema import ENTRY_SCHEMA
 from wardlog.session import require_utc
@@ -13,13 +14,14 @@ from wardlog.sources.waf_csv import mark_irregular
 
 
 def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=2026, files_per_batch=1000,
-                  alerts_dir=None, jobs_dir=None, thresholds=None, owner=None, **trigger):
+                  alerts_dir=None, jobs_dir=None, thresholds=None, owner=None, rollup_dir=None, **trigger):
     """Start the query that normalises new files below ``in_dir`` into ``out_dir``.
 
     A file is always read whole within one micro-batch and is a job of its own.
     With ``alerts_dir`` the detectors run over the stored entries of each batch,
     which therefore hold its jobs whole; with ``jobs_dir`` every file with a line
-    gets its row in the job table. Each micro-batch overwrites folders of its own,
+    gets its row in the job table, and with ``rollup_dir`` the counts of the batch
+    are kept for dashboards (see rollups). Each micro-batch overwrites folders of its own,
     so a batch that is run again after a failure leaves no duplicates. Runs until
     the present files are done unless another trigger is given.
     """
@@ -57,6 +59,8 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
             files = splits.groupBy("source_file").agg(F.max("file_size").alias("file_size"))
             jobs = job_table(files, counted, formats, stored, owner=owner)
             jobs.write.mode("overwrite").parquet(folder(jobs_dir))
+        if rollup_dir is not None:
+            write_rollup(stored, rollup_dir, batch_id)
         splits.unpersist()
         formats.unpersist()
 
