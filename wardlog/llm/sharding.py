@@ -128,8 +128,8 @@ def op4_columns(rows):
 def write_shards(docs, path, shards=SHARDS, seed=7):
     """Writes the documents to path/shard=N, each shard in slot order within its files; returns the plan.
 
-    The plan is written first and joined by row, so the files agree with it; rows that repeat take the
-    plan's rows of their key in any order.
+    The plan is written first and joined by row, so the files agree with it; rows of one id and text take the plan's
+    rows of their key in the order of their other columns, so that a task that runs again deals them alike.
     """
     plan = shard_rows(docs, shards, seed)
     key = ["doc_id", "text_crc32"]
@@ -138,7 +138,7 @@ def write_shards(docs, path, shards=SHARDS, seed=7):
     crc = F.crc32(F.encode(text_or_empty(), "utf-8"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "doc_id",
                         crc.alias("text_crc32"))
-    whole = whole.withColumn("_m", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    whole = whole.withColumn("_m", F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json("document"))))
     on = whole["doc_id"].eqNullSafe(told["_doc_id"]) & (F.col("text_crc32") == F.col("_text_crc32")) & (
         F.col("_m") == F.col("_n"))
     whole.join(told, on).select("document", "shard", "slot").repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)) \
