@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wardlog.llm.arrow import map_batches, texts, with_columns
 
 TRAIN_DOCS = 1_000
+SHARES = 32
 HELD_LANGUAGES = 256  # dense counts that a task holds before it hands them on
 BLOCK_LANGUAGES = 64  # languages that the driver spreads out at a time
 BROADCAST_IDS = 1_000_000
@@ -53,15 +54,13 @@ def training_counts(docs, per_language):
     """{language: (buckets, counts)}, over at most per_language documents of each language, by hash."""
     usable = docs.where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull())
     few = usable.select("lang").distinct().count() * per_language <= BROADCAST_IDS
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        usable.where("doc_id is not null")
-        .select("doc_id", "lang")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_language)
-        .select("doc_id", F.col("lang").alias("train_lang"))
-        .distinct()
-    )
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ranked = usable.where("doc_id is not null").select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(SHARES)).alias("share"))
+    # within shares first, so that no task gets more than per_language rows of each share of a language
+    for keys in (["lang", "share"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        ranked = ranked.where(F.col("rank") <= per_language)
+    ids = ranked.select("doc_id", F.col("lang").alias("train_lang")).distinct()
     ids = F.broadcast(ids) if few else ids
     rows = usable.select("doc_id", "lang", "text").join(ids, "doc_id").where("lang = train_lang")
 
