@@ -5,6 +5,7 @@ in one pass; around each, bounded-error matching looks for the notice and report
 """
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 
@@ -62,9 +63,17 @@ def phrase_places(joined, phrases):
     for phrase, label in phrases.items():
         at = joined.find(b" " + phrase + b" ")
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            found.append((at, label))
             at = joined.find(b" " + phrase + b" ", at + 1)
-    return found
+    numbers = blanks_before(np.frombuffer(joined, np.uint8), [at for at, _ in found])
+    return [(number, label) for number, (_, label) in zip(numbers, found)]
+
+
+def blanks_before(characters, places):
+    """Blanks in front of each place, counted once for all of them."""
+    if not places:
+        return []
+    return np.searchsorted(np.flatnonzero(characters == 32), places).tolist()
 
 
 def fuzzy_places(text, automaton, notices, patterns):
@@ -88,10 +97,11 @@ def fuzzy_places(text, automaton, notices, patterns):
         for start, end in merged:
             for match in patterns[number].finditer(text, start, min(end, len(text))):
                 if match.end() > match.start():
-                    found.append((
-                        text.count(" ", 0, match.start() + 1), text.count(" ", 0, match.end()), label,
-                        sum(match.fuzzy_counts), len(notice),
-                    ))
+                    found.append((match.start() + 1, match.end(), label, sum(match.fuzzy_counts), len(notice)))
+    if found:
+        characters = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        first, last = (blanks_before(characters, [f[k] for f in found]) for k in (0, 1))
+        found = [(a, b, *f[2:]) for a, b, f in zip(first, last, found)]
     return sorted(found)
 
 
