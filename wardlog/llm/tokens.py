@@ -2,6 +2,8 @@
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -9,8 +11,8 @@ from tokenizers import Tokenizer
 from wardlog.llm.arrow import in_steps
 
 ID_BYTES = 4
-CACHE_BYTES = 24 << 20  # of a worker's known words, their ids and the table of them
-ENTRY_BYTES = 180  # of a known word beside its characters and ids
+CACHE_BYTES = 64 << 20  # of a worker's known pieces, their ids and the table of them
+ENTRY_BYTES = 180  # of a known piece beside its characters and ids
 STEP_CHARACTERS = 1 << 19
 
 # How the tokenizer file must clean and split texts for the lookup; fixed values of that file.
@@ -25,9 +27,15 @@ DIGITS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 
 
+# The byte-level step shows each byte as a character: printable ones as they are, the others from 256 on, in order.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SHOWN_BYTES = dict(zip([b for b in range(256) if b not in PRINTABLE], range(256, 512)))
+ID_FITS = array("I").itemsize == ID_BYTES and sys.byteorder == "little"
+
+
 class TextIds:
-    """Little-endian 32-bit ids of texts. Words between blanks that were met before are looked up; the pieces of new ones
-    are encoded together. The table of words is emptied when it reaches its size in bytes."""
+    """Little-endian 32-bit ids of texts. Pieces met before are looked up, new ones are encoded by the tokenizer's model.
+    When the table of pieces reaches its size in bytes, only those of the present step stay."""
 
     def __init__(self, path):
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,38 +47,35 @@ class TextIds:
         rules = json.loads(self.tokenizer.to_str())
         cleaning = [step["type"] for step in (rules.get("normalizer") or {}).get("normalizers", [])]
         splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        return cleaning == CLEANING and bool(splits) and splits[0].get("pattern") == {"Regex": SPLIT}
+        bytewise = len(splits) == 2 and splits[1]["type"] == "ByteLevel" and not splits[1].get("add_prefix_space")
+        return cleaning == CLEANING and bytewise and splits[0].get("pattern") == {"Regex": SPLIT} and ID_FITS
 
     def whole(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pieces(self, pieces):
-        """The ids of each piece, all encoded in one text; a piece is one word of the tokenizer there."""
-        encoded = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        ids, word = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids)
-        ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word))
-        if len(ends) != len(pieces):
-            return {piece: self.whole(piece) for piece in pieces}
-        data, places = ids.tobytes(), [0, *(ends * ID_BYTES).tolist()]
-        return {piece: data[a:b] for piece, a, b in zip(pieces, places, places[1:])}
-
-    def learn(self, words):
-        """Takes new words into the table. No piece goes across a blank, so a word is its pieces, one behind the other."""
-        split = [PIECES.findall(word) for word in words]
-        ids = self.pieces(sorted({piece for pieces in split for piece in pieces})) if words else {}
-        for word, pieces in zip(words, split):
-            self.known[word] = data = b"".join([ids[piece] for piece in pieces])
-            self.size += len(word) + len(data) + ENTRY_BYTES
+    def learn(self, pieces):
+        """Takes new pieces into the table; the model is given what cleaning and splitting leave of a text."""
+        tokenize = self.tokenizer.model.tokenize
+        for piece in pieces:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN_BYTES)
+            self.known[piece] = data = array("I", [token.id for token in tokenize(shown)]).tobytes()
+            self.size += len(piece) + len(data) + ENTRY_BYTES
+
+    def forget(self, wanted):
+        """Keeps only the known pieces among those wanted now: rare ones go, frequent ones are in every step."""
+        known = self.known
+        self.known = {piece: known[piece] for piece in wanted if piece in known}
+        self.size = sum(len(piece) + len(data) + ENTRY_BYTES for piece, data in self.known.items())
 
     def encode(self, texts):
         """The id bytes of each text, in order."""
         for step in in_steps(((text, len(text)) for text in texts), STEP_CHARACTERS):
-            split = [t.lower().split() if self.cached and PLAIN.fullmatch(t) else None for t in step]
+            split = [PIECES.findall(t.lower()) if self.cached and PLAIN.fullmatch(t) else None for t in step]
             wanted = set()
-            for words in split:
-                wanted.update(words or ())
+            for pieces in split:
+                wanted.update(pieces or ())
             if self.size > CACHE_BYTES:
-                self.known, self.size = {}, 0
-            self.learn(sorted(wanted.difference(self.known)))
-            for text, words in zip(step, split):
-                yield self.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
+                self.forget(wanted)
+            self.learn(wanted.difference(self.known))
+            for text, pieces in zip(step, split):
+                yield self.whole(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
