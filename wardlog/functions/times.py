@@ -16,15 +16,6 @@ OFFSET = r"^([+-])(\d{2})(?::?([0-5]\d)(?::?([0-5]\d))?)?$"
 ZERO_OFFSETS = ["+0000", "+00:00", "-0000", "Z", "z", "UTC", "GMT"]
 ACCESS_STAMP = r"(?dU)^(\d{1,2})/(\w{3})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\s+(.*))?$"
 WEEKDAY = r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
-# text forms tried after ISO 8601
-PATTERNS = [
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss", "yyyyMMdd",
-    "dd/MMM/yyyy:HH:mm:ss", "d MMM yyyy HH:mm:ss", "d MMM yyyy",
-    "MMM d HH:mm:ss yyyy", "MMM d yyyy HH:mm:ss", "MMM d, yyyy HH:mm:ss", "MMM d, yyyy h:mm:ss a",
-    "MMM d, yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy h:mm:ss a", "M/d/yyyy",
-    "MMMM d, yyyy HH:mm:ss", "MMMM d, yyyy", "d MMMM yyyy HH:mm:ss", "d MMMM yyyy",
-    "d-MMM-yyyy HH:mm:ss", "d-MMM-yyyy", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd",
-]
 
 
 def month_number(name):
@@ -101,12 +92,6 @@ def iso_clock(text):
     return F.when(text.rlike(r"^\d{4}-\d{1,2}"), F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp_ntz"))
 
 
-def free_form_clock(text):
-    """Wall clock of other text without offset and weekday; null when no form fits."""
-    tried = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in PATTERNS]
-    return F.when(text.rlike(r"\d"), F.coalesce(*tried))
-
-
 def micros(col):
     """Microseconds since the epoch of a TIMESTAMP column."""
     return F.unix_micros(col)

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
 from wardlog.functions.text import blank_to_null, case, strip
+from wardlog.functions.date_words import clock_of_words, close_digits, date_of_words, date_words, time_of_day
 from wardlog.functions.times import (
-    as_instant, free_form_clock, iso_clock, offset_seconds, without_weekday, zone_parts,
+    as_instant, iso_clock, offset_seconds, without_weekday, zone_parts,
 )
 from wardlog.operators.line_format import LineFormat, normalize_as, strings
 
@@ -119,9 +120,23 @@ def _iso(assume_year):
     return {"json_iso": iso_clock(F.col("json_body")), "json_undated": without_weekday(F.col("json_body"))}
 
 
+def _timed(assume_year):
+    return {"json_timed": time_of_day(F.col("json_undated"))}
+
+
+def _words(assume_year):
+    return {"json_words": F.when(F.col("json_iso").isNull(), date_words(F.col("json_undated"), F.col("json_timed")))}
+
+
+def _dated(assume_year):
+    words = F.col("json_words")
+    return {"json_date": date_of_words(words), "json_close": close_digits(words, F.col("json_timed"))}
+
+
 def _times(assume_year):
+    free = clock_of_words(F.col("json_date"), F.col("json_close"), F.col("json_timed"))
     return {
-        "json_clock": F.coalesce("json_iso", free_form_clock(F.col("json_undated"))),
+        "json_clock": F.coalesce("json_iso", free),
         "json_offset": offset_seconds(F.get("json_zoned", F.lit(1))),
     }
 
@@ -168,7 +183,8 @@ def _fields(assume_year):
 
 JSON = LineFormat(
     fixed.JSON,
-    (_parsed, _single, _keys, _lowered, _present, _places, _found, _time_texts, _body, _iso, _times),
+    (_parsed, _single, _keys, _lowered, _present, _places, _found, _time_texts, _body, _iso, _timed, _words, _dated,
+     _times),
     _fields,
 )
 

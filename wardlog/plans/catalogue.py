@@ -141,6 +141,18 @@ def normalize_json_lines(spark, sf_dir):
     )
 
 
+@query
+def json_times_of_many_forms(spark, sf_dir):
+    """JSON lines whose times take a form by their number, from fixtures.TIME_FORMS."""
+    form = F.col("event_id") % len(fx.TIME_FORMS)
+    told = fx.case([(form == i, F.date_format("event_time_local", f)) for i, f in enumerate(fx.TIME_FORMS)])
+    lines = fx.source_rows(spark, sf_dir).select(
+        F.lit("all").alias("job_id"), F.lit("all.log").alias("source_file"), (F.col("event_id") + 1).alias("line_number"),
+        F.to_json(F.struct(told.alias("time"), F.lit("x").alias("event"))).alias("raw_line"),
+    )
+    return normalize_json(lines).select("line_number", seconds_text("event_time_local").alias("event_time"))
+
+
 def _firewall(spark, sf_dir, form, *extras):
     entries = normalize_firewall(fx.rendered_lines(spark, sf_dir, form), assume_year=2024)
     return entries.select(*entry_columns("source_ip", "destination_ip", "message", *[extra(e) for e in extras]))

@@ -13,6 +13,14 @@ from wardlog.sources.tables import read_alerts, write_alerts
 
 FIRST_ALERT = "2024-01-01 00:00:00"
 LOOKUP_NOW = "2024-01-31 00:00:00"
+# forms with seconds, then forms with a day only
+TIME_FORMS = [
+    "yyyy-MM-dd HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss", "EEEE, MMMM d, yyyy h:mm:ss a", "MMM d HH:mm:ss yyyy",
+    "EEE MMM d HH:mm:ss 'BRST' yyyy", "M/d/yyyy h:mm:ss a", "yyyy/M/d HH:mm:ss", "d-MMM-yyyy HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss",
+    "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss", "yyyy.MM.dd 'at' HH:mm:ss", "HH:mm:ss, d 'of' MMMM yyyy", "yyyy MMM d HH:mm:ss.SSSSSS",
+    "MMMM d, yyyy", "d MMM yy", "yyyyMMdd", "MM-dd-yyyy",
+]
+DAY_FORMS = 4
 FIRST_HOUR = "2023-06-01 00:00:00"
 # parameters under which the detectors find something, but not everything, here
 THRESHOLDS = {

@@ -105,6 +105,10 @@ SELECT {ENTRY}, {LEVEL} AS event_type, 'user' || user_id AS username, source_ip,
   'msg ' || k AS message, CAST(k AS VARCHAR) AS k
 FROM pa""", PATH)
 
+ORACLES["json_times_of_many_forms"] = over(f"""
+SELECT line_number, CASE WHEN event_id % 18 < 14 THEN {sec('event_time')} ELSE {sec("date_trunc('day', event_time)")} END AS event_time
+FROM fx""")
+
 ACTION = "CASE WHEN k % 2 = 0 THEN 'BLOCK' ELSE 'ALLOW' END"
 VERDICT = "CASE WHEN k % 2 = 0 THEN 'firewall_block' ELSE 'firewall_allow' END"
 ORACLES["normalize_firewall_iptables"] = over(f"""
