@@ -7,6 +7,7 @@ import pytest
 
 import scenarios as sc
 from scenarios import access_scenario, auth_scenario
+from wardlog.operators import detect, detect_abuse, detect_brute_force as brute_force_detector, detect_login
 from wardlog.operators.detect import DETECTOR_FUNCTIONS, all_alerts, run_all
 from wardlog.operators.detect_abuse import peak_rates
 from wardlog.operators.detect_brute_force import burst_targets, detect_brute_force, find_bursts
@@ -14,6 +15,7 @@ from wardlog.operators.detect_login import failure_streaks
 from wardlog.operators.detect_web import detect_web_attacks, match_attack_categories
 from wardlog.operators.normalize import normalize_access, normalize_auth
 from wardlog.schema import ALERT_SCHEMA, ENTRY_SCHEMA
+from wardlog.session import stored
 
 START = datetime(2026, 3, 11)
 
@@ -273,16 +275,19 @@ def test_entries_are_read_three_times_at_most(spark, tmp_path, monkeypatch):
     entries, scans = spark.read.schema(ENTRY_SCHEMA).parquet(place), []
 
     def scans_in(frame):
-        return frame._jdf.queryExecution().executedPlan().toString().count("marked-entries")
+        leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+        found = [leaves.apply(i) for i in range(leaves.size())]
+        files = [leaf for leaf in found if leaf.getClass().getSimpleName() == "LogicalRelation"]
+        return sum("marked-entries" in leaf.relation().location().rootPaths().mkString() for leaf in files)
 
     def counting(frame, name):
         scans.append(scans_in(frame))
         return stored(frame, name)
 
-    for module in (detect, detect_abuse, detect_brute_force, detect_login):
+    for module in (detect, detect_abuse, brute_force_detector, detect_login):
         monkeypatch.setattr(module, "stored", counting)
     scans.append(scans_in(detect.all_alerts(entries)))
     assert sum(scans) == 3
     scans.clear()
-    scans.append(scans_in(detect_brute_force.detect_brute_force(entries)))
+    scans.append(scans_in(detect_brute_force(entries)))
     assert sum(scans) == 2
