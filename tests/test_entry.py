@@ -30,8 +30,10 @@ def test_entry_runs(spark):
     assert rows and {"source_ip", "success_after_failures"} <= set(rows[0].asDict())
 
 
-def test_plans_have_no_cross_join_and_no_single_task(spark):
-    """One task for all rows is only right for a total, or behind a limit."""
+def test_plans_have_no_cross_join_and_no_single_task(spark, monkeypatch):
+    """One task for all rows is only right for a total, or behind a limit. The alerts are made once for all plans."""
+    alerts = fx.alert_fixture(spark, FOLDER)
+    monkeypatch.setattr(fx, "alert_fixture", lambda spark, folder: alerts)
     totals = {"search_count", "alert_total", "job_total"}
     wrong = []
     for name, run in QUERIES.items():
