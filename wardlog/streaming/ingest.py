@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
 from wardlog.operators.formats import detect_format
-from wardlog.operators.normalize import BROADCAST_FILES
+from wardlog.operators.normalize import BROADCAST_FILES, formats_present
 from wardlog.operators.rollups import write_rollup
 from wardlog.plans.analyze import job_table, line_counts, normalize_files
 from wardlog.schema import ENTRY_SCHEMA
@@ -50,8 +51,10 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
         folder = lambda table: f"{table}/batch_id={batch_id}"
         # a batch holds at most files_per_batch files, each with one row of formats
         few = files_per_batch <= BROADCAST_FILES
-        entries, counted = normalize_files(numbered, splits, formats, assume_year=assume_year, few=few)
-        entries.write.mode("overwrite").partitionBy("job_id").parquet(folder(out_dir))
+        # only the formats that occur: with all of them the plan outgrows what the JVM compiles
+        present = formats_present(formats) or [fixed.JSON]
+        entries, counted = normalize_files(numbered, splits, formats, assume_year=assume_year, few=few, present=present)
+        entries.write.mode("overwrite").parquet(folder(out_dir))
         stored = spark.read.schema(ENTRY_SCHEMA).parquet(folder(out_dir))
         if alerts_dir is not None:
             all_alerts(stored, thresholds).write.mode("overwrite").parquet(folder(alerts_dir))
