@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wardlog import fixed_values as fixed
 from wardlog.plans import fixtures as fx
 from wardlog.schema import ENTRY_SCHEMA
+from wardlog.sources.tables import read_entries, write_entries
 from wardlog.streaming import ingest
 
 LINE = '10.0.0.{n} - - [10/Mar/2026:10:00:0{n} +0000] "GET /x HTTP/1.1" 200 5 "-" "ua"'
@@ -42,6 +43,22 @@ def test_rows_of_one_row_group_are_dealt_to_tasks(spark, tmp_path):
     assert rows.filter("event_id is null").count() == -(-n // 3)
 
 
+def test_entries_are_written_without_a_sort_and_beyond_the_open_files(spark, tmp_path):
+    """Tasks keep the files of a few jobs open instead of sorting whole raw lines; more jobs than that are written too."""
+    open_files = int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+    assert open_files > 0
+    jobs = 3 * open_files
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in ENTRY_SCHEMA if f.name not in ("job_id", "line_number", "raw_line")]
+    rows = spark.range(10 * jobs, numPartitions=1).select(
+        F.concat(F.lit("j"), (F.col("id") % jobs).cast("string")).alias("job_id"), F.col("id").alias("line_number"),
+        F.concat(F.lit("line "), F.col("id").cast("string")).alias("raw_line"), *columns,
+    )
+    path = str(tmp_path / "entries")
+    write_entries(rows.select(ENTRY_SCHEMA.names), path)
+    found = read_entries(spark, path).select("job_id", "line_number", "raw_line")
+    assert found.exceptAll(rows.select(found.columns)).count() == 0 and found.count() == 10 * jobs
+
+
 def test_mixed_files_make_their_lines_in_a_projection(spark, tmp_path):
     """The generator only unpacks an array; expressions behind it would be interpreted row by row."""
     spark.range(3).selectExpr(

@@ -8,11 +8,14 @@ from pyspark.sql import SparkSession
 
 # Times are naive UTC. Generated methods above 8000 bytes of byte code are never
 # compiled by the JVM, so wide projections over regular expressions run several
-# times faster as separate smaller methods. Folders are listed by few tasks with
-# many folders each, as a task costs more than a folder.
+# times faster as separate smaller methods. A task that writes into few folders
+# keeps their files open instead of sorting its rows by folder first; beyond that
+# number it sorts what is left. Folders are listed by few tasks with many folders
+# each, as a task costs more than a folder.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "96",
 }
 UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00"}
