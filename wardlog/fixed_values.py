@@ -135,3 +135,18 @@ ATTACK_SIGNATURES = {
     ],
 }
 SCANNING = "Vulnerability Scanning"
+# category -> lower-case texts, one of which every match of its signatures holds
+ATTACK_MARKS = {
+    "SQL Injection": [
+        "union", "select", "drop", "insert", "update", "=", "'", "sleep", "benchmark", "waitfor", "0x", "char", "concat",
+    ],
+    "Cross-Site Scripting (XSS)": [
+        "<", "script", "=", "alert", "confirm", "prompt", "document.",
+    ],
+    "Path Traversal": ["../", "..\\", "/etc/", "/proc/", "c:\\"],
+    "Command Injection": [";", "|", "`", "$("],
+    "Vulnerability Scanning": [
+        "nikto", "nmap", "sqlmap", "burp", "dirbuster", "gobuster", "wfuzz", "hydra", "nessus", "wp-", "xmlrpc.php",
+        ".env", ".git", ".svn", ".htaccess", "web.config", ".ds_store", "phpmyadmin", "adminer", "phpinfo",
+    ],
+}

@@ -11,33 +11,40 @@ from wardlog.session import stored
 
 KEYS = ["job_id", "source_ip"]
 MIB = 1024 * 1024
+# where a row without a line number stands among the lines: first
+NO_LINE = -(2**63)
 
 # Fixed values of the alert table: titles, descriptions, labels of the evidence, actions and the steps of the
 # severity ladders below. They are written where they are used.
 
 
 def activity(entries):
-    """What the three detectors need of the entries, counted in one pass: one row per address and moment (kind "time"),
-    per address and endpoint with a response size ("volume") and per address and error status ("status").
+    """What the three detectors need of the entries, counted in one pass: one row per address, moment and wall clock (kind
+    "time"), per address and endpoint with a response size ("volume") and per address and error status ("status").
 
-    Rows: job_id, source_ip, kind, us, endpoint, status_code, n, bytes, line (the first) and its wall clock.
+    Rows: job_id, source_ip, kind, us, endpoint, status_code, n, bytes, line (the first), first (the same, NO_LINE if any
+    has none) and the wall clock.
     """
     none = lambda kind: F.lit(None).cast(kind)
     part = lambda kind, us, endpoint, status, size: F.struct(
         F.lit(kind).alias("kind"), us.alias("us"), endpoint.alias("endpoint"), status.alias("status_code"), size.alias("size")
     )
     size = F.col("response_size")
-    parts = F.array_compact(F.array(
+    parts = F.array(
         F.when(F.col("event_time").isNotNull(), part("time", micros(F.col("event_time")), none("string"), none("int"), none("bigint"))),
         F.when(size != 0, part("volume", none("bigint"), F.nullif("endpoint", F.lit("")), none("int"), size)),
         F.when(F.col("status_code") >= 400, part("status", none("bigint"), none("string"), F.col("status_code"), none("bigint"))),
-    ))
-    rows = entries.filter(present("source_ip")).select(*KEYS, "line_number", "event_time_local", F.explode(parts).alias("p"))
-    counted = rows.select(*KEYS, "line_number", "event_time_local", "p.*").groupBy(
-        *KEYS, "kind", "us", "endpoint", "status_code"
+    )
+    # parts are made in a projection, which is compiled; behind explode itself they are interpreted
+    made = entries.filter(present("source_ip")).select(*KEYS, "line_number", "event_time_local", parts.alias("parts"))
+    rows = made.select(*KEYS, "line_number", "event_time_local", F.explode_outer("parts").alias("p")).filter("p is not null")
+    # a wall clock is a key of its own: plain numbers and times are counted in a hash table, a least pair needs a sort of all rows
+    wall = F.when(F.col("p.kind") == "time", F.col("event_time_local")).alias("wall")
+    counted = rows.select(*KEYS, "line_number", wall, "p.*").groupBy(
+        *KEYS, "kind", "us", "endpoint", "status_code", "wall"
     ).agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("line_number").alias("line"),
-        F.min(F.struct("line_number", "event_time_local"))["event_time_local"].alias("wall"),
+        F.min(F.coalesce("line_number", F.lit(NO_LINE))).alias("first"),
     )
     return stored(counted, "activity")
 
@@ -51,7 +58,7 @@ def peak_rates(entries, window_seconds=60, threshold=100, counts=None):
     window (instants and wall clocks of its ends), and the number of rows; addresses
     below the threshold are left out. ``counts`` is the entries' activity, where it is known."""
     window_us = int(window_seconds * 1_000_000)
-    per_time = _counts(entries, counts, "time").select(*KEYS, "us", "n", "line", "wall")
+    per_time = _counts(entries, counts, "time").select(*KEYS, "us", "n", "line", "first", "wall")
     peaks = (
         sliding_counts(per_time.select(*KEYS, "us", "n"), KEYS, window_us)
         .filter(F.col("in_window") >= threshold)
@@ -72,8 +79,8 @@ def peak_rates(entries, window_seconds=60, threshold=100, counts=None):
         .groupBy(*KEYS)
         .agg(
             F.min("us").alias("start_us"),
-            F.min(F.struct("us", "wall"))["wall"].alias("start_wall"),
-            F.max(F.struct("us", "wall"))["wall"].alias("end_wall"),
+            F.min(F.struct("us", "first", "wall"))["wall"].alias("start_wall"),
+            F.min(F.when(F.col("us") == F.col("end_us"), F.struct("first", "wall")))["wall"].alias("end_wall"),
         )
     )
     totals = per_time.groupBy(*KEYS).agg(F.sum("n").alias("total"), F.min("line").alias("order_line"))

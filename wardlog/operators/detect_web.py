@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.functions.text import case
+from wardlog.functions.text import case, contains_any
 from wardlog.operators.alert import alert_rows, text
 
 SAMPLE_LINES = 10
@@ -29,14 +29,24 @@ def attack_target():
 
 
 def match_attack_categories(entries):
-    """One row per entry and category whose signatures it matches, with ``category``."""
-    hits = F.array_compact(
-        F.array(*[F.when(F.col("target").rlike(signature(c)), c) for c in fixed.ATTACK_SIGNATURES])
-    )
+    """One row per entry and category whose signatures it matches, with ``category``.
+
+    Only texts that hold one of a category's marks are searched for its signatures, as the marks are told much faster.
+    A letter of another alphabet can count as one of a signature (a long s as an s), so texts with characters of several
+    bytes are searched in any case.
+    """
+    hits = F.array(*[
+        F.when((contains_any(F.col("lowered"), marks) | F.col("beyond_ascii")) & F.col("target").rlike(signature(c)), c)
+        for c, marks in fixed.ATTACK_MARKS.items()
+    ])
+    # hits are found in a projection, which is compiled; behind explode itself they are interpreted
     return (
         entries.withColumn("target", attack_target())
-        .withColumn("category", F.explode(hits))
-        .drop("target")
+        .withColumns({"lowered": F.lower("target"), "beyond_ascii": F.octet_length("target") != F.length("target")})
+        .withColumn("hits", hits)
+        .withColumn("category", F.explode_outer("hits"))
+        .filter("category is not null")
+        .drop("target", "lowered", "beyond_ascii", "hits")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
-from wardlog.operators.formats import detect_format
+from wardlog.operators.formats import SAMPLE_LINES, detect_format
 from wardlog.operators.normalize import BROADCAST_FILES, formats_present, normalize
 from wardlog.operators.normalize_waf import normalize_cells
 from wardlog.schema import ALERT_SCHEMA, ENTRY_SCHEMA, JOB_SCHEMA
@@ -78,9 +78,13 @@ def normalize_files(numbered, splits, formats, job_id=None, assume_year=2026, fe
     most = irregular.agg(F.max(F.array_max("waf_columns"))).first()[0]
     if most is None:
         return entries, splits
-    cells = read_cells(numbered, formats, most, job_id)
-    records = cells.groupBy("source_file").agg(F.count(F.lit(1)).alias("filled"))
-    others = splits.join(irregular.select("source_file").distinct(), "source_file", "left_anti")
+    cells, removed = read_cells(numbered, formats, most, job_id)
+    exports = irregular.select("source_file").distinct()
+    records = splits.join(exports, "source_file", "left_semi").groupBy("source_file").agg(F.sum("in_split").alias("lines"))
+    records = records.join(removed, "source_file", "left").select(
+        "source_file", (F.col("lines") - F.coalesce("removed", F.lit(0))).alias("filled")
+    )
+    others = splits.join(exports, "source_file", "left_anti")
     return (
         entries.unionByName(normalize_cells(cells, irregular)),
         others.select("source_file", "filled").unionByName(records),
@@ -107,7 +111,7 @@ def analyze(spark, paths, out_dir, job_id=None, hint=None, assume_year=2026, thr
     count_splits(rows, *line_counts()).write.parquet(f"{out_dir}/splits/{run}")
     splits = spark.read.parquet(f"{out_dir}/splits/{run}")
     numbered = number_rows(rows, splits, written=True, keep_block=True)
-    found = detect_format(clean_lines(numbered, job_id), hint)
+    found = detect_format(clean_lines(numbered, job_id, SAMPLE_LINES), hint)
     mark_irregular(found, splits).write.parquet(f"{out_dir}/formats/{run}")
     formats = spark.read.parquet(f"{out_dir}/formats/{run}")
     present = formats_present(formats) or [fixed.JSON]

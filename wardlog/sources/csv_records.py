@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from wardlog.session import stored
 
-# a run of lines whose exceptions are looked up together
+# a run of lines whose exceptions are looked up together; their kinds are bits, WORD_LINES to a number
 SLOT_LINES = 256
-BROADCAST_SLOTS = 100_000
+WORD_LINES = 64
+# rows of the slot table that are broadcast (a path and a few numbers, a few hundred bytes), and words in them with an exception
+BROADCAST_SLOTS = 300_000
 BROADCAST_EVENTS = 1_000_000
 KEY = ["source_file", "slot"]
 BLANK, CONTINUES, OPENS = 0, 1, 2
@@ -114,41 +116,73 @@ def exceptions(lines):
     )
 
 
+def _placed(lines):
+    """Adds slot, and where in it the line is: word, and bit within the word."""
+    place = f"line_number - (line_number div {SLOT_LINES}) * {SLOT_LINES}"
+    return lines.withColumns({
+        "slot": F.expr(f"line_number div {SLOT_LINES}"), "word": F.expr(f"cast(({place}) div {WORD_LINES} as int)"),
+        "bit": F.expr(f"cast(({place}) % {WORD_LINES} as int)"),
+    })
+
+
+def slot_words(found, slots):
+    """One row per slot of the files with exceptions: source_file, slot and words, an array with the bits of the lines
+    that begin no record (removed), continue one (continues) or begin one of several lines (opens), and the number of
+    removed lines of the file before the word (gone)."""
+    bits = lambda kinds: F.coalesce(F.expr(f"bit_or(if(kind in ({kinds}), shiftleft(1L, bit), 0L))"), F.lit(0).cast("long"))
+    words = _placed(found).groupBy(*KEY, "word").agg(
+        bits(f"{BLANK}, {CONTINUES}").alias("removed"), bits(f"{CONTINUES}").alias("continues"), bits(f"{OPENS}").alias("opens")
+    )
+    every = slots.withColumn("word", F.explode(F.sequence(F.lit(0), F.lit((SLOT_LINES - 1) // WORD_LINES))))
+    none = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    every = every.join(words, [*KEY, "word"], "left").select(*KEY, "word", *[none(n) for n in ("removed", "continues", "opens")])
+    earlier = Window.partitionBy("source_file").orderBy("slot", "word").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("gone", F.coalesce(F.sum(F.bit_count("removed").cast("long")).over(earlier), F.lit(0).cast("long")))
+    return every.groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(F.struct("word", "gone", "removed", "continues", "opens"))).alias("words")
+    )
+
+
 def read_records(lines):
     """The records of the lines (source_file, block, line_number, value) of CSV files: source_file, line_number (the
-    record's number, from 1) and value, its text.
+    record's number, from 1) and value, its text; see split_records."""
+    return split_records(lines)[0]
+
+
+def split_records(lines):
+    """The records of read_records, and how many lines of each file that has such lines begin none: source_file, removed.
 
     Quotes count as in RFC 4180; lines of blanks between records are skipped, line breaks in cells become \\n. Lines
     are read from where they are stored; only the lines of records that span several are shuffled, and the exceptions
-    of a file, which its other lines meet by runs of SLOT_LINES lines.
+    of a file, which its other lines meet by runs of SLOT_LINES lines. A line finds its own kind and the number of
+    exceptions before it as bits of a number, so its work does not grow with the exceptions of its run.
     """
-    lines = stored(lines, "csv-lines").withColumn("slot", F.expr(f"line_number div {SLOT_LINES}"))
-    found = stored(exceptions(lines).withColumn("slot", F.expr(f"line_number div {SLOT_LINES}")), "csv-exceptions")
-    removed = F.count_if(F.col("kind") != OPENS).alias("removed")
-    events = found.groupBy(*KEY).agg(
-        removed, F.sort_array(F.collect_list(F.struct("line_number", "kind", "open"))).alias("events")
-    )
+    lines = stored(lines, "csv-lines")
+    found = stored(exceptions(lines), "csv-exceptions")
+    lines = _placed(lines)
     files = found.select("source_file").distinct()
-    slots = lines.join(files, "source_file", "left_semi").select(*KEY).distinct().join(events, KEY, "left")
-    earlier = Window.partitionBy("source_file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = stored(
-        slots.select(*KEY, "events", F.coalesce(F.sum("removed").over(earlier), F.lit(0)).alias("gone")), "csv-slots"
-    )
-    small = slots.count() <= BROADCAST_SLOTS and found.count() <= BROADCAST_EVENTS
-    known = lines.join(F.broadcast(slots) if small else slots, KEY, "left")
-    earlier = F.filter("events", lambda e: (e["line_number"] < F.col("line_number")) & (e["kind"] != OPENS))
-    own = F.get(F.filter("events", lambda e: e["line_number"] == F.col("line_number")), F.lit(0))
-    gone = F.coalesce("gone", F.lit(0)) + F.coalesce(F.size(earlier), F.lit(0))
+    slots = stored(slot_words(found, lines.join(files, "source_file", "left_semi").select(*KEY).distinct()), "csv-slots")
+    eventful = F.count_if((F.col("w.removed") != 0) | (F.col("w.opens") != 0))
+    events = slots.select(F.explode("words").alias("w")).agg(eventful).first()[0]
+    small = slots.count() <= BROADCAST_SLOTS and events <= BROADCAST_EVENTS
+    known = lines.join(F.broadcast(slots) if small else slots, KEY, "left").withColumn("w", F.get("words", F.col("word")))
+    has = lambda name: F.col(f"w.{name}").bitwiseAND(F.expr("shiftleft(1L, bit)")) != 0
+    before = F.col("w.gone") + F.bit_count(F.col("w.removed").bitwiseAND(F.expr("~shiftleft(-1L, bit)")))
+    kind = F.when(has("continues"), CONTINUES).when(has("opens"), OPENS).when(has("removed"), BLANK)
     known = known.select(
-        "source_file", "line_number", "value", (F.col("line_number") - gone).alias("number"), own.alias("own")
+        "source_file", "line_number", "value", (F.col("line_number") - F.coalesce(before, F.lit(0))).alias("number"), kind.alias("kind")
     )
-    whole = known.filter("own is null").select("source_file", F.col("number").alias("line_number"), "value")
-    parts = known.filter(F.col("own.kind") != BLANK).groupBy("source_file", F.col("own.open").alias("open")).agg(
-        F.min("number").alias("line_number"), F.sort_array(F.collect_list(F.struct("line_number", "value"))).alias("parts")
+    whole = known.filter("kind is null").select("source_file", F.col("number").alias("line_number"), "value")
+    # a continuing line has all continuing lines before it removed, its record's first line is one number lower
+    record = F.col("number") - F.when(F.col("kind") == CONTINUES, 1).otherwise(0)
+    parts = known.filter(F.col("kind") != BLANK).groupBy("source_file", record.alias("record")).agg(
+        F.sort_array(F.collect_list(F.struct("line_number", "value"))).alias("parts")
     )
-    return whole.unionByName(
-        parts.select("source_file", "line_number", F.array_join("parts.value", "\n").alias("value"))
+    records = whole.unionByName(
+        parts.select("source_file", F.col("record").alias("line_number"), F.array_join("parts.value", "\n").alias("value"))
     )
+    removed = found.filter(F.col("kind") != OPENS).groupBy("source_file").agg(F.count(F.lit(1)).alias("removed"))
+    return records, removed
 
 
 def record_cells(records, columns):

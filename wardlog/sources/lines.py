@@ -9,6 +9,8 @@ from wardlog.session import stored
 
 # Rows of the split table that are broadcast; a row (path and three numbers) takes a few hundred bytes.
 BROADCAST_SPLITS = 500_000
+# splits of a file scan per core, so that cores that are done early find more to read
+SPLITS_PER_CORE = 4
 
 
 def _any_case(word):
@@ -43,7 +45,7 @@ def pin_splits(spark):
     and go; line numbering needs them cut alike.
     """
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+        spark.conf.set("spark.sql.files.minPartitionNum", str(SPLITS_PER_CORE * spark.sparkContext.defaultParallelism))
 
 
 def with_split_position(scan, columns):
@@ -126,13 +128,13 @@ def cleaned(value):
 
 
 def clean_lines(numbered, job_id=None, max_lines=None):
-    """Numbered raw values to stripped, non-blank lines."""
+    """Numbered raw values to stripped, non-blank lines; of each file up to line ``max_lines``, beyond which none is
+    stripped."""
+    text = cleaned(F.col("value"))
     lines = numbered.select(
         job_of(job_id).alias("job_id"),
         "source_file",
         "line_number",
-        cleaned(F.col("value")).alias("raw_line"),
+        (F.when(F.col("line_number") <= max_lines, text) if max_lines else text).alias("raw_line"),
     )
-    if max_lines:
-        lines = lines.filter(F.col("line_number") <= max_lines)
     return lines.filter(F.col("raw_line") != "")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
-from wardlog.sources.csv_records import read_records, record_cells
+from wardlog.sources.csv_records import read_records, record_cells, split_records
 from wardlog.sources.lines import count_splits, extension_glob, job_of, number_rows, pin_splits, with_split_position
 
 
@@ -47,10 +47,12 @@ def mark_irregular(formats, splits):
 
 def read_cells(numbered, formats, columns, job_id=None):
     """The first ``columns`` cells of every record of the irregular exports, which may differ in their headers:
-    (job_id, source_file, line_number, waf_cells); a header is line 1.
+    (job_id, source_file, line_number, waf_cells); a header is line 1. With them, how many lines of a file begin no
+    record: (source_file, removed).
 
     ``numbered`` has the raw values of all files with block and line_number.
     """
     chosen = formats.filter("irregular").select("source_file").distinct()
-    cells = record_cells(read_records(numbered.join(chosen, "source_file", "left_semi")), columns)
-    return cells.select(job_of(job_id).alias("job_id"), "source_file", "line_number", "waf_cells")
+    records, removed = split_records(numbered.join(chosen, "source_file", "left_semi"))
+    cells = record_cells(records, columns)
+    return cells.select(job_of(job_id).alias("job_id"), "source_file", "line_number", "waf_cells"), removed

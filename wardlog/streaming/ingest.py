@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wardlog import fixed_values as fixed
 from wardlog.operators.detect import all_alerts
-from wardlog.operators.formats import detect_format
+from wardlog.operators.formats import SAMPLE_LINES, detect_format
 from wardlog.operators.normalize import BROADCAST_FILES, formats_present
 from wardlog.operators.rollups import write_rollup
 from wardlog.plans.analyze import job_table, line_counts, normalize_files
@@ -47,7 +47,7 @@ def ingest_stream(spark, in_dir, out_dir, checkpoint, hint=None, assume_year=202
         # one row per split and per file, used several times
         splits = count_splits(rows, *line_counts(), F.max("file_size").alias("file_size")).persist()
         numbered = number_rows(rows, splits, written=True, keep_block=True)
-        formats = mark_irregular(detect_format(clean_lines(numbered), hint), splits).persist()
+        formats = mark_irregular(detect_format(clean_lines(numbered, max_lines=SAMPLE_LINES), hint), splits).persist()
         folder = lambda table: f"{table}/batch_id={batch_id}"
         # a batch holds at most files_per_batch files, each with one row of formats
         few = files_per_batch <= BROADCAST_FILES
