@@ -44,7 +44,9 @@ def facet_counts(entries, facets):
             )
             for f in facets
         ]
-        rows = entries.select("job_id", F.explode(F.array_compact(F.array(*pairs))).alias("p")).select(
+        # pairs are made in a projection, which is compiled; behind explode itself they are interpreted
+        made = entries.select("job_id", F.array(*pairs).alias("pairs"))
+        rows = made.select("job_id", F.explode_outer("pairs").alias("p")).filter("p is not null").select(
             "job_id", "p.facet", "p.value"
         )
     return rows.groupBy("job_id", "facet", "value").agg(F.count(F.lit(1)).alias("count"))

@@ -13,10 +13,11 @@ def write_rollup(entries, folder, batch_id):
     comes again replaces its counts."""
     place = lambda table: f"{folder}/{table}/batch_id={batch_id}"
     counted_hours(entries).write.mode("overwrite").parquet(place("hours"))
-    facet_counts(entries, list(FACETS)).write.mode("overwrite").parquet(place("facets"))
-    sketches = entries.filter("source_ip is not null").groupBy("job_id").agg(
-        F.hll_sketch_agg("source_ip", SKETCH_BITS).alias("addresses")
-    )
+    counts = facet_counts(entries, list(FACETS))
+    counts.write.mode("overwrite").parquet(place("facets"))
+    # the facets name every address of the batch once
+    addresses = entries.sparkSession.read.schema(counts.schema).parquet(place("facets")).filter("facet = 'source_ip'")
+    sketches = addresses.groupBy("job_id").agg(F.hll_sketch_agg("value", SKETCH_BITS).alias("addresses"))
     sketches.write.mode("overwrite").parquet(place("sketches"))
 
 
